@@ -12,6 +12,8 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 #: A host is turned away where the shrunk rate of any one rule is above this.
 MAX_HOST_RATE = 0.8
+#: A list of turned-away hosts up to this length is broadcast; a longer one is joined by a shuffle, whose skew Spark splits.
+BROADCAST_HOSTS = 50_000
 
 
 #: Bits of a packed long that hold a window's place; longer documents skip the packing.
@@ -129,7 +131,10 @@ def judge(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """
     rules = shared_table(document_rules(docs), "quality-rules")
     rates = host_rates(rules).select("host", F.greatest(*[r.replace("fails_", "rate_") for r in RULES]).alias("host_rate"))
-    out = rules.join(rates.filter(F.col("host_rate") > max_host_rate), "host", "left")
+    turned_away = shared_table(rates.filter(F.col("host_rate") > max_host_rate), "quality-hosts")
+    if turned_away.count() <= BROADCAST_HOSTS:
+        turned_away = F.broadcast(turned_away)
+    out = rules.join(turned_away, "host", "left")
     failed = F.col("fails_short") | F.col("fails_repeats")
     return out.withColumns({"base_failed": failed, "kept": ~failed & F.col("host_rate").isNull()})
 

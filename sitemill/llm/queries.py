@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from sitemill.llm import quality_rules
+from sitemill.llm import bpe, chat_format, packing, quality_rules, secret_scan, url_filters
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_bpe": bpe.op4_bpe,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op6_url_filters": url_filters.op6_url_filters,
+    "op10_chat_format": chat_format.op10_chat_format,
 }
 
 SQL = {
