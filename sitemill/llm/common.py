@@ -56,3 +56,11 @@ def tokenizer_path(name: str) -> str:
 def one_thread() -> None:
     """Spark deals out the cores; the tokenizers library shall not start threads of its own in a task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that df does not have yet."""
+    taken, name = {c.lower() for c in df.columns}, base
+    while name.lower() in taken:
+        name += "_"
+    return name

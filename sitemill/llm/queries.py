@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from sitemill.llm import bpe, chat_format, packing, quality_rules, secret_scan, url_filters
+from sitemill.llm import ann, bpe, chat_format, language_id, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, url_filters
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_packing": packing.op2_packing,
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op4_bpe": bpe.op4_bpe,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_url_filters": url_filters.op6_url_filters,
+    "op7_language_id": language_id.op7_language_id,
+    "op8_ann": ann.op8_ann,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
 }
 

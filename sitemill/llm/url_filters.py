@@ -97,12 +97,12 @@ def train(labelled: DataFrame, seed: int = 7) -> GBTClassificationModel | None:
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
-    """pages with host, path, rule, score (of the trees, 0 to 1, for block) and verdict (block or allow).
+    """page_id and url with host, path, rule, score (of the trees, 0 to 1, for block) and verdict (block or allow).
 
     The labelled URLs are those that a rule decides. Where these lack one of the two labels no trees can be trained: every other URL
     takes the one label there is, or allow. Null and malformed URLs have empty parts and are scored like any other.
     """
-    urls = parts(pages).withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
+    urls = parts(pages.select("page_id", "url")).withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     urls = lexical(urls).withColumn("label", (F.col("hit.verdict") == "block").cast("double"))
     stats = shared_table(suffix_statistics(urls), "url-suffixes")
     if stats.count() <= BROADCAST_SUFFIXES:
