@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from sitemill.plans import q_chains, q_contacts, q_curate, q_features
+from sitemill.plans.q_contacts import flagship
+from sitemill.plans.registry import QUERIES, SQL
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["QUERIES", "SQL", "flagship"]

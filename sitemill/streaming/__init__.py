@@ -1 +1 @@
-""""""
+"""Nothing here yet: the work is batch throughout, from tables to tables."""
