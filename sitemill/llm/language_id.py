@@ -21,6 +21,7 @@ HIDDEN = 12
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 288
 MAX_LANGUAGES = 64
+_HASHES = 1 << 40
 #: Runs that a worker labels at a time.
 BATCH_RUNS = 2048
 UNDETERMINED = "und"
@@ -118,6 +119,8 @@ class Network:
 
     def pooled(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Best language (its index) and mean probability over all bytes of each text; an empty text has 0 and 0."""
+        if not self.languages:
+            return np.zeros(len(texts), np.int64), np.zeros(len(texts))
         data = [t.encode("utf-8") for t in texts]
         runs = np.array([-(-len(b) // RUN_BYTES) for b in data], dtype=np.int64)
         total = np.zeros((len(texts), len(self.languages)))
@@ -173,14 +176,20 @@ def held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame) -> Network:
     """Trained on a bounded sample of labelled documents that are not held out: SAMPLE_DOCS a language at most, one window each.
 
-    A window of MAX_LANGUAGES languages at most, those with the most sampled rows, is learned.
+    MAX_LANGUAGES languages at most, those with the most rows, are learned.
     """
     labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not sizes:
+        return train([])
+    # A share of each language's hashes that holds its sample many times over, so that few rows are ranked however many there are.
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 4 * SAMPLE_DOCS / r["n"]) * _HASHES)))])
     hashed = F.xxhash64("doc_id", F.length("text"))
     at = F.pmod(hashed, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
-    rows = labelled.select("lang", hashed.alias("h"), F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("part"))
+    rows = labelled.filter(F.pmod(hashed, F.lit(_HASHES)) < F.try_element_at(share, F.col("lang")))
+    rows = rows.select("lang", F.pmod(hashed, F.lit(_HASHES)).alias("h"), F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("part"))
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "part"))).filter(F.col("rank") <= SAMPLE_DOCS)
-    found = [(r["part"], r["lang"]) for r in ranked.select("part", "lang", "h").limit(SAMPLE_DOCS * MAX_LANGUAGES).collect()]
+    found = [(r["part"], r["lang"]) for r in ranked.select("part", "lang").collect()]
     return train(sorted(found, key=lambda x: (x[1], x[0])))
 
 
