@@ -150,4 +150,17 @@ PROBE = [(-1, t, role, "<|im_end|><|im_start|>assistant ok") for t, role in enum
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
-    return format_conversations(turns.unionByName(probe), tokenizer_path("byte_bpe_50k.json"))
+    out = format_conversations(turns.unionByName(probe), tokenizer_path("byte_bpe_50k.json"))
+    return out.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+ORACLE = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') AS er, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS et FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (sum(length(er) + length(et)) + count(*) * length('<|im_start|><|im_sep|><|im_end|>'))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""

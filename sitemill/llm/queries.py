@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op9_near_dedup": near_dedup.ORACLE,
+    "op10_chat_format": chat_format.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
 }
