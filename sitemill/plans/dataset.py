@@ -1,4 +1,4 @@
-"""The dataset build and the scoring of new pairs, composed of the operators; nothing runs before a result is asked for."""
+"""The dataset build and the scoring of new pairs, composed of the operators. Contacts, features, splits and examples are stored once."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitemill.functions import scalar
 from sitemill.operators import chains, curate, encoders, features, joins, models, splitting
-from sitemill.plans.registry import scratch
+from sitemill.plans.registry import stored
 
 
 def site_labels(atoms: DataFrame, ligands: DataFrame, cutoff: float = 4.5) -> DataFrame:
@@ -30,7 +30,8 @@ def site_labels(atoms: DataFrame, ligands: DataFrame, cutoff: float = 4.5) -> Da
     # Only chains that a site touches get rows for it, so the residues are not paired with every site of a large entry.
     touched = hits.select("pdb_id", "chain_id", "lig_id", "lig_chain").distinct()
     labels = joins.residue_labels(residues.join(touched, ["pdb_id", "chain_id"]), hits, on)
-    return scalar.aa_one_letter(labels, "residue_3l", "residue_1l").withColumn("residue_1l", F.coalesce("residue_1l", F.lit("X")))
+    named = scalar.aa_one_letter(labels, "residue_3l", "residue_1l").withColumn("residue_1l", F.coalesce("residue_1l", F.lit("X")))
+    return stored(named, "site-labels")
 
 
 SITE = ("pdb_id", "chain_id", "lig_id", "lig_chain")
@@ -48,7 +49,7 @@ def distinct_sites(labels: DataFrame, resolutions: DataFrame) -> DataFrame:
     rows = joins.semi(pattern.join(sequences, list(SITE)), chains.filter_scattered(labels, SITE), SITE)
     fine = curate.filter_resolution(resolutions).select("pdb_id", F.col("resolution").cast("double").alias("resolution"))
     rows = rows.join(fine, "pdb_id").withColumn("row_id", scalar.make_key(F.col("pdb_id"), F.col("chain_id"), F.concat_ws("_", "lig_id", "lig_chain")))
-    return chains.dedup_across_entries(chains.dedup_within_entry(rows))
+    return stored(chains.dedup_across_entries(chains.dedup_within_entry(rows)), "sites")
 
 
 @dataclass(frozen=True)
@@ -66,11 +67,12 @@ def build_dataset(
     targets = F.transform(F.array_sort(F.collect_list(F.struct("position", "interacting"))), lambda r: r["interacting"].cast("tinyint"))
     interactions = kept.groupBy(*SITE).agg(targets.alias("targets")).join(sites.select(*SITE, "sequence_1l"), list(SITE))
     interactions = interactions.withColumn("lig_site", F.concat_ws("_", "lig_id", "lig_chain")).withColumn("key", scalar.make_key(F.col("pdb_id"), F.col("chain_id"), F.col("lig_site")))
+    interactions = stored(interactions, "interactions")
     by_chain = interactions.select("pdb_id", "chain_id", F.col("sequence_1l").alias("sequence")).distinct()
     residues = by_chain.join(encoders.with_residue_vectors(by_chain, residue_encoder), "sequence").drop("sequence")
     by_site = joins.lookup(interactions.select("lig_site", "lig_id").distinct(), smiles, "lig_id", "smiles")
     ligands = by_site.join(encoders.with_ligand_vectors(by_site, ligand_encoder, names), "smiles").select("lig_site", "features")
-    return Dataset(interactions, residues, ligands)
+    return Dataset(interactions, stored(residues, "protein-residues"), stored(ligands, "ligand-features"))
 
 
 def clean(data: Dataset) -> Dataset:
@@ -81,21 +83,15 @@ def clean(data: Dataset) -> Dataset:
 
 
 def split_base(data: Dataset, config: splitting.SplitConfig) -> DataFrame:
-    """(key, split) by entry, sequence and ligand: blind sets, whole groups for the rest, set-aside groups in test.
-
-    The rows are written to the shared folder once, since sampling and flags read them several times.
-    """
-    spark = data.interactions.sparkSession
-    path = scratch(spark, "split")
+    """(key, split) by entry, sequence and ligand: blind sets, whole groups for the rest, set-aside groups in test."""
     group = splitting.group_key(F.col("pdb_id"), F.col("sequence_1l"), F.col("lig_site"))
-    data.interactions.select("key", "pdb_id", F.col("sequence_1l").alias("sequence"), "lig_id", group.alias("group")).write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = data.interactions.select("key", "pdb_id", F.col("sequence_1l").alias("sequence"), "lig_id", group.alias("group"))
     entries, sequences = splitting.blind_entries(rows, splitting.sample_keys(rows, "sequence", config.blind, config.seed))
     kinds = splitting.classify_base(rows, entries, sequences, splitting.sample_keys(rows, "lig_id", config.blind, config.seed))
     assigned = splitting.assign_balanced(kinds.filter("category = 'candidate'"), config.val, config.test, config.seed)
     blind = kinds.filter("category like 'blind%'").select("group", "n", F.col("category").alias("split"))
     groups = splitting.add_collateral(assigned.unionByName(blind), kinds.filter("category = 'test'").select("group", "n"))
-    out = rows.join(groups.select("group", "split"), "group").select("key", "split")
+    out = stored(rows.join(groups.select("group", "split"), "group").select("key", "split"), "splits")
     splitting.assert_disjoint(out)
     return out
 
@@ -109,7 +105,7 @@ def examples(data: Dataset, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = joins.assemble_examples(own, features.apply_scaler(data.protein_residues, residue_scaler), features.apply_scaler(data.ligand_features, ligand_scaler))
     width = residue_scaler.agg(F.count("*").alias("w"))
     both = residue_scaler.unionByName(ligand_scaler.crossJoin(F.broadcast(width)).withColumn("pos", (F.col("pos") + F.col("w")).cast("int")).drop("w"))
-    return rows.join(splits, "key"), both
+    return stored(rows.join(splits, "key"), "examples"), stored(both, "scaler")
 
 
 def score_new(

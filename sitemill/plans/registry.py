@@ -38,3 +38,10 @@ def scratch(spark: SparkSession, name: str) -> str:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         found = spark.sparkContext.getCheckpointDir()
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: what follows neither computes it again nor depends on a live executor."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
