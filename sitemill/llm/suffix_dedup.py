@@ -267,7 +267,8 @@ def repeated_spans(docs: DataFrame, length: int, first: bool) -> DataFrame:
     if not large.isEmpty():
         runs = runs.unionByName(_by_windows(fetched.join(large, "ah", "left_semi"), length, first))
     marks = contexts.join(shared_table(runs, "suffix-runs"), ["ah", "ch"], "left").filter(F.col("runs").isNotNull() | (F.col("n") > 1))
-    hits = found.join(marks, ["ah", "ch"])
+    # Written once, so that both sides of the join below are plain exchanges: Spark then splits the contexts that very many texts hold.
+    hits = found.join(shared_table(marks, "suffix-marks"), ["ah", "ch"])
     alike = F.col("n") > 1
     if first:  # the first of equal contexts keeps what no other context has before it
         alike = alike & (where != F.col("rep"))
