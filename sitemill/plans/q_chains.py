@@ -63,13 +63,13 @@ def q_residue_author_map(spark, d):
 
 @query(
     "filter_structures",
-    f"""WITH {ATOMS_SQL}, o AS (SELECT * FROM a WHERE grp = 'ATOM' AND pdb_id % 3 = 0 AND asym = 'F')
-    SELECT pdb_id, asym, line_no, comp FROM o UNION ALL SELECT pdb_id, asym, line_no, comp FROM a WHERE grp = 'HETATM' AND asym = 'F' AND pdb_id % 3 = 0 AND comp IN ('L1', 'L4')
-    AND pdb_id IN (SELECT pdb_id FROM o)""",
+    f"""WITH {ATOMS_SQL}, o AS (SELECT * FROM a WHERE grp = 'ATOM' AND (pdb_id, asym) IN (SELECT (pdb_id, asym) FROM a WHERE seq_id = 0))
+    SELECT pdb_id, asym, line_no, comp FROM o UNION ALL SELECT pdb_id, asym, line_no, comp FROM a WHERE grp = 'HETATM' AND comp IN ('L1', 'L4')
+    AND (pdb_id, asym) IN (SELECT (pdb_id, asym) FROM o)""",
 )
 def q_filter_structures(spark, d):
     a = atoms(spark, d)
-    listed = a.filter("pdb_id % 3 = 0 and asym = 'F'").select("pdb_id", "asym")
+    listed = a.filter("seq_id = 0").select("pdb_id", "asym")
     return chains.filter_structures(a, listed, a.filter(F.col("comp").isin("L1", "L4")).select("comp")).select("pdb_id", "asym", "line_no", "comp")
 
 

@@ -48,13 +48,13 @@ def q_keyword_flag(spark, d):
     return T(spark, d, "part").select("p_partkey", curate.keyword_flag(F.col("p_type"), ["STEEL", "Tin"]).alias("flag"))
 
 
-_ORGANISMS_SQL = "o AS (SELECT source, string_agg(DISTINCT lang, '; ' ORDER BY lang) AS organisms FROM documents WHERE doc_id % 3 <> 0 GROUP BY source)"
+_ORGANISMS_SQL = "o AS (SELECT source, string_agg(DISTINCT lang, '; ' ORDER BY lang) AS organisms FROM documents GROUP BY source)"
 
 
 def _organisms(spark, d):
     from sitemill.operators.chains import concat_distinct
 
-    docs = T(spark, d, "documents").filter("doc_id % 3 <> 0").withColumnRenamed("lang", "organisms")
+    docs = T(spark, d, "documents").withColumnRenamed("lang", "organisms")
     return concat_distinct(docs, ["source"], "organisms").select("source", "organisms")
 
 

@@ -123,7 +123,7 @@ def q_assemble_examples(spark, d):
     own = interactions(spark, d)
     keys = own.select("pdb_id", "chain_id").distinct().withColumn("ord", F.explode(F.array(*map(F.lit, range(3)))))
     residues = keys.withColumn("vec_id", F.col("pdb_id") % 400 + F.col("ord")).join(e, "vec_id").select("pdb_id", "chain_id", "ord", F.col("embedding").alias("features"))
-    ligands = e.filter("vec_id < 50 and vec_id <> 7").select(F.col("vec_id").alias("lig_site"), F.slice("embedding", 1, 8).alias("features"))
+    ligands = e.filter("vec_id <> 7").select(F.col("vec_id").alias("lig_site"), F.slice("embedding", 1, 8).alias("features"))
     out = joins.assemble_examples(own, residues, ligands)
     pick = lambda k: F.round(F.get("features", k).cast("double"), 6)
     return out.select("key", "ord", "label", pick(0).alias("residue_value"), pick(64).alias("ligand_value"), F.size("features").alias("width"))

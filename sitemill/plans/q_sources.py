@@ -31,14 +31,13 @@ def q_read_token_list(spark, d):
     return readers.read_token_list(spark, _text(lines, "tokens"))
 
 
-@query("read_table", "SELECT n_nationkey::VARCHAR AS n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'NA' WHEN n_nationkey % 5 = 1 THEN '' ELSE n_name END AS n_name, l.l_orderkey::VARCHAR AS l_orderkey FROM nation, (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0) l")
+@query("read_table", "SELECT c_custkey::VARCHAR AS c_custkey, CASE WHEN c_nationkey % 5 = 0 THEN 'NA' WHEN c_nationkey % 5 = 1 THEN '' ELSE c_name END AS c_name FROM customer")
 def q_read_table(spark, d):
-    keys = T(spark, d, "lineitem").filter("l_linenumber = 1 and l_orderkey % 10 = 0").select(F.col("l_orderkey").cast("string").alias("l_orderkey"))
-    name = F.when(F.col("n_nationkey") % 5 == 0, "NA").when(F.col("n_nationkey") % 5 == 1, "").otherwise(F.col("n_name"))
-    rows = T(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("n_nationkey"), name.alias("n_name"))  # 25 rows
+    name = F.when(F.col("c_nationkey") % 5 == 0, "NA").when(F.col("c_nationkey") % 5 == 1, "").otherwise(F.col("c_name"))
+    rows = T(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), name.alias("c_name"))
     path = scratch(spark, "table")
-    keys.join(F.broadcast(rows)).select("n_nationkey", "n_name", "l_orderkey").write.csv(path, header=True, emptyValue="")
-    return readers.read_table(spark, path, "n_nationkey string, n_name string, l_orderkey string")
+    rows.write.csv(path, header=True, emptyValue="")
+    return readers.read_table(spark, path, "c_custkey string, c_name string")
 
 
 @query("read_headerless", "SELECT p_partkey::VARCHAR AS id, p_brand AS name, p_type AS Org_0, CASE WHEN p_size % 2 = 0 THEN p_name END AS Org_1 FROM part")

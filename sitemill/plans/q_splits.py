@@ -45,18 +45,18 @@ def q_group_key(spark, d):
 
 
 _BLIND_SQL = f"""{INTERACTIONS_SQL}, {_sample_sql('ss', 'sequence', BASE.blind, BASE.seed)}, {_sample_sql('sl', 'lig_id', BASE.blind, BASE.seed)},
-be AS (SELECT DISTINCT pdb_id FROM i WHERE sequence IN (SELECT sequence FROM ss) AND pdb_id % 7 = 0),
-bs AS (SELECT DISTINCT sequence FROM i WHERE pdb_id IN (SELECT pdb_id FROM be WHERE pdb_id % 700 = 0) AND sequence IS NOT NULL),
+be AS (SELECT DISTINCT pdb_id FROM i WHERE sequence IN (SELECT sequence FROM ss) AND scaffold IS NULL),
+bs AS (SELECT DISTINCT sequence FROM i WHERE scaffold IS NULL AND chain_id = '1' AND sequence IN (SELECT sequence FROM ss)),
 g AS (SELECT pdb_id || ':' || coalesce(sequence, 'None') || ':' || lig_site AS "group", count(*) AS n, bool_or(pdb_id IN (SELECT pdb_id FROM be)) AS e,
              bool_or(coalesce(sequence IN (SELECT sequence FROM bs), false)) AS s, bool_or(lig_id IN (SELECT lig_id FROM sl)) AS l FROM i GROUP BY 1),
 c AS (SELECT "group", n, CASE WHEN e AND l THEN 'blind' WHEN e THEN 'blind_protein' WHEN l AND NOT s THEN 'blind_ligand' WHEN s THEN 'test' ELSE 'candidate' END AS category FROM g)"""
 
 
 def _base(spark, d):
-    """Brands are few, so only every seventh entry may be blind, and fewer still spread their sequences."""
+    """Brands are few, so only chains without a scaffold may turn their entry blind, and only the first chains among them spread their sequences."""
     rows = interactions(spark, d).withColumn("group", sp.group_key(F.col("pdb_id").cast("string"), F.col("sequence"), F.col("lig_site")))
-    entries, _ = sp.blind_entries(rows.filter("pdb_id % 7 = 0"), sp.sample_keys(rows, "sequence", BASE.blind, BASE.seed))
-    _, sequences = sp.blind_entries(rows.filter("pdb_id % 700 = 0"), sp.sample_keys(rows, "sequence", BASE.blind, BASE.seed))
+    entries, _ = sp.blind_entries(rows.filter("scaffold is null"), sp.sample_keys(rows, "sequence", BASE.blind, BASE.seed))
+    _, sequences = sp.blind_entries(rows.filter("scaffold is null and chain_id = '1'"), sp.sample_keys(rows, "sequence", BASE.blind, BASE.seed))
     return rows, entries, sequences, sp.sample_keys(rows, "lig_id", BASE.blind, BASE.seed)
 
 
@@ -102,12 +102,12 @@ def q_classify_cluster(spark, d):
 
 @query(
     "remove_leakage",
-    f"""WITH {_CLUSTER_SQL}, bc AS (SELECT DISTINCT cluster_id FROM i WHERE pdb_id IN (SELECT pdb_id FROM ce) AND pdb_id % 50 = 0)
+    f"""WITH {_CLUSTER_SQL}, bc AS (SELECT DISTINCT cluster_id FROM i WHERE pdb_id IN (SELECT pdb_id FROM ce) AND scaffold IS NULL)
     SELECT key FROM i WHERE pdb_id NOT IN (SELECT pdb_id FROM ce) AND cluster_id NOT IN (SELECT cluster_id FROM bc) AND (scaffold IS NULL OR scaffold NOT IN (SELECT scaffold FROM fs))""",
 )
 def q_remove_leakage(spark, d):
     rows, chains, _, scaffolds = _clustered(spark, d)
-    clusters = rows.join(chains, ["pdb_id", "chain_id"], "left_semi").filter("pdb_id % 50 = 0").select("cluster_id")
+    clusters = rows.join(chains, ["pdb_id", "chain_id"], "left_semi").filter("scaffold is null").select("cluster_id")
     candidates = rows.join(chains.select("pdb_id").distinct(), "pdb_id", "left_anti")
     return sp.remove_leakage(candidates, clusters, scaffolds).select("key")
 
@@ -171,7 +171,7 @@ def q_keep_representatives(spark, d):
     return sp.keep_representatives(rows, rows.select("pdb_id", "chain_id", "sequence"), reps).select("key").distinct()
 
 
-_RESTRICT_SQL = f"{INTERACTIONS_SQL}, rs AS (SELECT * FROM i WHERE lig_id % 3 = 0)"
+_RESTRICT_SQL = f"{INTERACTIONS_SQL}, rs AS (SELECT * FROM i WHERE scaffold IS NOT NULL)"
 
 
 @query(
@@ -180,20 +180,20 @@ _RESTRICT_SQL = f"{INTERACTIONS_SQL}, rs AS (SELECT * FROM i WHERE lig_id % 3 =
 )
 def q_restrict_dataset(spark, d):
     rows = interactions(spark, d)
-    out = sp.restrict_dataset(rows, rows.select("pdb_id", "chain_id").distinct(), rows.select("lig_site").distinct(), rows.filter("lig_id % 3 = 0").select("key"))
+    out = sp.restrict_dataset(rows, rows.select("pdb_id", "chain_id").distinct(), rows.select("lig_site").distinct(), rows.filter("scaffold is not null").select("key"))
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in out.items()]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @query(
     "write_dataset",
-    f"WITH {_RESTRICT_SQL} SELECT 'interactions' AS what, count(*) AS n FROM rs UNION ALL SELECT 'ligand_features', count(DISTINCT lig_site) FROM rs",
+    f"WITH {INTERACTIONS_SQL} SELECT 'interactions' AS what, count(*) AS n FROM i UNION ALL SELECT 'ligand_features', count(DISTINCT lig_site) FROM i",
 )
 def q_write_dataset(spark, d):
     """Written to the shared folder and read back; entities that come once an interaction are stored once."""
     from sitemill.plans.registry import scratch
 
-    rows = interactions(spark, d).filter("lig_id % 3 = 0")
+    rows = interactions(spark, d)
     path = scratch(spark, "dataset")
     write_dataset({"interactions": rows.withColumn("split", F.when(F.col("pdb_id") % 2 == 0, "train").otherwise("val")), "ligand_features": rows.select("lig_site")}, path)
     back = read_dataset(spark, path, ["interactions", "ligand_features"])
