@@ -256,12 +256,15 @@ def repeated_spans(docs: DataFrame, length: int, first: bool) -> DataFrame:
 
     docs: did, th, text. A mark without runs stands for a context that other texts, or another place, hold as it is.
     """
-    found = shared_table(_anchor_rows(docs, length), "suffix-anchors")
+    every = shared_table(_anchor_rows(docs, length), "suffix-anchors")
+    # An anchor that stands once in all texts has no partner; most are such, and only their hashes are shuffled to tell.
+    met = shared_table(every.groupBy("ah").agg(F.count("*").alias("n_places")).filter("n_places > 1").select("ah"), "suffix-met")
+    found = shared_table(every.join(met, "ah", "left_semi"), "suffix-places")
     where = F.struct("did", "th", "pos")
     contexts = shared_table(found.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(where).alias("rep")), "suffix-contexts")
     per_anchor = contexts.groupBy("ah").agg(F.count("*").alias("n_contexts")).filter("n_contexts > 1")
-    several = contexts.join(per_anchor, "ah").select("ah", "ch", "n_contexts", "rep.did", "rep.th", "rep.pos")
-    fetched = shared_table(_fetch(docs, several, length), "suffix-texts")
+    differing = contexts.join(per_anchor, "ah").select("ah", "ch", "n_contexts", "rep.did", "rep.th", "rep.pos")
+    fetched = shared_table(_fetch(docs, differing, length), "suffix-texts")
     large = per_anchor.filter(F.col("n_contexts") > MAX_GROUP).select("ah")
     runs = _ordered(fetched.join(large, "ah", "left_anti"), length, first)
     if not large.isEmpty():
