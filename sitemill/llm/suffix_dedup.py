@@ -262,7 +262,8 @@ def repeated_spans(docs: DataFrame, length: int, first: bool) -> DataFrame:
     found = shared_table(every.join(met, "ah", "left_semi"), "suffix-places")
     where = F.struct("did", "th", "pos")
     contexts = shared_table(found.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(where).alias("rep")), "suffix-contexts")
-    per_anchor = contexts.groupBy("ah").agg(F.count("*").alias("n_contexts")).filter("n_contexts > 1")
+    # Written, so that the join by anchor has plain exchanges on both sides: Spark then splits an anchor of very many contexts.
+    per_anchor = shared_table(contexts.groupBy("ah").agg(F.count("*").alias("n_contexts")).filter("n_contexts > 1"), "suffix-differing")
     differing = contexts.join(per_anchor, "ah").select("ah", "ch", "n_contexts", "rep.did", "rep.th", "rep.pos")
     fetched = shared_table(_fetch(docs, differing, length), "suffix-texts")
     large = per_anchor.filter(F.col("n_contexts") > MAX_GROUP).select("ah")
