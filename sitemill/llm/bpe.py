@@ -193,28 +193,83 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-#: Ids that are decoded at a time, so that a long text needs bounded memory beside itself.
+#: Ids of one row at most, so that a long text needs bounded memory beside itself.
 DECODE_IDS = 1 << 18
+#: Bytes of one batch that is handed on, about.
+BATCH_BYTES = 1 << 23
+ENCODED = "doc_id long, run long, ids array<int>, text string"
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("run", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """Per document the number of ids, and digests of the ids and of the decoded text; a null text is empty. No shuffle."""
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """Each document's ids and their decoded text, in runs of DECODE_IDS ids. No shuffle.
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A document's rows follow each other by run, from 0; its ids are its runs' ids one after another, its decoded text the runs' texts
+    with a blank between them. A null text is empty; an empty one has one run without ids. Repeated rows have runs of their own.
+    """
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
+        out, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal out, held
+            ids = [x[2] for x in out]
+            ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            values = np.concatenate([np.zeros(0, "<u4"), *ids]).astype(np.int32)
+            columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(values))]
+            columns.append(pa.array([x[3] for x in out], pa.binary()).cast(pa.string()))
+            out, held = [], 0
+            return pa.record_batch(columns, schema=_ENCODED)
+
         for batch in batches:
-            out = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = bpe.encode(text or "")
-                decoded = hashlib.sha256()
-                for k in range(0, len(ids), DECODE_IDS):
-                    decoded.update((b" " if k else b"") + bpe.decode(ids[k : k + DECODE_IDS]))
-                out.append((doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), decoded.hexdigest()))
-            yield pa.record_batch([list(c) for c in zip(*out, strict=True)] if out else [[], [], [], []], schema=_ARROW)
+                for run, k in enumerate(range(0, len(ids) or 1, DECODE_IDS)):
+                    part = ids[k : k + DECODE_IDS]
+                    out.append((doc_id, run, part, bpe.decode(part)))
+                    held += 4 * len(part) + len(out[-1][3])
+                    if held >= BATCH_BYTES:
+                        yield flush()
+        yield flush()
+
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(runs, ENCODED)
+
+
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """Per document the number of ids, and digests of the ids and of the decoded text of encode_documents. No shuffle."""
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(digests, SCHEMA)
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done = None, []  # now: doc_id, ids so far, and the digests of the document whose runs are read
+
+        def close() -> None:
+            if now is not None:
+                done.append((now[0], now[1], now[2].hexdigest(), now[3].hexdigest()))
+
+        for batch in batches:
+            ids = batch.column(2)
+            values, ends = ids.values.to_numpy().view("<u4"), ids.offsets.to_numpy()
+            texts = batch.column(3)
+            for k, (doc_id, run) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1)), strict=True)):
+                if run == 0:
+                    close()
+                    now = [doc_id, 0, hashlib.sha256(), hashlib.sha256()]
+                part = values[ends[k] : ends[k + 1]]
+                now[1] += len(part)
+                now[2].update(part.tobytes())
+                now[3].update(b" " if run else b"")
+                now[3].update(texts[k].as_buffer())  # no copy of the text
+            if done:
+                yield pa.record_batch([list(c) for c in zip(*done, strict=True)], schema=_ARROW)
+                done.clear()
+        close()
+        yield pa.record_batch([list(c) for c in zip(*done, strict=True)] if done else [[], [], [], []], schema=_ARROW)
+
+    return encode_documents(docs, path).mapInArrow(digests, SCHEMA)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,75 @@ def mask_spans(offsets: np.ndarray, spans: np.ndarray) -> list[list[tuple[int, i
     return out
 
 
+RENDERED = "conv_id long, run long, start long, rendered string, ids array<int>, loss_mask array<boolean>, loss_spans array<struct<start:int,end:int>>"
+_SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+_RENDERED = pa.schema([
+    ("conv_id", pa.int64()), ("run", pa.int64()), ("start", pa.int64()), ("rendered", pa.string()), ("ids", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_())), ("loss_spans", pa.list_(_SPAN)),
+])
+
+
+def _encode_run(rendered: str, path: str, learned_role: str) -> tuple[list[int], list[bool], list[dict]]:
+    """The run's ids, which of them touch a learned text, and the parts of these texts that tokens cover."""
+    encoded = _tokenizer(path).encode(rendered, add_special_tokens=False)
+    offsets = np.array(encoded.offsets, dtype=np.int64).reshape(-1, 2)
+    spans = np.array([t[2:] for t in parse(rendered) if t[0] == learned_role and t[3] > t[2]], dtype=np.int64).reshape(-1, 2)
+    mask = np.zeros(len(offsets), dtype=bool)
+    for a, b in zip(np.searchsorted(offsets[:, 1], spans[:, 0], side="right").tolist(), np.searchsorted(offsets[:, 0], spans[:, 1], side="left").tolist(), strict=True):
+        mask[a:b] = True
+    return encoded.ids, mask.tolist(), [{"start": s, "end": e} for pieces in mask_spans(offsets, spans) for s, e in pieces]
+
+
+def render_conversations(turns: DataFrame, tokenizer: str, learned_role: str = LEARNED_ROLE) -> DataFrame:
+    """Each conversation as rendered string, ids, loss mask by id and loss spans, in runs of whole turns of about RUN_CHARS characters.
+
+    A conversation's rows follow each other by run, from 0: its string and ids are those of the runs one after another. start is the
+    number of characters before the run; loss_spans count in the run's own string, one for each token that covers new characters.
+    Turns are taken by turn, ties by role and text; a null turn comes first, null roles and texts are empty. Rows without conv_id form
+    one conversation of their own; repeated rows are turns of their own. A task streams over its sorted turns and holds one run of
+    turns at a time, however long a conversation is. No turns give no rows.
+    """
+    rows = turns.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    rows = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+
+    def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, waiting = None, [], 0  # now: conv_id, run, characters before it; out: rows of waiting characters
+        run, held = [], 0
+
+        def flush() -> None:
+            nonlocal run, held, waiting
+            if run:
+                rendered = "".join(run)
+                out.append((*now, rendered, *_encode_run(rendered, tokenizer, learned_role)))
+                now[1:] = now[1] + 1, now[2] + len(rendered)
+                waiting += len(rendered)
+            run, held = [], 0
+
+        def table() -> pa.RecordBatch:
+            nonlocal out, waiting
+            made = pa.record_batch([list(c) for c in zip(*out, strict=True)], schema=_RENDERED)
+            out, waiting = [], 0
+            return made
+
+        for batch in batches:
+            for conv_id, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is None or now[0] != conv_id:
+                    flush()
+                    now = [conv_id, 0, 0]
+                run.append(render_turn(role, text))
+                held += len(run[-1])
+                if held > RUN_CHARS:
+                    flush()
+                if waiting > RUN_CHARS:
+                    yield table()
+        flush()
+        if out:
+            yield table()
+
+    return rows.mapInArrow(render, RENDERED)
+
+
 class _Reader:
     """What is read back from one conversation's rendered runs; keeps sums and digests, not the text."""
 
@@ -77,21 +146,18 @@ class _Reader:
         self.conv_id, self.turns, self.loss_chars, self.chars, self.tokens, self.loss_tokens = conv_id, 0, 0, 0, 0, 0
         self.said, self.learned = hashlib.sha256(), hashlib.sha256()
 
-    def take(self, rendered: str, path: str, learned_role: str) -> None:
+    def take(self, rendered: str, n_tokens: int, starts: np.ndarray, ends: np.ndarray) -> None:
+        """starts, ends: the run's loss spans. Each turn's are joined before escapes are undone."""
         self.chars += len(rendered)
-        encoded = _tokenizer(path).encode(rendered, add_special_tokens=False)
-        offsets = np.array(encoded.offsets, dtype=np.int64).reshape(-1, 2)
-        self.tokens += len(offsets)
-        turns = parse(rendered)
-        for role, text, _, _ in turns:
+        self.tokens += n_tokens
+        self.loss_tokens += len(starts)
+        for role, text, lo, hi in parse(rendered):
             self.turns += 1
             self.said.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        spans = np.array([t[2:] for t in turns if t[0] == learned_role], dtype=np.int64).reshape(-1, 2)
-        for pieces in mask_spans(offsets, spans):
-            self.loss_tokens += len(pieces)
-            text = unescape("".join(rendered[s:e] for s, e in pieces))
-            self.loss_chars += len(text)
-            self.learned.update(text.encode("utf-8", "surrogatepass"))
+            own = slice(*np.searchsorted(starts, (lo, hi)))
+            learned = unescape("".join(rendered[s:e] for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)))
+            self.loss_chars += len(learned)
+            self.learned.update(learned.encode("utf-8", "surrogatepass"))
 
     def row(self) -> tuple:
         return (self.conv_id, self.turns, self.said.hexdigest(), self.loss_chars, self.learned.hexdigest(), self.chars, self.tokens, self.loss_tokens)
@@ -102,45 +168,27 @@ _ARROW = pa.schema([(n, pa.string() if "sha" in n else pa.int64()) for n in (c.s
 
 
 def format_conversations(turns: DataFrame, tokenizer: str, learned_role: str = LEARNED_ROLE) -> DataFrame:
-    """One row per conversation: digests of what the rendered string and its loss mask give when read back.
-
-    Turns are taken by turn, ties by role and text; a null turn comes first, null roles and texts are empty. Rows without conv_id form
-    one conversation of their own; repeated rows are turns of their own. A task streams over its sorted turns and holds one run of
-    turns at a time, however long a conversation is. No turns give no rows.
-    """
-    rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    rows = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
+    """One row per conversation: digests of what the strings and loss spans of render_conversations give when read back."""
 
     def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, run, held = None, [], 0
-
-        def flush() -> None:
-            nonlocal run, held
-            if run:
-                now.take("".join(run), tokenizer, learned_role)
-            run, held = [], 0
-
+        now, done = None, []
         for batch in batches:
-            done = []
-            for conv_id, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now is None or now.conv_id != conv_id:
+            sizes, spans = np.diff(batch.column(3).offsets.to_numpy()), batch.column(4)
+            starts, ends = (spans.values.field(k).to_numpy() for k in (0, 1))
+            at = spans.offsets.to_numpy()
+            for k, (conv_id, run, rendered) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True)):
+                if run == 0:
                     if now is not None:
-                        flush()
                         done.append(now.row())
                     now = _Reader(conv_id)
-                run.append(render_turn(role, text))
-                held += len(run[-1])
-                if held > RUN_CHARS:
-                    flush()
+                now.take(rendered, int(sizes[k]), starts[at[k] : at[k + 1]], ends[at[k] : at[k + 1]])
             if done:
                 yield pa.record_batch([list(c) for c in zip(*done, strict=True)], schema=_ARROW)
+                done.clear()
         if now is not None:
-            flush()
             yield pa.record_batch([[x] for x in now.row()], schema=_ARROW)
 
-    return rows.mapInArrow(read_back, SCHEMA)
+    return render_conversations(turns, tokenizer, learned_role).select("conv_id", "run", "rendered", "ids", "loss_spans").mapInArrow(read_back, SCHEMA)
 
 
 #: A conversation of control strings, which every run of the registered query formats beside the table's.

@@ -138,6 +138,71 @@ def test_packing(docs, empty, texts):
     assert packing.pack(empty, tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packed_ids_and_loss(spark, docs, texts):
+    """The ids of the pieces are the documents', and the masks bound the loss of a sequence."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    encode = packing.encoder(path).encode
+    got = {}
+    for r in packing.pack(docs.filter("doc_id <> 2"), path).collect():
+        got.setdefault(r["doc_id"], {})[r["start"]] = r
+        assert r["loss_spans"] == [(0, r["length"])] and len(r["ids"]) == r["length"]
+    for i, t in texts:
+        if i != 2:
+            assert [x for _, r in sorted(got[i].items()) for x in r["ids"]] == [*np.frombuffer(encode(t or ""), "<u4").tolist(), 1]
+    rows = [(0, "é漢 word " * 90, [(0, 40), (700, 720)]), (1, "plain " * 60, []), (2, "plain " * 60, None), (3, "to the end", [(3, 10)]), (4, "a <|endoftext|> b " * 9, [(2, 15)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, marks array<struct<start:int,end:int>>").repartition(1)
+    limits, loss, out = packing.Limits(200, 16, 30), {}, {}
+    for r in packing.pack(df, path, limits, "marks").collect():
+        marked = {k for s, e in r["loss_spans"] for k in range(s, e)}
+        loss[r["sequence_id"]] = loss.get(r["sequence_id"], 0) + len(marked)
+        out.setdefault(r["doc_id"], []).extend((r["start"] + k, x, k in marked) for k, x in enumerate(r["ids"]))
+    assert max(loss.values()) <= 30
+    exact = packing.encoder(path).exact
+    for i, t, spans in rows:
+        want = exact.encode(t, add_special_tokens=False)
+        mask = [spans is None or any(a < e and s < b for s, e in spans) for a, b in want.offsets]
+        mask.append(spans is None or any(s < len(t) <= e for s, e in spans))
+        assert [x[1:] for x in sorted(out[i])] == list(zip([*want.ids, 1], mask, strict=True)), i
+
+
+def test_encoded_documents(docs, texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    got = {}
+    for r in bpe.encode_documents(docs.filter("doc_id <> 2"), path).collect():
+        got.setdefault(r["doc_id"], []).append((r["run"], r["ids"], r["text"]))
+    for i, text in texts:
+        if i != 2:
+            ids = t.encode(text or "", add_special_tokens=False).ids
+            assert [x for _, part, _ in sorted(got[i]) for x in part] == ids
+            assert " ".join(x[2] for x in sorted(got[i])) == t.decode(ids, skip_special_tokens=False)
+    whole = sorted(map(tuple, bpe.round_trip(docs, path).collect()), key=str)
+    monkeypatch.setattr(bpe, "DECODE_IDS", 50)
+    assert bpe.encode_documents(docs, path).filter("run > 0 and size(ids) <= 50").count() > 100
+    assert sorted(map(tuple, bpe.round_trip(docs, path).collect()), key=str) == whole
+
+
+def test_rendered_conversations(spark, monkeypatch):
+    path = tokenizer_path("byte_bpe_50k.json")
+    rows = [(1, k, "assistant" if k % 2 else "user", f"é <|im_end|> turn {k} <") for k in range(12)] + [(2, 0, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = "".join(chat_format.render_turn(r[2], r[3]) for r in rows[:12])
+    digests = sorted(map(tuple, chat_format.format_conversations(df, path).collect()))
+    for chars in (1 << 20, 60):
+        monkeypatch.setattr(chat_format, "RUN_CHARS", chars)
+        out = sorted((r for r in chat_format.render_conversations(df, path).collect() if r["conv_id"] == 1), key=lambda r: r["run"])
+        assert "".join(r["rendered"] for r in out) == want and (len(out) > 1) == (chars == 60)
+        encoded = chat_format._tokenizer(path).encode(want, add_special_tokens=False)
+        assert [x for r in out for x in r["ids"]] == encoded.ids
+        spans = [x[2:] for x in chat_format.parse(want) if x[0] == "assistant"]
+        assert [x for r in out for x in r["loss_mask"]] == [any(a < e and s < b for s, e in spans) for a, b in encoded.offsets]
+        covered = {r["start"] + k for r in out for s, e in r["loss_spans"] for k in range(s, e)}
+        assert covered == {k for s, e in spans for k in range(s, e)}
+        assert sorted(map(tuple, chat_format.format_conversations(df, path).collect())) == digests
+
+
 def test_secret_scan(docs, empty, texts):
     got = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
     assert got[19]["n_assign"] == 1 and got[12]["spans"] == "" and len(got) == len({i for i, _ in texts})
