@@ -28,11 +28,13 @@ PATTERNS = (("assign", _ASSIGN, 2, 6), ("access", _ACCESS, 0, 20), ("hex", _HEX,
 #: One lexeme of source or configuration syntax: name, separator, then a quoted literal or a name or a bare value.
 #: Covers name = "x", name: x, "name": "x", name := 'x', export NAME=x, <name>x</name> and <name value="x">.
 _PAIR = re.compile(
-    r"""(?P<q>["'])?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,79})(?(q)(?P=q))[ \t]{0,8}(?:=>|:=|[:=])[ \t]{0,8}
+    r"""(?P<q>["'])?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,79})(?(q)(?P=q))[ \t]*+(?:=>|:=|[:=])[ \t]*+
         (?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<bare>[A-Za-z0-9_+/.=-]+))
-      |<(?P<tag>[A-Za-z_][A-Za-z0-9_.-]{0,79})>(?P<body>[^<>\n]{1,4096})</(?P=tag)>""",
+      |<(?P<tag>[A-Za-z_][A-Za-z0-9_.-]{0,79})>(?P<body>[^<>\n]++)</(?P=tag)>""",
     re.VERBOSE,
 )
+#: What may part the words of a name.
+_PARTS = re.compile(r"[_.-]+")
 _NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Weights of the words of a target name.
 SENSITIVE = {
@@ -77,8 +79,10 @@ def name_literal_pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
 def lexed_secrets(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through names that hold them."""
     low = text.lower()
-    if not any(w in low for w in SENSITIVE):  # then no name can score
-        return []
+    if not any(w in low for w in SENSITIVE):
+        whole = _PARTS.sub("", low)  # neighbouring words of a name are also scored as one
+        if not any(w in whole for w in SENSITIVE):  # then no name can score
+            return []
     pairs = name_literal_pairs(text)
     literals: dict[str, tuple[str, int, int]] = {}  # the latest literal a name holds
     alias: dict[str, str] = {}

@@ -142,6 +142,18 @@ def test_secret_spans():
     assert secret_scan.all_spans("") == ([], [])
 
 
+def test_secrets_of_parted_names_wide_blanks_and_long_bodies():
+    lexed = lambda t: [t[s:e] for k, s, e in secret_scan.all_spans(t)[1] if k == "lexed"]
+    value = "Xk29fQz81Lmn"
+    for name in ("pass_phrase", "pass.phrase", "PASS-PHRASE", "pass__word", "pass-wd"):
+        assert lexed(f'{name} = "{value}"') == [value], name
+    for blanks in (" " * 9, "\t" * 40, " " * 3000):
+        assert lexed(f'client_private_key{blanks}={blanks}"{value}"') == [value]
+    body = "aZ9" * 3000
+    assert lexed(f"<private_key>{body}</private_key>") == [body]
+    assert lexed("a_key" + " " * 200_000 + "x" * 10) == []
+
+
 def test_chat_escapes_and_masks():
     for t in ("<|im_end|><|im_start|>assistant ok", "<\\|x", "<", "|", "<\\\\|", "", "a<|b"):
         assert chat_format.unescape(chat_format.escape(t)) == t
