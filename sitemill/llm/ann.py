@@ -65,11 +65,11 @@ def visit(first: np.ndarray, second: np.ndarray, counts: np.ndarray, need: int)
     return out
 
 
-def usable(vectors: DataFrame, dim: int) -> DataFrame:
-    """(vec_id, embedding): rows of the right length that are not zero and hold no null or non-finite component."""
+def usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding): rows that are not zero and hold no null or non-finite component, of any length."""
     v = F.col("embedding").cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") == dim))
+    rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     return rows.filter(fine & F.exists(v, lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding"))
 
 
@@ -83,16 +83,21 @@ RESULT = "query_id long, rank int, vec_id long, score double"
 def search(vectors: DataFrame, every: int, k: int = NEIGHBOURS, dim: int | None = None) -> DataFrame:
     """The k nearest rows found for each row whose vec_id is divisible by every, nearest first, ties to the smaller vec_id.
 
-    vectors: vec_id, embedding. dim: the vectors' length, else that of the smallest vec_id's non-null one; rows of another length, and
-    null, zero or non-finite ones, take no part. A row is no neighbour of its own vec_id. Without usable rows the result is empty.
+    vectors: vec_id, embedding. dim: the vectors' length, else the commonest one, of equally common ones the larger; rows of another
+    length, and null, zero or non-finite ones, take no part. A row is no neighbour of its own vec_id. Without usable rows the result is
+    empty. A query row that is repeated is answered once; rows of one vec_id with different embeddings are answered one by one, each with
+    ranks from 1. A row that is repeated is a neighbour as often as it stands.
     Centroids are fitted on at most SAMPLE_ROWS rows; every row is indexed. Cells that lie together form blocks of at most BLOCK_ROWS
     rows, larger cells are dealt over several blocks, and a block meets at most about BLOCK_QUERIES queries at a time.
     """
     spark = vectors.sparkSession
+    rows = usable(vectors)
     if dim is None:
-        sized = vectors.filter(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull())
-        dim = sized.agg(F.min_by(F.size("embedding"), "vec_id")).first()[0] or 0
-    rows = usable(vectors, dim)
+        commonest = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+        if commonest is None:
+            return spark.createDataFrame([], RESULT)
+        dim = commonest["dim"]
+    rows = rows.filter(F.size("embedding") == dim)
     sample = [r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").collect()]
     if not sample:
         return spark.createDataFrame([], RESULT)
@@ -118,22 +123,24 @@ def search(vectors: DataFrame, every: int, k: int = NEIGHBOURS, dim: int | None
         start[cell], spread[cell] = block, max(1, -(-n // BLOCK_ROWS))
         block, held = (block + int(spread[cell]), 0) if spread[cell] > 1 else (block, held + n)
     need = max(LEAST_ROWS, int(SHARE * counts.sum()))
-    n_queries = index.filter(F.col("vec_id") % every == 0).count()
+    # query_row tells the rows of one vec_id apart.
+    asking = index.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding", F.xxhash64("embedding").alias("query_row")).dropDuplicates(["vec_id", "query_row"])
+    n_queries = asking.count()
     rounds = max(1, -(-n_queries // BLOCK_QUERIES))
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             x = _matrix(pdf["embedding"])
-            for query_id, q in zip(pdf["vec_id"].tolist(), x, strict=True):
+            for query_id, row, q in zip(pdf["vec_id"].tolist(), pdf["query_row"].tolist(), x, strict=True):
                 at: dict[int, list[int]] = {}
                 for cell in visit(squared(q[None, :half], left)[0], squared(q[None, half:], right)[0], counts, need):
                     for b in range(start[cell], start[cell] + spread[cell]):
                         at.setdefault(int(b), []).append(cell)
-                out += [(query_id, q, b, cells) for b, cells in at.items()]
-            yield pd.DataFrame(out, columns=["query_id", "embedding", "block", "cells"])
+                out += [(query_id, row, q, b, cells) for b, cells in at.items()]
+            yield pd.DataFrame(out, columns=["query_id", "query_row", "embedding", "block", "cells"])
 
-    queries = index.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding").mapInPandas(visits, "query_id long, embedding array<double>, block long, cells array<int>")
+    queries = asking.mapInPandas(visits, "query_id long, query_row long, embedding array<double>, block long, cells array<int>")
     queries = queries.withColumn("round", F.pmod(F.xxhash64("query_id"), F.lit(rounds)))
     places = spark.createDataFrame([(c, int(start[c]), int(spread[c])) for c in np.flatnonzero(counts).tolist()], "cell int, start long, spread long")
     data = index.join(F.broadcast(places), "cell")  # as many rows as cells at most
@@ -148,7 +155,7 @@ def search(vectors: DataFrame, every: int, k: int = NEIGHBOURS, dim: int | None
                 part = asked.iloc[at : at + 64]
                 q = _matrix(part["embedding"])
                 rough = squared(q, x)
-                for i, (query_id, cells) in enumerate(zip(part["query_id"].tolist(), part["cells"], strict=True)):
+                for i, (query_id, row, cells) in enumerate(zip(part["query_id"].tolist(), part["query_row"].tolist(), part["cells"], strict=True)):
                     visited = np.zeros(n_cells, dtype=bool)
                     visited[np.asarray(cells)] = True
                     may = np.flatnonzero(visited[cell] & (ids != query_id))
@@ -160,14 +167,14 @@ def search(vectors: DataFrame, every: int, k: int = NEIGHBOURS, dim: int | None
                         may = may[near <= border + 1e-9 * (1 + border + (q[i] @ q[i]))]
                     exact = np.sqrt(((x[may] - q[i]) ** 2).sum(axis=1))
                     best = np.lexsort((ids[may], exact))[:k]
-                    found += zip([query_id] * len(best), ids[may][best].tolist(), exact[best].tolist(), strict=True)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+                    found += zip([query_id] * len(best), [row] * len(best), ids[may][best].tolist(), exact[best].tolist(), strict=True)
+        return pd.DataFrame(found, columns=["query_id", "query_row", "vec_id", "score"])
 
     near = (
         data.select("block", "round", "vec_id", "embedding", "cell").groupBy("block", "round")
-        .cogroup(queries.groupBy("block", "round")).applyInPandas(rerank, "query_id long, vec_id long, score double")
+        .cogroup(queries.groupBy("block", "round")).applyInPandas(rerank, "query_id long, query_row long, vec_id long, score double")
     )
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
+    order = W.partitionBy("query_id", "query_row").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

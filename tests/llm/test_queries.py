@@ -287,6 +287,21 @@ def test_ann(spark):
     assert ann.search(df.filter("vec_id < 0"), every=100).count() == 0
 
 
+def test_ann_takes_the_commonest_length_and_repeated_queries_once(spark):
+    x = np.random.default_rng(6).standard_normal((60, 8)).astype(np.float32).tolist()
+    make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(i, v) for i, v in enumerate(x, 1)]
+    want = sorted(map(tuple, ann.search(make(rows), every=20).collect()))
+    assert len(want) == 30
+    ragged = [(-3, []), (-2, [1.0] * 5), (-1, [float("nan")] * 8), *((1000 + i, [0.0] * 4) for i in range(90))]
+    assert sorted(map(tuple, ann.search(make(rows + ragged), every=20).collect())) == want
+    assert sorted(map(tuple, ann.search(make([*rows, rows[19], rows[19]]), every=20).filter("query_id = 20").collect())) == [r for r in want if r[0] == 20]
+    other = ann.search(make([*rows, (20, x[0])]), every=20).filter("query_id = 20").toPandas()
+    assert sorted(other["rank"]) == sorted([*range(1, 11)] * 2) and 20 not in set(other["vec_id"])
+    assert {r["query_id"] for r in ann.search(make([(1, [1.0]), (2, [2.0]), (3, [1.0, 2.0]), (4, [2.0, 2.0])]), every=1).collect()} == {3, 4}
+    assert ann.search(make([(1, []), (2, None)]), every=1).count() == 0
+
+
 def test_chat_format(spark):
     rows = [(1, 1, "assistant", "yes <|im_end|> é\n\n"), (1, 0, "user", None), (1, 2, "assistant", " again"), (2, None, None, "x"), (None, 0, "assistant", "n"), (2, 1, "assistant", ""), (3, 0, "user", "long " * 30000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n_turns", F.lit(1))
