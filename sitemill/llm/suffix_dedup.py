@@ -1,15 +1,16 @@
-"""Exact removal of long repeated byte strings, by suffix order and longest-previous-factor tests around content-defined anchors.
+"""Exact removal of long repeated byte strings, by suffix order and longest-previous-factor arrays around content-defined anchors.
 
 Every string of L bytes holds one anchor: the L/4-byte gram of the smallest hash within it, the leftmost of equals. Equal strings have
 equal anchors, so all that may match a string meets it in its anchor's group, and nothing is lost. What surrounds an anchor (its
 context) holds every L-byte string it stands for. Contexts that are alike are counted, not gathered; of those that differ under one
-anchor each is fetched once, and suffix order with common-prefix lengths over them tells which strings repeat.
+anchor each is fetched once. Their suffixes are put in order with common-prefix lengths, previous and next smaller positions in that
+order give each suffix its longest previous factor, and a string repeats where a factor reaches its length. Contexts count as alike by
+the hash of their anchor and a digest of 128 bits.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from sitemill.llm.common import fresh, partitions, read, shared_table
 
 MIN_BYTES = 400
-#: Contexts that a task orders at a time, and above which an anchor's group takes the way of single windows.
-BATCH_CONTEXTS, MAX_GROUP = 6000, 40_000
+#: Contexts that a task orders at a time, and above which an anchor's contexts are dealt anew by the bytes that strings around it share.
+BATCH_CONTEXTS, MAX_GROUP = 6000, 600
 #: Bytes of a text that are hashed at a time, and the bits of a sort key that hold a place among them.
 _STRETCH, _PLACE_BITS = 1 << 22, 24
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -87,17 +88,42 @@ def context(data: bytes, place: int, length: int) -> tuple[int, bytes]:
     return left, data[place - left : place + length]
 
 
-def aligned_suffixes(contexts: np.ndarray, length: int, order_of: np.ndarray | None = None) -> np.ndarray:
-    """Which strings repeat: a boolean (contexts, starts) over all starts from which a string of length bytes fits.
+def smaller_before(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place of a suffix order the common prefix with the nearest place before it of smaller rank; 0 where there is none.
 
+    common[i] is the common prefix of places i - 1 and i, common[0] is 0. Every place first looks at the one before it; while that has
+    the larger rank, the place takes over where that one looks, and the smaller of both common prefixes. What lies between a place and
+    where it looks always has larger ranks, so the nearest smaller place is found, in few rounds over ever fewer places.
+    """
+    m = len(rank)
+    to, shared = np.arange(-1, m - 1), common[:m].copy()
+    ranks = np.r_[rank, -1]  # -1, before the first place, is smaller than all
+    larger = np.flatnonzero(ranks[to] > rank)
+    while len(larger):
+        via = to[larger]
+        shared[larger] = np.minimum(shared[larger], shared[via])
+        to[larger] = to[via]
+        larger = larger[ranks[to[larger]] > rank[larger]]
+    return shared
+
+
+def previous_factors(rank: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each place of a suffix order: the longer of the common prefixes with the previous and with the
+    next smaller rank. common has one entry more than rank, 0 at both ends."""
+    return np.maximum(smaller_before(rank, common), smaller_before(rank[::-1], common[::-1])[::-1])
+
+
+def longest_factors(contexts: np.ndarray, length: int, rank: np.ndarray, later: bool) -> np.ndarray:
+    """Longest-previous-factor array of the suffixes of aligned contexts: (contexts, starts), over all starts that leave length bytes.
+
+    A suffix's longest previous factor is the longest prefix it shares with a suffix of a context of smaller rank at the same start;
+    with later, of any other context: the longer of the factors by rank and by falling rank. Factors below length are given as 0.
     contexts: rows aligned at their anchors. The suffix order at a column comes from that at the column after it by one stable sort on
-    the column's bytes, and common prefixes of neighbours from the smallest between them; neighbours in suffix order have the longest
-    matches, so a string repeats if it shares length bytes with one of the two. With order_of (a rank for each row) only strings with
-    a match of smaller rank count: within a stretch of neighbours that share length bytes, the previous or next smaller rank exists for
-    all but the smallest, whose longest previous factor is shorter.
+    the column's bytes, and common prefixes of neighbours from the smallest between them. Only where neighbours share length bytes can
+    a factor reach it, so the previous and next smaller ranks are sought within such stretches.
     """
     m, width = contexts.shape
-    out = np.zeros((m, width - length + 1), dtype=bool)
+    out = np.zeros((m, width - length + 1), dtype=np.int32)
     columns = np.ascontiguousarray(contexts.T)
     order, common = np.arange(m), np.zeros(m + 1, dtype=np.int32)  # common[i]: of order[i - 1] and order[i]
     for at in range(width - 1, -1, -1):
@@ -113,22 +139,25 @@ def aligned_suffixes(contexts: np.ndarray, length: int, order_of: np.ndarray | N
         order, common = order[step], new
         if at <= width - length:
             long = common >= length
-            if order_of is None:
-                out[order[long[:m] | long[1:]], at] = True
-            elif long.any():
-                starts = np.flatnonzero(~long[:m])
-                rank = order_of[order]
-                least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, m]))
-                out[order[rank > least], at] = True
+            places = np.flatnonzero(long[:m] | long[1:])
+            if len(places):
+                own = order[places]
+                shared = np.r_[np.where(long[places], common[places], 0), 0]
+                factors = previous_factors(rank[own], shared)
+                if later:
+                    factors = np.maximum(factors, previous_factors(m - 1 - rank[own], shared))
+                out[own, at] = np.where(factors >= length, factors, 0)
     return out
 
 
 def _grid(rows: list[tuple], length: int) -> np.ndarray:
-    """Contexts (…, left, bytes) as aligned rows; places outside a text hold a value that is no byte."""
+    """Contexts (group, left, bytes) as aligned rows. Places outside a text hold a value that is no byte, and the anchor's first byte,
+    which every start's string holds, gives way to the number of the group: only contexts of one group are alike there."""
     before = length - length // 4
     grid = np.full((len(rows), before + length), _OUTSIDE, dtype=np.uint16)
-    for i, (left, data) in enumerate(rows):
+    for i, (group, left, data) in enumerate(rows):
         grid[i, before - left : before - left + len(data)] = np.frombuffer(data, np.uint8)
+        grid[i, before] = _OUTSIDE + 1 + group
     return grid
 
 
@@ -144,8 +173,10 @@ def _runs(flags: np.ndarray, before: int) -> list[list[int]]:
     return [[int(a) - before, int(b) - 1 - before] for a, b in edges.reshape(-1, 2)]
 
 
-ANCHORS = "did long, th long, pos int, ah long, ch long"
+ANCHORS = "did long, th long, pos int, ah long, ch long, cl long"
 _RUNS = pa.list_(pa.list_(pa.int32()))
+#: What names a context: the hash of its anchor's gram and 128 bits of a digest of its bytes and the anchor's place in them.
+_CONTEXT = ["ah", "ch", "cl"]
 
 
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
@@ -155,7 +186,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                did, th, pos, ah, ch = [], [], [], [], []
+                did, th, pos, ah, digests = [], [], [], [], []
                 for d, t, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     data = (text or "").encode("utf-8")
                     if len(data) < length:
@@ -166,18 +197,20 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                     pos.append(place.astype(np.int32))
                     ah.append(h.view(np.int64))
                     seen = (context(data, p, length) for p in place.tolist())
-                    ch.append(np.array([xxhash.xxh3_64_intdigest(c, left) for left, c in seen], dtype=np.uint64).view(np.int64))
+                    digests += [xxhash.xxh3_128_digest(c, left) for left, c in seen]
                 if did:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (did, th, pos, ah, ch)], names=names)
+                    halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                    columns = [*(np.concatenate(x) for x in (did, th, pos, ah)), halves[:, 0].copy(), halves[:, 1].copy()]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
 
     return docs.mapInArrow(rows, ANCHORS)
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of wanted contexts (did, th, pos, ah, ch): (ah, ch, did, pos, left, data)."""
-    by_doc = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("pos", "ah", "ch")).alias("wanted"))
-    schema = "ah long, ch long, did long, pos int, left int, data binary"
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    """The bytes of wanted contexts (did, th, pos, ah, ch, cl): (ah, ch, cl, did, pos, left, data)."""
+    by_doc = wanted.groupBy("did", "th").agg(F.collect_list(F.struct("pos", *_CONTEXT)).alias("wanted"))
+    schema = "ah long, ch long, cl long, did long, pos int, left int, data binary"
+    types = [pa.int64()] * 4 + [pa.int32(), pa.int32(), pa.binary()]
     names = [c.split()[0] for c in schema.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,68 +220,105 @@ def _fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 out = []
                 for r in part:
                     data = r["text"].encode("utf-8")
-                    out += [(w["ah"], w["ch"], r["did"], w["pos"], *context(data, w["pos"], length)) for w in r["wanted"]]
+                    out += [(w["ah"], w["ch"], w["cl"], r["did"], w["pos"], *context(data, w["pos"], length)) for w in r["wanted"]]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return docs.join(by_doc, ["did", "th"]).mapInArrow(rows, schema)
 
 
 def _ordered(contexts: DataFrame, length: int, first: bool) -> DataFrame:
-    """(ah, ch, runs) of contexts with repeated strings, by suffix order within anchors; groups lie whole within a batch."""
+    """(ah, ch, cl, runs) of contexts (group1, group2, ah, ch, cl, did, pos, left, data) with repeated strings.
+
+    Suffix order and longest previous factors within groups, which lie whole within a batch; ranks are places in the corpus.
+    """
     before = length - length // 4
+    types = [pa.int64()] * 3 + [_RUNS]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple] = {}
-
-        def judge(items: list) -> pa.RecordBatch:
-            grid = _grid([v[2:] for _, v in items], length)
-            rank = None
-            if first:
-                rank = np.empty(len(items), np.int64)
-                rank[sorted(range(len(items)), key=lambda i: items[i][1][:2])] = np.arange(len(items))
-            hits = aligned_suffixes(grid, length, rank) & _whole(grid, length)
+        group, number = None, 0
+
+        def judge() -> pa.RecordBatch:
+            keys, items = list(held), list(held.values())
+            grid = _grid([(k[0], *v[2:]) for k, v in zip(keys, items, strict=True)], length)
+            rank = np.empty(len(items), np.int64)
+            rank[sorted(range(len(items)), key=lambda i: items[i][:2])] = np.arange(len(items))
+            hits = (longest_factors(grid, length, rank, later=not first) >= length) & _whole(grid, length)
             at = np.flatnonzero(hits.any(axis=1)).tolist()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([items[i][0][0] for i in at], pa.int64()), pa.array([items[i][0][1] for i in at], pa.int64()), pa.array([_runs(hits[i], before) for i in at], _RUNS)],
-                names=["ah", "ch", "runs"],
-            )
+            columns = [*([keys[i][c] for i in at] for c in (1, 2, 3)), [_runs(hits[i], before) for i in at]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*_CONTEXT, "runs"])
 
         for batch in batches:
-            for ah, ch, did, pos, left, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if len(held) >= BATCH_CONTEXTS and (ah, ch) not in held and next(reversed(held))[0] != ah:
-                    yield judge(list(held.items()))
-                    held.clear()
-                held.setdefault((ah, ch), (did, pos, left, data))
+            for g1, g2, ah, ch, cl, did, pos, left, data in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                if (g1, g2) != group:
+                    if len(held) >= BATCH_CONTEXTS:
+                        yield judge()
+                        held.clear()
+                        number = 0
+                    group, number = (g1, g2), number + 1
+                held.setdefault((number, ah, ch, cl), (did, pos, left, data))
         if held:
-            yield judge(list(held.items()))
+            yield judge()
 
-    n = partitions(contexts.sparkSession)
-    return contexts.repartition(n, "ah").sortWithinPartitions("ah", "ch").mapInArrow(rows, "ah long, ch long, runs array<array<int>>")
+    groups = ["group1", "group2"]
+    rows_ = contexts.select(*groups, *_CONTEXT, "did", "pos", "left", "data")
+    dealt = rows_.repartition(partitions(contexts.sparkSession), *groups).sortWithinPartitions(*groups, *_CONTEXT)
+    return dealt.mapInArrow(rows, "ah long, ch long, cl long, runs array<array<int>>")
 
 
-def _by_windows(contexts: DataFrame, length: int, first: bool) -> DataFrame:
-    """As _ordered, for anchors with too many contexts for one task: every window's hash of 128 bits is counted by a plain aggregation."""
-    before = length - length // 4
-    schema = "ah long, ch long, did long, pos int, at int, w1 long, w2 long"
+def _parts(contexts: DataFrame, length: int) -> DataFrame:
+    """Halves of ranges of starts: contexts (ah, ch, cl, did, pos, left, data, ranges) to (group1, group2, lo, hi, ah, ch, cl, did, pos).
+
+    Every string that starts in a range holds the bytes from the range's end to its start and length on, so contexts that share such a
+    string have equal groups: a digest of the anchor's hash, the range and those bytes. A range of one start has the string itself.
+    """
+    schema = "group1 long, group2 long, lo int, hi int, ah long, ch long, cl long, did long, pos int"
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for r in batch.to_pylist():
-                data, left = r["data"], r["left"]
-                digests = [np.frombuffer(xxhash.xxh3_128_digest(data[s : s + length]), np.int64) for s in range(len(data) - length + 1)]
-                n = len(digests)
-                if n:
-                    w = np.stack(digests)
-                    same = [pa.array(np.full(n, r[c]), t) for c, t in (("ah", pa.int64()), ("ch", pa.int64()), ("did", pa.int64()), ("pos", pa.int32()))]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n, dtype=np.int32) - left), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], names=[c.split()[0] for c in schema.split(", ")])
-
-    windows = contexts.dropDuplicates(["ah", "ch"]).mapInArrow(rows, schema)
-    keys = ["ah", "at", "w1", "w2"]
-    repeated = windows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("did", "pos")).alias("least")).filter("n > 1")
-    hits = windows.join(repeated, keys)
-    if first:
-        hits = hits.filter(F.struct("did", "pos") != F.col("least"))
-    return hits.groupBy("ah", "ch").agg(F.transform(F.collect_set("at"), lambda x: F.array(x, x)).alias("runs"))
+                data, left, salt = r["data"], r["left"], r["ah"] & ((1 << 64) - 1)
+                for lo, hi in r["ranges"]:
+                    middle = (lo + hi) // 2
+                    for a, b in {(lo, middle), (min(middle + 1, hi), hi)}:
+                        if max(a, -left) <= min(b, len(data) - left - length):  # else no string fits
+                            digest = xxhash.xxh3_128_intdigest(data[left + b : left + a + length], salt ^ (a + (1 << 20)))
+                            g1, g2 = digest >> 64, digest & ((1 << 64) - 1)
+                            out.append((g1 - (g1 >> 63 << 64), g2 - (g2 >> 63 << 64), a, b, r["ah"], r["ch"], r["cl"], r["did"], r["pos"]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, types, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+
+    return contexts.mapInArrow(rows, schema)
+
+
+def _split(contexts: DataFrame, length: int, first: bool) -> DataFrame:
+    """As _ordered, for anchors of more than MAX_GROUP contexts: (ah, ch, cl, runs).
+
+    An anchor's contexts are dealt anew by ever smaller ranges of starts and the bytes that all strings of a range hold, until a group
+    has MAX_GROUP contexts at most and is ordered like any other. A group that stays larger down to one start holds one and the same
+    string: it is a factor of all its contexts but the first. Groups of one context end at once. The contexts' bytes are joined anew in
+    each round, so what is stored are digests.
+    """
+    contexts = shared_table(contexts.dropDuplicates(_CONTEXT), "suffix-large")
+    whole = F.array(F.array(F.lit(-(length - length // 4)), F.lit(0)))
+    rows, found, least = contexts.withColumn("ranges", whole), [], F.struct("did", "pos")
+    groups = ["group1", "group2", "lo"]
+    small = []
+    while True:
+        parts = shared_table(_parts(rows, length), "suffix-parts")
+        sizes = shared_table(parts.groupBy(*groups).agg(F.count("*").alias("n"), F.min(least).alias("least")).filter("n > 1"), "suffix-sizes")
+        met = shared_table(parts.join(sizes, groups), "suffix-met-parts")
+        one = met.filter("lo = hi")
+        found.append((one.filter(least != F.col("least")) if first else one).select(*_CONTEXT, F.array(F.array("lo", "hi")).alias("runs")))
+        small.append(met.filter((F.col("lo") < F.col("hi")) & (F.col("n") <= MAX_GROUP)).select("group1", "group2", *_CONTEXT))
+        open_ = met.filter((F.col("lo") < F.col("hi")) & (F.col("n") > MAX_GROUP))
+        if open_.isEmpty():
+            break
+        rows = contexts.join(open_.groupBy(*_CONTEXT).agg(F.collect_list(F.array("lo", "hi")).alias("ranges")), _CONTEXT)
+    ordered = functools.reduce(DataFrame.unionByName, small).join(contexts, _CONTEXT)
+    runs = functools.reduce(DataFrame.unionByName, [*found, _ordered(ordered, length, first)])
+    return runs.groupBy(*_CONTEXT).agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def repeated_spans(docs: DataFrame, length: int, first: bool) -> DataFrame:
@@ -261,18 +331,21 @@ def repeated_spans(docs: DataFrame, length: int, first: bool) -> DataFrame:
     met = shared_table(every.groupBy("ah").agg(F.count("*").alias("n_places")).filter("n_places > 1").select("ah"), "suffix-met")
     found = shared_table(every.join(met, "ah", "left_semi"), "suffix-places")
     where = F.struct("did", "th", "pos")
-    contexts = shared_table(found.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(where).alias("rep")), "suffix-contexts")
+    contexts = shared_table(found.groupBy(*_CONTEXT).agg(F.count("*").alias("n"), F.min(where).alias("rep")), "suffix-contexts")
     # Written, so that the join by anchor has plain exchanges on both sides: Spark then splits an anchor of very many contexts.
     per_anchor = shared_table(contexts.groupBy("ah").agg(F.count("*").alias("n_contexts")).filter("n_contexts > 1"), "suffix-differing")
-    differing = contexts.join(per_anchor, "ah").select("ah", "ch", "n_contexts", "rep.did", "rep.th", "rep.pos")
+    differing = contexts.join(per_anchor, "ah").select(*_CONTEXT, "rep.did", "rep.th", "rep.pos")
     fetched = shared_table(_fetch(docs, differing, length), "suffix-texts")
     large = per_anchor.filter(F.col("n_contexts") > MAX_GROUP).select("ah")
-    runs = _ordered(fetched.join(large, "ah", "left_anti"), length, first)
-    if not large.isEmpty():
-        runs = runs.unionByName(_by_windows(fetched.join(large, "ah", "left_semi"), length, first))
-    marks = contexts.join(shared_table(runs, "suffix-runs"), ["ah", "ch"], "left").filter(F.col("runs").isNotNull() | (F.col("n") > 1))
+    grouped = fetched.withColumns({"group1": F.col("ah"), "group2": F.lit(0).cast("long")})
+    if large.isEmpty():
+        runs = _ordered(grouped, length, first)
+    else:
+        runs = _ordered(grouped.join(large, "ah", "left_anti"), length, first)
+        runs = runs.unionByName(_split(fetched.join(large, "ah", "left_semi"), length, first))
+    marks = contexts.join(shared_table(runs, "suffix-runs"), _CONTEXT, "left").filter(F.col("runs").isNotNull() | (F.col("n") > 1))
     # Written once, so that both sides of the join below are plain exchanges: Spark then splits the contexts that very many texts hold.
-    hits = found.join(shared_table(marks, "suffix-marks"), ["ah", "ch"])
+    hits = found.join(shared_table(marks, "suffix-marks"), _CONTEXT)
     alike = F.col("n") > 1
     if first:  # the first of equal contexts keeps what no other context has before it
         alike = alike & (where != F.col("rep"))
@@ -300,13 +373,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("did"), F.xxhash64("text").alias("th"), "text")
 
 
-DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+CUT = "doc_id long, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
+_CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
 
-def repeat_digests(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
-    """One row per document: what is left once every byte in a string of length bytes that also starts elsewhere is gone.
+def cut_repeats(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
+    """One row per document: its bytes' number, the spans of bytes in strings of length bytes that also start elsewhere, and the rest.
 
-    Null texts are empty; texts shorter than length lose nothing. Repeated rows are copies of each other.
+    Null texts are empty; texts shorter than length lose nothing. Repeated rows are copies of each other, and so are rows of one doc_id
+    or without one. No rows give no rows.
     """
     keyed = _keyed(docs)
     spans = repeated_spans(keyed, length, first=False)
@@ -318,14 +393,19 @@ def repeat_digests(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
                 for r in batch.slice(k, 512).to_pylist():
                     data = np.frombuffer((r["text"] or "").encode("utf-8"), np.uint8)
                     gone = removed_bytes(len(data), r["marks"], length)
-                    n_spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[:1].sum())
-                    doc_id = None if r["did"] == _NO_ID else r["did"]
-                    out.append((doc_id, len(data), int(gone.sum()), n_spans, hashlib.sha256(data[~gone].tobytes()).hexdigest()))
-                names = [c.split()[0] for c in DIGESTS.split(", ")]
-                types = [pa.int64()] * 4 + [pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                    edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).tolist()
+                    removed = [{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                    out.append((None if r["did"] == _NO_ID else r["did"], len(data), removed, data[~gone].tobytes()))
+                yield pa.record_batch([list(c) for c in zip(*out, strict=True)], schema=_CUT)
+
+    return keyed.join(spans, ["did", "th"], "left").mapInArrow(rows, CUT)
 
-    return keyed.join(spans, ["did", "th"], "left").mapInArrow(rows, DIGESTS)
+
+def repeat_digests(docs: DataFrame, length: int = MIN_BYTES) -> DataFrame:
+    """cut_repeats as numbers, spans and a digest of what is kept."""
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    n_spans = F.size("removed").cast("long")
+    return cut_repeats(docs, length).select("doc_id", "n_bytes", size.alias("n_removed"), n_spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "removed")
 
 
 def remove_later_copies(docs: DataFrame, length: int) -> DataFrame:

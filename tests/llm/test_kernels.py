@@ -71,18 +71,29 @@ def _brute_repeats(texts, length, first):
 
 @settings(max_examples=60, deadline=None)
 @given(st.integers(0, 10**6))
-def test_aligned_suffixes_are_brute_force(seed):
+def test_longest_factors_are_brute_force(seed):
     draw = np.random.default_rng(seed)
     m, length, width = int(draw.integers(2, 12)), 8, 14
     rows = draw.integers(0, 2, (m, width)).astype(np.uint16)
     rows[draw.integers(m)] = rows[0]
-    got = suffix_dedup.aligned_suffixes(rows, length)
-    ranks = np.arange(m)
-    later = suffix_dedup.aligned_suffixes(rows, length, ranks)
-    for at in range(width - length + 1):
-        for i in range(m):
-            same = [j for j in range(m) if j != i and (rows[j, at : at + length] == rows[i, at : at + length]).all()]
-            assert got[i, at] == bool(same) and later[i, at] == any(j < i for j in same)
+    rank = draw.permutation(m)
+    for later in (False, True):
+        got = suffix_dedup.longest_factors(rows, length, rank, later)
+        for at in range(width - length + 1):
+            for i in range(m):
+                others = [j for j in range(m) if j != i and (later or rank[j] < rank[i])]
+                shared = [int(np.argmin(np.r_[rows[j, at:] == rows[i, at:], False])) for j in others]
+                assert got[i, at] == max([n for n in shared if n >= length], default=0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=40), st.integers(0, 10**6))
+def test_smaller_positions_are_brute_force(common, seed):
+    rank, common = np.random.default_rng(seed).permutation(len(common)), np.array([0, *common[1:], 0], np.int32)
+    got = suffix_dedup.smaller_before(rank, common)
+    for i in range(len(rank)):
+        before = [j for j in range(i) if rank[j] < rank[i]]
+        assert got[i] == (min(common[before[-1] + 1 : i + 1]) if before else 0)
 
 
 def test_anchors_depend_on_the_string_alone():
