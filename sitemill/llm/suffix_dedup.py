@@ -23,7 +23,7 @@ from sitemill.llm.common import fresh, partitions, read, shared_table
 
 MIN_BYTES = 400
 #: Contexts that a task orders at a time, and above which an anchor's contexts are dealt anew by the bytes that strings around it share.
-BATCH_CONTEXTS, MAX_GROUP = 6000, 600
+BATCH_CONTEXTS, MAX_GROUP = 6000, 1200
 #: Bytes of a text that are hashed at a time, and the bits of a sort key that hold a place among them.
 _STRETCH, _PLACE_BITS = 1 << 22, 24
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -266,53 +266,69 @@ def _ordered(contexts: DataFrame, length: int, first: bool) -> DataFrame:
     return dealt.mapInArrow(rows, "ah long, ch long, cl long, runs array<array<int>>")
 
 
+#: Of one half of a range of starts: its first and last start, the digest of what its strings share and that of all they reach.
+_HALF = "lo int, hi int, group1 long, group2 long, whole1 long, whole2 long"
+_HALF_ARROW = pa.struct([(c.split()[0], pa.int32() if c.endswith("int") else pa.int64()) for c in _HALF.split(", ")])
+
+
 def _parts(contexts: DataFrame, length: int) -> DataFrame:
-    """Halves of ranges of starts: contexts (ah, ch, cl, did, pos, left, data, ranges) to (group1, group2, lo, hi, ah, ch, cl, did, pos).
+    """Ranges of starts in two halves: contexts (ah, ch, cl, did, pos, left, data, ranges) to the halves where a string fits.
 
     Every string that starts in a range holds the bytes from the range's end to its start and length on, so contexts that share such a
-    string have equal groups: a digest of the anchor's hash, the range and those bytes. A range of one start has the string itself.
+    string have equal groups, a digest of those bytes. whole is a digest of all bytes that the range's strings reach.
     """
-    schema = "group1 long, group2 long, lo int, hi int, ah long, ch long, cl long, did long, pos int"
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    own = ["did", "pos", *_CONTEXT]
+
+    def half(data: bytes, left: int, a: int, b: int) -> dict | None:
+        first, last = max(a, -left), min(b, len(data) - left - length)
+        if first > last:
+            return None
+        shared = xxhash.xxh3_128_digest(data[left + b : left + a + length], a + length)
+        reached = xxhash.xxh3_128_digest(data[left + first : left + last + length], (first - a) * length + b - last)
+        g1, g2, w1, w2 = np.frombuffer(shared + reached, np.int64).tolist()
+        return {"lo": a, "hi": b, "group1": g1, "group2": g2, "whole1": w1, "whole2": w2}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                data, left, salt = r["data"], r["left"], r["ah"] & ((1 << 64) - 1)
+            of, lower, upper = [], [], []
+            for k, r in enumerate(batch.select(["left", "data", "ranges"]).to_pylist()):
                 for lo, hi in r["ranges"]:
                     middle = (lo + hi) // 2
-                    for a, b in {(lo, middle), (min(middle + 1, hi), hi)}:
-                        if max(a, -left) <= min(b, len(data) - left - length):  # else no string fits
-                            digest = xxhash.xxh3_128_intdigest(data[left + b : left + a + length], salt ^ (a + (1 << 20)))
-                            g1, g2 = digest >> 64, digest & ((1 << 64) - 1)
-                            out.append((g1 - (g1 >> 63 << 64), g2 - (g2 >> 63 << 64), a, b, r["ah"], r["ch"], r["cl"], r["did"], r["pos"]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 9, types, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+                    of.append(k)
+                    lower.append(half(r["data"], r["left"], lo, middle))
+                    upper.append(half(r["data"], r["left"], middle + 1, hi))
+            kept = batch.select(own).take(pa.array(of, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(lower, _HALF_ARROW), pa.array(upper, _HALF_ARROW)], names=[*own, "lower", "upper"])
 
-    return contexts.mapInArrow(rows, schema)
+    struct = f"struct<{_HALF.replace(' int', ':int').replace(' long', ':long')}>"
+    both = shared_table(contexts.mapInArrow(rows, f"did long, pos int, ah long, ch long, cl long, lower {struct}, upper {struct}"), "suffix-parts")
+    one = lambda c: both.filter(F.col(c).isNotNull()).select(*own, f"{c}.*")
+    return one("lower").unionByName(one("upper"))
 
 
 def _split(contexts: DataFrame, length: int, first: bool) -> DataFrame:
     """As _ordered, for anchors of more than MAX_GROUP contexts: (ah, ch, cl, runs).
 
     An anchor's contexts are dealt anew by ever smaller ranges of starts and the bytes that all strings of a range hold, until a group
-    has MAX_GROUP contexts at most and is ordered like any other. A group that stays larger down to one start holds one and the same
-    string: it is a factor of all its contexts but the first. Groups of one context end at once. The contexts' bytes are joined anew in
-    each round, so what is stored are digests.
+    has MAX_GROUP contexts at most and is ordered like any other. Of contexts that are alike over a range the first goes on alone: the
+    range is a run of all others, and so of the first where later copies count. A range of one start ends so, and a group of one context
+    ends at once. The contexts' bytes are joined anew in each round; what is stored are digests.
     """
     contexts = shared_table(contexts.dropDuplicates(_CONTEXT), "suffix-large")
-    whole = F.array(F.array(F.lit(-(length - length // 4)), F.lit(0)))
-    rows, found, least = contexts.withColumn("ranges", whole), [], F.struct("did", "pos")
-    groups = ["group1", "group2", "lo"]
-    small = []
+    edge = length - length // 4
+    rows, found, small = contexts.withColumn("ranges", F.array(F.array(F.lit(-edge), F.lit(0)))), [], []
+    group, alike, own = ["group1", "group2", "lo"], ["group1", "group2", "lo", "hi", "whole1", "whole2"], ["did", "pos", *_CONTEXT]
     while True:
-        parts = shared_table(_parts(rows, length), "suffix-parts")
-        sizes = shared_table(parts.groupBy(*groups).agg(F.count("*").alias("n"), F.min(least).alias("least")).filter("n > 1"), "suffix-sizes")
-        met = shared_table(parts.join(sizes, groups), "suffix-met-parts")
-        one = met.filter("lo = hi")
-        found.append((one.filter(least != F.col("least")) if first else one).select(*_CONTEXT, F.array(F.array("lo", "hi")).alias("runs")))
-        small.append(met.filter((F.col("lo") < F.col("hi")) & (F.col("n") <= MAX_GROUP)).select("group1", "group2", *_CONTEXT))
-        open_ = met.filter((F.col("lo") < F.col("hi")) & (F.col("n") > MAX_GROUP))
+        parts = _parts(rows, length)
+        classes = shared_table(parts.groupBy(*alike).agg(F.count("*").alias("n"), F.min(F.struct(*own)).alias("rep")), "suffix-classes")
+        hits = parts.join(classes.filter("n > 1"), alike)
+        if first:
+            hits = hits.filter(F.struct(*own) != F.col("rep"))
+        found.append(hits.select(*_CONTEXT, F.array(F.array("lo", "hi")).alias("runs")))
+        sizes = shared_table(classes.filter("lo < hi").groupBy(*group).agg(F.count("*").alias("members")).filter("members > 1"), "suffix-sizes")
+        met = shared_table(classes.join(sizes, group).select("group1", "group2", "lo", "hi", "members", "rep.*"), "suffix-met-parts")
+        small.append(met.filter(F.col("members") <= MAX_GROUP).select("group1", "group2", *_CONTEXT))
+        open_ = met.filter(F.col("members") > MAX_GROUP)
         if open_.isEmpty():
             break
         rows = contexts.join(open_.groupBy(*_CONTEXT).agg(F.collect_list(F.array("lo", "hi")).alias("ranges")), _CONTEXT)
