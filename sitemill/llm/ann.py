@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 
 from sitemill.llm.common import read, shared_table
 
-#: Centroids of each half; the index has the square of it as cells.
-CENTROIDS = 24
-#: Rows that the centroids are fitted on, those of the smallest hashes.
-SAMPLE_ROWS = 20_000
-#: A query visits cells until they hold this share of all rows, and at least so many rows.
-SHARE, LEAST_ROWS = 0.65, 2000
+#: Centroids of each half: a quarter of the root of the rows, within these bounds, so that cells stay small as rows grow.
+LEAST_CENTROIDS, MOST_CENTROIDS = 8, 512
+#: The fitted sample, those of the smallest hashes: so many rows, and so many numbers, at most.
+SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 1 << 22
+#: Queries of the sample that tell how far one must look, and the share of their true neighbours that the looked-at cells shall hold.
+TRIAL_QUERIES, TARGET = 200, 0.97
 #: Rows of one block of cells, and queries that meet it at a time.
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 4096
+#: Candidates of a query, by compact codes, for each neighbour asked for; these are measured on whole vectors.
+CANDIDATES = 8
 NEIGHBOURS = 10
 
 
@@ -77,6 +79,42 @@ def _matrix(column) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 1))
 
 
+def needed_share(x: np.ndarray, left: np.ndarray, right: np.ndarray, k: int, target: float = TARGET, trials: int = TRIAL_QUERIES) -> float:
+    """The share of distinct rows that cells must hold, visited nearest first, to bring a share target of the k true neighbours of rows of x.
+
+    x: distinct rows. Neighbours lie nearer as rows are added, so what a sample needs is enough for the whole.
+    """
+    half = left.shape[1]
+    cell = nearest(x[:, :half], left) * len(right) + nearest(x[:, half:], right)
+    counts = np.bincount(cell, minlength=len(left) * len(right))
+    if len(x) <= k + 1:
+        return 1.0
+    seen = []
+    for i in np.linspace(0, len(x) - 1, min(trials, len(x))).astype(int):
+        sums = squared(x[i : i + 1, :half], left)[0][:, None] + squared(x[i : i + 1, half:], right)[0][None, :]
+        order = np.argsort(sums.ravel(), kind="stable")
+        upto = np.empty(len(order), np.int64)
+        upto[order] = np.cumsum(counts[order])
+        away = squared(x[i : i + 1], x)[0]
+        away[i] = np.inf
+        seen.append(upto[cell[np.argpartition(away, k)[:k]]] / len(x))
+    return float(np.quantile(np.concatenate(seen), target))
+
+
+class Codes:
+    """A byte for each component: its place between the sample's extremes of that component."""
+
+    def __init__(self, sample: np.ndarray):
+        self.low = sample.min(axis=0)
+        self.step = np.maximum(sample.max(axis=0) - self.low, 1e-30) / 255
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.rint((x - self.low) / self.step), 0, 255).astype(np.uint8)
+
+    def back(self, codes: np.ndarray) -> np.ndarray:
+        return self.low + codes * self.step
+
+
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -86,9 +124,13 @@ def search(vectors: DataFrame, every: int, k: int = NEIGHBOURS, dim: int | None
     vectors: vec_id, embedding. dim: the vectors' length, else the commonest one, of equally common ones the larger; rows of another
     length, and null, zero or non-finite ones, take no part. A row is no neighbour of its own vec_id. Without usable rows the result is
     empty. A query row that is repeated is answered once; rows of one vec_id with different embeddings are answered one by one, each with
-    ranks from 1. A row that is repeated is a neighbour as often as it stands.
-    Centroids are fitted on at most SAMPLE_ROWS rows; every row is indexed. Cells that lie together form blocks of at most BLOCK_ROWS
-    rows, larger cells are dealt over several blocks, and a block meets at most about BLOCK_QUERIES queries at a time.
+    ranks from 1. A row that is repeated is a neighbour as often as it stands. Other columns are left aside.
+
+    Centroids, codes and the share of rows to visit are fitted on a bounded sample; every row is indexed. A query visits cells by a heap
+    over centroid pairs until they hold the share of all distinct rows that its kind needed on the sample: few where vectors have
+    structure, most where they have none. Cells that lie together form blocks of at most BLOCK_ROWS rows, larger cells are dealt over
+    several blocks, and a block is repeated only as often as BLOCK_QUERIES queries visit it. There CANDIDATES * k rows a query are chosen
+    by compact codes; their whole vectors are joined and measured.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -98,23 +140,29 @@ def search(vectors: DataFrame, every: int, k: int = NEIGHBOURS, dim: int | None
             return spark.createDataFrame([], RESULT)
         dim = commonest["dim"]
     rows = rows.filter(F.size("embedding") == dim)
-    sample = [r[0] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").collect()]
-    if not sample:
+    n_rows = rows.count()
+    if not n_rows:
         return spark.createDataFrame([], RESULT)
-    fitted, half = np.array(sample), max(1, dim // 2)
-    left, right = kmeans(fitted[:, :half], CENTROIDS), kmeans(fitted[:, half:], CENTROIDS)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // dim))).select("embedding").toArrow()
+    fitted = np.unique(sample.column(0).combine_chunks().flatten().to_numpy().reshape(-1, dim), axis=0)
+    half, n_centroids = max(1, dim // 2), int(min(MOST_CENTROIDS, max(LEAST_CENTROIDS, n_rows**0.5 / 4)))
+    left, right = kmeans(fitted[:, :half], n_centroids), kmeans(fitted[:, half:], n_centroids)
+    shuffled = np.random.default_rng(1).permutation(len(fitted))
+    share, codes = needed_share(fitted[shuffled], left, right, k), Codes(fitted)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x = _matrix(pdf["embedding"])
             if len(pdf):
                 cell = nearest(x[:, :half], left) * len(right) + nearest(x[:, half:], right)
-                yield pdf.assign(cell=cell.astype(np.int32))
-
-    index = shared_table(rows.mapInPandas(assign, "vec_id long, embedding array<double>, cell int"), "ann-index")
-    counts = np.zeros(len(left) * len(right), dtype=np.int64)
-    for cell, n in index.groupBy("cell").count().collect():  # as many rows as cells at most
-        counts[cell] = n
+                yield pdf.assign(cell=cell.astype(np.int32), code=[c.tobytes() for c in codes.of(x)])
+
+    index = shared_table(rows.mapInPandas(assign, "vec_id long, embedding array<double>, cell int, code binary").withColumn("row", F.monotonically_increasing_id()), "ann-index")
+    # Copies of one vector count once in what a query needs, else a common vector would end its walk.
+    sizes = index.groupBy("cell").agg(F.count("*"), F.approx_count_distinct(F.xxhash64("embedding"))).collect()  # cells at most
+    counts, distinct = np.zeros(len(left) * len(right), np.int64), np.zeros(len(left) * len(right), np.int64)
+    for cell, n, m in sizes:
+        counts[cell], distinct[cell] = n, max(1, m)
     # Blocks: cells in order, a new block where the next cell would not fit; a large cell gets blocks of its own.
     start, spread, block, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
     for cell, n in enumerate(counts.tolist()):
@@ -122,60 +170,66 @@ def search(vectors: DataFrame, every: int, k: int = NEIGHBOURS, dim: int | None
             block, held = block + 1, 0
         start[cell], spread[cell] = block, max(1, -(-n // BLOCK_ROWS))
         block, held = (block + int(spread[cell]), 0) if spread[cell] > 1 else (block, held + n)
-    need = max(LEAST_ROWS, int(SHARE * counts.sum()))
+    need = int(np.ceil(share * distinct.sum()))
     # query_row tells the rows of one vec_id apart.
     asking = index.filter(F.col("vec_id") % every == 0).select("vec_id", "embedding", F.xxhash64("embedding").alias("query_row")).dropDuplicates(["vec_id", "query_row"])
-    n_queries = asking.count()
-    rounds = max(1, -(-n_queries // BLOCK_QUERIES))
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
             x = _matrix(pdf["embedding"])
-            for query_id, row, q in zip(pdf["vec_id"].tolist(), pdf["query_row"].tolist(), x, strict=True):
-                at: dict[int, list[int]] = {}
-                for cell in visit(squared(q[None, :half], left)[0], squared(q[None, half:], right)[0], counts, need):
-                    for b in range(start[cell], start[cell] + spread[cell]):
-                        at.setdefault(int(b), []).append(cell)
-                out += [(query_id, row, q, b, cells) for b, cells in at.items()]
-            yield pd.DataFrame(out, columns=["query_id", "query_row", "embedding", "block", "cells"])
-
-    queries = asking.mapInPandas(visits, "query_id long, query_row long, embedding array<double>, block long, cells array<int>")
-    queries = queries.withColumn("round", F.pmod(F.xxhash64("query_id"), F.lit(rounds)))
+            for at in range(0, len(pdf), 256):
+                out, part = [], pdf.iloc[at : at + 256]
+                for query_id, row, q in zip(part["vec_id"].tolist(), part["query_row"].tolist(), x[at : at + 256], strict=True):
+                    near: dict[int, list[int]] = {}
+                    for cell in visit(squared(q[None, :half], left)[0], squared(q[None, half:], right)[0], distinct, need):
+                        for b in range(start[cell], start[cell] + spread[cell]):
+                            near.setdefault(int(b), []).append(cell)
+                    out += [(query_id, row, q, b, cells) for b, cells in near.items()]
+                yield pd.DataFrame(out, columns=["query_id", "query_row", "embedding", "block", "cells"])
+
+    queries = shared_table(asking.mapInPandas(visits, "query_id long, query_row long, embedding array<double>, block long, cells array<int>"), "ann-visits")
+    # Each block's rows are given as many times as its queries need; a block that no query visits is left out.
+    rounds = shared_table(queries.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).alias("rounds")), "ann-rounds")
+    queries = queries.join(rounds, "block").withColumn("round", F.pmod(F.xxhash64("query_id"), F.col("rounds")))
     places = spark.createDataFrame([(c, int(start[c]), int(spread[c])) for c in np.flatnonzero(counts).tolist()], "cell int, start long, spread long")
-    data = index.join(F.broadcast(places), "cell")  # as many rows as cells at most
-    data = data.withColumn("block", F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("spread"))).withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))))
-    n_cells = len(counts)
+    data = index.select("row", "vec_id", "cell", "code").join(F.broadcast(places), "cell")  # MOST_CENTROIDS squared rows at most
+    data = data.withColumn("block", F.col("start") + F.pmod(F.xxhash64("row"), F.col("spread"))).join(rounds, "block")
+    data = data.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rounds") - 1)))
+    n_cells, n_candidates = len(counts), CANDIDATES * k
 
-    def rerank(rows_: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def choose(rows_: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(rows_) and len(asked):
-            x, ids, cell = _matrix(rows_["embedding"]), rows_["vec_id"].to_numpy(), rows_["cell"].to_numpy()
+            x = codes.back(np.frombuffer(b"".join(rows_["code"]), np.uint8).reshape(len(rows_), -1))
+            ids, own, cell = rows_["vec_id"].to_numpy(), rows_["row"].to_numpy(), rows_["cell"].to_numpy()
             for at in range(0, len(asked), 64):
                 part = asked.iloc[at : at + 64]
-                q = _matrix(part["embedding"])
-                rough = squared(q, x)
+                rough = squared(_matrix(part["embedding"]), x)
                 for i, (query_id, row, cells) in enumerate(zip(part["query_id"].tolist(), part["query_row"].tolist(), part["cells"], strict=True)):
                     visited = np.zeros(n_cells, dtype=bool)
                     visited[np.asarray(cells)] = True
                     may = np.flatnonzero(visited[cell] & (ids != query_id))
-                    if not len(may):
-                        continue
-                    near = rough[i, may]
-                    if len(may) > k:  # the product form rounds a little: what may tie with the k-th is measured exactly
-                        border = np.partition(near, k - 1)[k - 1]
-                        may = may[near <= border + 1e-9 * (1 + border + (q[i] @ q[i]))]
-                    exact = np.sqrt(((x[may] - q[i]) ** 2).sum(axis=1))
-                    best = np.lexsort((ids[may], exact))[:k]
-                    found += zip([query_id] * len(best), [row] * len(best), ids[may][best].tolist(), exact[best].tolist(), strict=True)
-        return pd.DataFrame(found, columns=["query_id", "query_row", "vec_id", "score"])
-
-    near = (
-        data.select("block", "round", "vec_id", "embedding", "cell").groupBy("block", "round")
-        .cogroup(queries.groupBy("block", "round")).applyInPandas(rerank, "query_id long, query_row long, vec_id long, score double")
+                    if len(may) > n_candidates:  # of rows with equal codes the smaller ids
+                        border = np.partition(rough[i, may], n_candidates - 1)[n_candidates - 1]
+                        may = may[rough[i, may] <= border + 1e-9 * (1 + border)]
+                    best = may[np.lexsort((ids[may], np.round(rough[i, may], 9)))[:n_candidates]]
+                    found += zip([query_id] * len(best), [row] * len(best), own[best].tolist(), rough[i, best].tolist(), ids[best].tolist(), strict=True)
+        return pd.DataFrame(found, columns=["query_id", "query_row", "row", "rough", "vec_id"])
+
+    chosen = (
+        data.select("block", "round", "row", "vec_id", "code", "cell").groupBy("block", "round")
+        .cogroup(queries.select("block", "round", "query_id", "query_row", "embedding", "cells").groupBy("block", "round"))
+        .applyInPandas(choose, "query_id long, query_row long, row long, rough double, vec_id long")
     )
+    by_code = W.partitionBy("query_id", "query_row").orderBy(F.round("rough", 9), "vec_id")
+    chosen = chosen.withColumn("place", F.row_number().over(by_code)).filter(F.col("place") <= n_candidates).select("query_id", "query_row", "row")
+    measured = chosen.join(index.select("row", "vec_id", F.col("embedding").alias("found")), "row").join(
+        asking.select(F.col("vec_id").alias("query_id"), "query_row", F.col("embedding").alias("asked")), ["query_id", "query_row"]
+    )
+    squares = F.zip_with("found", "asked", lambda a, b: (a - b) * (a - b))
+    measured = measured.withColumn("score", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)))
     order = W.partitionBy("query_id", "query_row").orderBy("score", "vec_id")
-    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return measured.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,6 +330,37 @@ def test_ann_takes_the_commonest_length_and_repeated_queries_once(spark):
     assert ann.search(make([(1, []), (2, None)]), every=1).count() == 0
 
 
+def _recall(df, x, every):
+    got, y, hits = ann.search(df, every).toPandas(), x.astype(np.float64), 0
+    queries = range(0, len(x), every)
+    for q in queries:
+        d = np.sqrt(((y - y[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += int((got[got.query_id == q]["score"] <= np.partition(d, 9)[9] + 1e-9).sum())
+    return hits / (10 * len(queries))
+
+
+def test_ann_recall_and_visits(spark, monkeypatch):
+    """Whatever the structure nine of ten true neighbours are found; where there is some, the visited share falls as rows grow."""
+    shares, draw = [], np.random.default_rng(7)
+    asked = ann.needed_share
+    monkeypatch.setattr(ann, "needed_share", lambda *a: shares.append(asked(*a)) or shares[-1])
+    centres = draw.standard_normal((150, 16)) * 3
+    for n, clustered in ((5000, True), (21_000, True), (21_000, False)):
+        x = draw.standard_normal((n, 16)) + (centres[draw.integers(0, 150, n)] if clustered else 0)
+        df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+        assert _recall(df, x, 200) >= 0.9
+    assert shares[1] < shares[0] < 0.1 and shares[1] * 21_000 < 2 * shares[0] * 5000
+
+
+def test_ann_walks_past_a_common_vector(spark):
+    draw = np.random.default_rng(8)
+    x = draw.standard_normal((3000, 8))
+    x[1000:2500] = x[0]
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    assert _recall(df, x, 100) >= 0.9
+
+
 def test_chat_format(spark):
     rows = [(1, 1, "assistant", "yes <|im_end|> é\n\n"), (1, 0, "user", None), (1, 2, "assistant", " again"), (2, None, None, "x"), (None, 0, "assistant", "n"), (2, 1, "assistant", ""), (3, 0, "user", "long " * 30000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n_turns", F.lit(1))
