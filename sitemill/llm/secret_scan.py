@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,16 +27,34 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Kind, pattern, group that is measured, least length.
 PATTERNS = (("assign", _ASSIGN, 2, 6), ("access", _ACCESS, 0, 20), ("hex", _HEX, 0, 24))
 
-#: One lexeme of source or configuration syntax: name, separator, then a quoted literal or a name or a bare value.
-#: Covers name = "x", name: x, "name": "x", name := 'x', export NAME=x, <name>x</name> and <name value="x">.
-_PAIR = re.compile(
-    r"""(?P<q>["'])?(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,79})(?(q)(?P=q))[ \t]*+(?:=>|:=|[:=])[ \t]*+
-        (?:"(?P<dq>(?:[^"\\\n]|\\.)*)"|'(?P<sq>(?:[^'\\\n]|\\.)*)'|(?P<bare>[A-Za-z0-9_+/.=-]+))
-      |<(?P<tag>[A-Za-z_][A-Za-z0-9_.-]{0,79})>(?P<body>[^<>\n]++)</(?P=tag)>""",
+_NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
+#: A target and its separator, wherever one can stand: an element with its text, a key and a value attribute, a quoted or subscripted key,
+#: a name, or a setter's name before its bracket.
+_TARGET = re.compile(
+    rf"""<(?P<tag>{_NAME})(?:[ \t][^<>\n]*+)?>(?P<body>[^<>]*+)</(?P=tag)>
+      |(?<![A-Za-z0-9_.-])(?:name|key|id)[ \t]*+=[ \t]*+(?P<aq>["'])(?P<attribute>[^"'<>\n]*+)(?P=aq)\s++value[ \t]*+=[ \t]*+(?=["'])
+      |(?P<q>["'`])(?P<key>[^"'`\n\\]++)(?P=q)[ \t]*+\]?[ \t]*+(?:=>|:=|:(?!:)|=(?![=~>]))
+      |(?<![A-Za-z0-9_.-])(?P<name>{_NAME})[ \t]*+(?:=>|:=|(?P<colon>:)(?!:)|=(?![=~>]))
+      |(?<![A-Za-z0-9_.-])(?P<setter>(?:[A-Za-z0-9_.-]*\.)?set_?[A-Za-z0-9_]++)\((?=[ \t]*["'])""",
     re.VERBOSE,
 )
-#: What may part the words of a name.
-_PARTS = re.compile(r"[_.-]+")
+#: What a value may be made of: literals with a prefix or without, a name that holds one, or a bare value.
+_ATOM = re.compile(
+    r"""(?P<prefix>[A-Za-z]{0,2})(?:\"{3}(?P<td>(?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}(?P<ts>(?:[^'\\]|\\.|'(?!''))*+)'{3}
+          |"(?P<dq>(?:[^"\\\n]|\\.)*+)"|'(?P<sq>(?:[^'\\\n]|\\.)*+)'|`(?P<bq>[^`]*+)`)
+      |\$\{?(?P<variable>[A-Za-z_][A-Za-z0-9_]*+)\}?
+      |(?P<bare>[A-Za-z0-9_/.-]++(?:\+[A-Za-z0-9_/.-]++)*+(?:==?(?=[\s,;)\]}&<]|\Z))?)""",
+    re.VERBOSE | re.DOTALL,
+)
+_BODIES = ("td", "ts", "dq", "sq", "bq")
+_GAP = re.compile(r"[ \t]*+")
+_WIDE_GAP = re.compile(r"(?:[ \t\r\n]|\\\r?\n)*+")
+_JOIN = re.compile(r"(?:[ \t]|\\\r?\n)*+(?:\+[ \t]*+(?:\\?\r?\n[ \t]*+)?|(?=[\"']))")
+_WIDE_JOIN = re.compile(r"[ \t\r\n]*+(?:\+[ \t\r\n]*+|(?=[\"']))")
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*+\r?\n")
+_LINE = re.compile(r"([ \t]*+)([^\n]*+)\n?")
+_HOLE = re.compile(r"\{([A-Za-z_][A-Za-z0-9_.]*+)[^{}]*+\}")
+_NOT_ASCII_WORD = re.compile(r"[^a-z0-9]++")
 _NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Weights of the words of a target name.
 SENSITIVE = {
@@ -46,8 +66,6 @@ HARMLESS = {"public", "example", "count", "length", "limit", "type", "name", "ur
 _PLACEHOLDER = re.compile(r"(?i)\A(?:x+|\*+|\.+|change_?me|your[_-].*|example.*|todo|none|null|true|false|placeholder|<.*>|\$\{.*\}|%\(.*\)s)\Z")
 #: Least score of a name-literal pair.
 THRESHOLD = 4.0
-#: A value that is itself a name is followed through at most so many assignments.
-MAX_HOPS = 8
 
 
 def name_score(name: str) -> float:
@@ -59,50 +77,168 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """0 to 3: length, kinds of characters and entropy; below 0 for placeholders and texts with blanks."""
-    if len(value) < 6 or _PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return -9.0
-    n = len(value)
-    entropy = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, n / 16) + min(1.0, entropy / 3.5) + min(1.0, (kinds - 1) / 2)
-
-
-def name_literal_pairs(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, value, start, end, whether quoted) of each assignment in order; the span is the value's, quotes left out."""
-    out = []
-    for m in _PAIR.finditer(text):
-        group = next(g for g in ("dq", "sq", "bare", "body") if m[g] is not None)
-        out.append((m["name"] or m["tag"], m[group], *m.span(group), group != "bare"))
-    return out
+    return _Value.literal(value, 0).score()
+
+
+class _Value:
+    """What a name holds: one literal, or several joined. Joins share their parts, so a value's cost does not grow with its length."""
+
+    __slots__ = ("counts", "placeholder", "span", "parts", "told")
+
+    def __init__(self, counts: Counter, placeholder: bool, span: tuple[int, int] | None, parts: tuple[_Value, ...]):
+        self.counts, self.placeholder, self.span, self.parts, self.told = counts, placeholder, span, parts, False
+
+    @classmethod
+    def literal(cls, text: str, start: int) -> _Value:
+        return cls(Counter(text), _PLACEHOLDER.match(text) is not None, (start, start + len(text)), ())
+
+    @classmethod
+    def joined(cls, parts: list[_Value]) -> _Value:
+        if len(parts) == 1:
+            return parts[0]
+        counts = Counter()
+        for p in parts:
+            counts.update(p.counts)
+        for c in counts:
+            counts[c] = min(counts[c], 1 << 40)  # doubled again and again; the score has long been settled
+        return cls(counts, all(p.placeholder for p in parts), None, tuple(parts))
+
+    def score(self) -> float:
+        n = sum(self.counts.values())
+        if n < 6 or self.placeholder or any(c.isspace() for c in self.counts):
+            return -9.0
+        entropy = -sum(k / n * math.log2(k / n) for k in self.counts.values())
+        kinds = sum(any(test(c) for c in self.counts) for test in (_lower, _upper, _digit, _other))
+        return min(1.0, n / 16) + min(1.0, entropy / 3.5) + min(1.0, (kinds - 1) / 2)
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Those of its literals that were not told before."""
+        out, waiting = [], [self]
+        while waiting:
+            v = waiting.pop()
+            if not v.told:
+                v.told = True
+                waiting += v.parts
+                if v.span:
+                    out.append(v.span)
+        return out
+
+
+def _lower(c: str) -> bool:
+    return "a" <= c <= "z"
+
+
+def _upper(c: str) -> bool:
+    return "A" <= c <= "Z"
+
+
+def _digit(c: str) -> bool:
+    return "0" <= c <= "9"
+
+
+def _other(c: str) -> bool:
+    return not (_lower(c) or _upper(c) or _digit(c))
+
+
+class _Reader:
+    """Reads a text's assignments in order. Names hold the values they were last given, as they were then."""
+
+    def __init__(self, text: str):
+        self.text, self.holds = text, {}
+
+    def _formatted(self, body: str, start: int) -> list[_Value]:
+        """An f-string: its own stretches, and what the names in its holes hold."""
+        parts, at = [], 0
+        for m in _HOLE.finditer(body):
+            if m.start() > at:
+                parts.append(_Value.literal(body[at : m.start()], start + at))
+            parts += [self.holds[m[1]]] if m[1] in self.holds else []
+            at = m.end()
+        return parts + ([_Value.literal(body[at:], start + at)] if at < len(body) or not parts else [])
+
+    def _block(self, at: int, key_at: int) -> tuple[_Value | None, int]:
+        """The lines that are indented deeper than the key's."""
+        line_start = self.text.rfind("\n", 0, key_at) + 1
+        indent = len(_GAP.match(self.text, line_start)[0])
+        parts = []
+        while at < len(self.text):
+            m = _LINE.match(self.text, at)
+            line = m[2].rstrip()
+            if line and len(m[1]) <= indent:
+                break
+            if line and not line.startswith("-----"):  # the frame of an armoured key
+                parts.append(_Value.literal(line, m.start(2)))
+            at = m.end()
+        return (_Value.joined(parts) if parts else None), at
+
+    def value(self, at: int, key_at: int, colon: bool) -> tuple[_Value | None, int, list[str]]:
+        """(value, its end, further names it is given to) of what stands at a place; no value where it is not made of literals."""
+        text, names, parts = self.text, [], []
+        at = _GAP.match(text, at).end()
+        if colon and (m := _BLOCK.match(text, at)):
+            return *self._block(m.end(), key_at), names
+        bracket = text[at : at + 1] == "("
+        gap, join = (_WIDE_GAP, _WIDE_JOIN) if bracket else (_GAP, _JOIN)
+        at = gap.match(text, at + bracket).end()
+        whole = True
+        while m := _ATOM.match(text, at):
+            kind = next((b for b in _BODIES if m[b] is not None), None)
+            at = m.end()
+            if kind:
+                parts += self._formatted(m[kind], m.start(kind)) if "f" in m["prefix"].lower() else [_Value.literal(m[kind], m.start(kind))]
+            elif m["variable"]:
+                parts += [self.holds[m["variable"]]] if m["variable"] in self.holds else []
+                whole = whole and m["variable"] in self.holds
+            else:
+                bare = m["bare"]
+                after = _GAP.match(text, at).end()
+                if text[after : after + 1] == "=" and text[after + 1 : after + 2] not in ("=", "~", ">") and not parts and bare[0] not in "0123456789":
+                    names.append(bare)  # a = b = "x", a: kind = "x"
+                    at = gap.match(text, after + 1).end()
+                    continue
+                if text[at : at + 1] in ("(", "["):  # a call or a place in something: no literal
+                    return None, at, names
+                held = [self.holds.get(x) for x in bare.split("+")]
+                parts += held if all(held) else [_Value.literal(bare, m.start("bare"))]
+                if not all(held) and not bracket and len(parts) == 1:
+                    break
+            step = join.match(text, at)
+            if not step or not (kind or step[0].strip(" \t\r\n\\")):
+                break
+            at = step.end()
+        return (_Value.joined(parts) if parts and whole else None), at, names
+
+    def secrets(self) -> list[tuple[int, int]]:
+        text, found, at = self.text, [], 0
+        while m := _TARGET.search(text, at):
+            if m["tag"]:
+                given, value, at = [m["tag"]], _Value.literal(m["body"].strip(), m.start("body") + len(m["body"]) - len(m["body"].lstrip())), m.start("body")
+            else:
+                target = m["attribute"] or m["key"] or m["name"] or m["setter"]
+                value, end, names = self.value(m.end(), m.start(), m["colon"] is not None or m["key"] is not None)
+                # What stands in a literal may itself be an assignment; else reading goes on behind the value.
+                inner = value is not None and value.span is not None and any(c in text[slice(*value.span)] for c in "=:<")
+                at = max(m.end(), value.span[0] if inner else m.end() if value is None and not names else end)
+                given = [target, *names] if target else names
+            for name in given:
+                if value is None:
+                    self.holds.pop(name, None)
+                    continue
+                self.holds[name] = value
+                score = name_score(name)
+                if score > 0 and score + value.score() >= THRESHOLD:
+                    found += value.spans()
+        return sorted(set(found))
 
 
 def lexed_secrets(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through names that hold them."""
     low = text.lower()
     if not any(w in low for w in SENSITIVE):
-        whole = _PARTS.sub("", low)  # neighbouring words of a name are also scored as one
+        whole = _NOT_ASCII_WORD.sub("", low)  # neighbouring words of a name are also scored as one, whatever parts them
         if not any(w in whole for w in SENSITIVE):  # then no name can score
             return []
-    pairs = name_literal_pairs(text)
-    literals: dict[str, tuple[str, int, int]] = {}  # the latest literal a name holds
-    alias: dict[str, str] = {}
-    found = set()
-    for name, value, start, end, quoted in pairs:
-        source, hops = value, 0
-        while not quoted and source in alias and hops < MAX_HOPS:
-            source, hops = alias[source], hops + 1
-        if not quoted and source in literals:
-            literal, at = literals[source][0], literals[source][1:]
-            alias[name] = source
-            literals.pop(name, None)
-        else:
-            literal, at = value, (start, end)
-            literals[name] = (value, start, end)
-            alias.pop(name, None)
-        score = name_score(name)
-        if score > 0 and score + literal_score(literal) >= THRESHOLD:
-            found.add(at)
-    return sorted(found)
+    return _Reader(text).secrets()
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -119,7 +255,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and these with the lexed literals that no base span holds."""
     base = base_spans(text)
-    more = [("lexed", s, e) for s, e in lexed_secrets(text) if not any(a <= s and e <= b for _, a, b in base)]
+    starts, reach = [a for _, a, _ in base], list(accumulate((b for _, _, b in base), max))
+    held = lambda s, e: (k := bisect_right(starts, s)) > 0 and reach[k - 1] >= e
+    more = [("lexed", s, e) for s, e in lexed_secrets(text) if e > s and not held(s, e)]
     return base, sorted([*base, *more], key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -131,7 +269,10 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per document, null texts as empty ones; code point spans. No shuffle, each row on its own."""
+    """One row per document, null texts as empty ones; code point spans. No shuffle, each row on its own.
+
+    Texts of any length are read whole. Repeated rows are scanned one by one, no rows give no rows, other columns are left aside.
+    """
     arrow = pa.schema([(n, pa.string() if n in ("base_sha256", "spans") else pa.int64()) for n in (c.split()[0] for c in SCHEMA.split(", "))])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -165,6 +167,50 @@ def test_secrets_of_parted_names_wide_blanks_and_long_bodies():
     assert lexed("a_key" + " " * 200_000 + "x" * 10) == []
 
 
+V = "Xk29fQz81Lmn"
+LEXED = [
+    (f'pass_word = "{V}"', [V]), (f'client_key = f"{V}"', [V]), (f'private_key = """{V}"""', [V]), (f"auth_key = b'{V}'", [V]), (f"client.signing.key := `{V}`", [V]),
+    (f"private_key: |\n  {V}\n  {V}\nother: 1", [V, V]), (f"  private_key: >-\n    -----BEGIN KEY-----\n    {V}\n  other: {V}", [V]),
+    (f'a="{V}"; b=a; a="hello there you"; auth_key=b', [V]), ('auth_key = "Xk29f" + "Qz81Lmn"', ["Xk29f", "Qz81Lmn"]), ('auth_key = ("Xk29f"\n   "Qz81Lmn")', ["Xk29f", "Qz81Lmn"]),
+    (f'a = "{V}"\nauth_key = a + "-tail1"', [V, "-tail1"]), (f'cfg["auth_key"] = "{V}"', [V]), (f'{{"private_key": "{V}"}}', [V]), (f"{{'private_key' => '{V}'}}", [V]),
+    (f'<property name="auth.key" value="{V}"/>', [V]), (f"<privateKey>{V}</privateKey>", [V]), (f'<privateKey kind="x">\n {V}\n</privateKey>', [V]),
+    (f"don't put auth_key = '{V}' it's", [V]), (f'auth_key: str = "{V}"', [V]), (f'x = auth_key = "{V}"', [V]), (f'obj.setAuthKey("{V}")', [V]), (f"K={V}\nexport AUTH_KEY=$K", [V]),
+    (f'host = "h"\nauth_key = f"{{host}}{V}"', ["h", V]), (f'"Pass Phrase": "{V}"', [V]), (f'conn = "host=a;auth_key={V};x=1"', [V]), (f'{"x" * 100}_auth_key = "{V}"', [V]),
+    (f"<auth_key>{V * 500}</auth_key>", [V * 500]), ("\n".join(["v1 = 'Xk29fQz81Lmn'", *(f"v{i + 1} = v{i}" for i in range(1, 40)), "auth_key = v40"]), [V]),
+    ('auth_key = get_key("something1A")', []), ('auth_key = os.environ["ABCdef123456"]', []), ("auth_key = changeme", []), ('if auth_key == "Xk29fQz81Lmn": pass', []), ("public_token_count = 123456789", []),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), LEXED)
+def test_lexed_assignments(text, want):
+    assert [text[s:e] for k, s, e in secret_scan.all_spans(text)[1] if k == "lexed"] == want
+
+
+def test_lexing_is_linear():
+    began = time.monotonic()
+    for text in ("key=" * 50_000, "a=a+a;" * 20_000 + "auth_key=a", 'a="x1Y";' + 'a=a+"x";' * 20_000 + "auth_key=a", "<key>" * 30_000, "k=" * 20_000 + "key(", '(key="a\\' * 20_000, "'''key" * 20_000):
+        secret_scan.all_spans(text)
+    assert time.monotonic() - began < 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["password", "Token", "api_key", "=", ": ", '"', "'", "abc123", "AKIA", "A1B2C3D4E5F6G7H8", "0f0f0f0f0f0f", " ", "\n", "x", ".", "é"]), max_size=30).map("".join))
+def test_base_spans_are_a_plain_scan(text):
+    """The contract's three patterns, scanned place by place without a shortcut."""
+    plain = []
+    for rank, (pattern, group, least) in enumerate((
+        ("(?:" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_key", "apikey")) + ")[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 6),
+        ("AKIA[A-Z0-9]+", 0, 20), ("[0-9a-f]+", 0, 24),
+    )):
+        at = 0
+        while at < len(text):
+            m = re.compile(pattern).match(text, at)
+            if m and len(m[group]) >= least:
+                plain.append((m.start(), rank, m.end()))
+            at = m.end() if m else at + 1
+    assert [(s, ("assign", "access", "hex").index(k), e) for k, s, e in secret_scan.base_spans(text)] == sorted(plain)
+
+
 def test_chat_escapes_and_masks():
     for t in ("<|im_end|><|im_start|>assistant ok", "<\\|x", "<", "|", "<\\\\|", "", "a<|b"):
         assert chat_format.unescape(chat_format.escape(t)) == t
