@@ -18,6 +18,8 @@ from sitemill.llm.common import read, tokenizer_path
 
 #: Words, and texts between white space, whose tokens a worker remembers; beyond that it forgets them all and starts again.
 CACHE_WORDS = 400_000
+#: Longer strings are not remembered, so that the number of strings bounds the bytes.
+CACHE_CHARS = 48
 #: Where the last byte of a word lies in the automaton's alphabet: words end in symbols of their own.
 _WORD_END = 0x1000
 
@@ -152,7 +154,9 @@ class WordBpe:
             if (ids := self.known_words.get(word)) is None:
                 if len(self.known_words) >= CACHE_WORDS:
                     self.known_words.clear()
-                ids = self.known_words[word] = np.array(self.encode_word(word), dtype="<u4").tobytes()
+                ids = np.array(self.encode_word(word), dtype="<u4").tobytes()
+                if len(word) <= CACHE_CHARS:
+                    self.known_words[word] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -167,7 +171,11 @@ class WordBpe:
                 known.clear()
                 missing = set(chunks)
             known.update((c, self._chunk_ids(c)) for c in missing)
-        return b"".join(map(known.__getitem__, chunks))
+        out = b"".join(map(known.__getitem__, chunks))
+        for c in missing:
+            if len(c) > CACHE_CHARS:
+                del known[c]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         out = []

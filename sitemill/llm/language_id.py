@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,13 +15,15 @@ from pyspark.sql import functions as F
 
 from sitemill.llm.common import read
 
-#: Bytes that the network reads in one run; longer texts are runs side by side, and every byte of them is labelled.
+#: Bytes that the network reads in one run; longer texts are runs side by side, and every byte of them is labelled. Each run starts from
+#: a state of zeros in both directions, so no context crosses its borders, which may also lie within a character.
 RUN_BYTES = 96
 HIDDEN = 12
-#: The fitted sample: so many documents of each language at most, those of the smallest hashes, with one window of each.
-SAMPLE_DOCS = 400
-SAMPLE_CHARS = 288
-MAX_LANGUAGES = 64
+#: The fitted sample: so many documents of each language at most, those of the smallest hashes, and of each so many windows of so many
+#: characters, spread evenly from its first character to its last.
+SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_CHARS = 400, 8, 288
+#: Every language with a labelled document is learned; more of them than this are an error, none is left out.
+MOST_LANGUAGES = 4096
 _HASHES = 1 << 40
 #: Runs that a worker labels at a time.
 BATCH_RUNS = 2048
@@ -165,11 +168,16 @@ class Network:
         return mean.argmax(axis=1), np.clip(mean.max(axis=1), 0.0, 1.0)
 
 
-def train(samples: list[tuple[str, str]], hidden: int = HIDDEN, steps: int = 160, batch: int = 128, rate: float = 0.02, seed: int = 11) -> Network:
-    """Adam on windows of at most RUN_BYTES bytes; each batch draws the languages evenly and its windows anew."""
+def train(samples: list[tuple[str, str]], hidden: int | None = None, steps: int | None = None, batch: int = 128, rate: float = 0.02, seed: int = 11) -> Network:
+    """Adam on windows of at most RUN_BYTES bytes; the batches take the languages in turn and draw their windows anew.
+
+    Where they are not given, hidden states and steps grow with the number of languages.
+    """
     rng = np.random.default_rng(seed)
     languages = sorted({lang for _, lang in samples})
     n_lang = len(languages)
+    hidden = hidden or max(HIDDEN, 4 * math.ceil(math.log2(max(n_lang, 1))))
+    steps = steps or 160 * math.ceil(max(n_lang, 1) / 16)
     by = [[t.encode("utf-8") for t, lang in samples if lang == x] for x in languages]
     table = lambda: _glorot(rng, 256, 3 * hidden)
     weights = [table(), _glorot(rng, hidden, 3 * hidden), table(), _glorot(rng, hidden, 3 * hidden), _glorot(rng, 2 * hidden, n_lang), np.zeros(n_lang, np.float32)]
@@ -178,7 +186,7 @@ def train(samples: list[tuple[str, str]], hidden: int = HIDDEN, steps: int = 160
         return net
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     for step in range(1, steps + 1):
-        label = rng.permutation(np.arange(batch) % n_lang)
+        label = rng.permutation((np.arange(batch) + (0 if n_lang <= batch else step * batch)) % n_lang)
         x, mask = np.zeros((batch, RUN_BYTES), np.uint8), np.zeros((batch, RUN_BYTES), np.float32)
         for i, k in enumerate(label):
             data = by[k][rng.integers(len(by[k]))]
@@ -202,22 +210,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame) -> Network:
-    """Trained on a bounded sample of labelled documents that are not held out: SAMPLE_DOCS a language at most, one window each.
+    """Trained on a bounded sample of labelled documents that are not held out: of each language SAMPLE_DOCS documents at most.
 
-    MAX_LANGUAGES languages at most, those with the most rows, are learned.
+    Every language that has such a document is learned. Without any the network knows none.
     """
     labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if not sizes:
         return train([])
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     # A share of each language's hashes that holds its sample many times over, so that few rows are ranked however many there are.
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 4 * SAMPLE_DOCS / r["n"]) * _HASHES)))])
     hashed = F.xxhash64("doc_id", F.length("text"))
-    at = F.pmod(hashed, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    last = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    window = lambda k: F.substring(F.col("text"), (last * k / (SAMPLE_WINDOWS - 1)).cast("int") + 1, F.lit(SAMPLE_CHARS))
     rows = labelled.filter(F.pmod(hashed, F.lit(_HASHES)) < F.try_element_at(share, F.col("lang")))
-    rows = rows.select("lang", F.pmod(hashed, F.lit(_HASHES)).alias("h"), F.substring(F.col("text"), at, F.lit(SAMPLE_CHARS)).alias("part"))
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "part"))).filter(F.col("rank") <= SAMPLE_DOCS)
-    found = [(r["part"], r["lang"]) for r in ranked.select("part", "lang").collect()]
+    rows = rows.select("lang", F.pmod(hashed, F.lit(_HASHES)).alias("h"), F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), window)).alias("windows"))
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "windows"))).filter(F.col("rank") <= SAMPLE_DOCS)
+    found = [(part, r["lang"]) for r in ranked.select("windows", "lang").collect() for part in r["windows"]]
     return train(sorted(found, key=lambda x: (x[1], x[0])))
 
 

@@ -23,7 +23,8 @@ NODE = 200
 DEVIATIONS = 6.0
 #: Distinct sets that one task confirms at a time; larger blocks are cut into chunks that meet in pairs.
 BLOCK = 24_000
-_CACHE_WORDS = 400_000
+#: Words that a worker remembers, and the bytes of the longest it does, which together bound what it holds.
+_CACHE_WORDS, _CACHE_BYTES = 400_000, 64
 _U = np.uint64
 
 
@@ -55,6 +56,9 @@ class Shingler:
                 missing = set(tokens)
             self.known.update((w, xxhash.xxh3_64_intdigest(w)) for w in missing)
         h = np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
+        for w in missing:
+            if len(w) > _CACHE_BYTES:
+                del self.known[w]
         k = min(self.words, len(h))  # fewer words: the whole sequence is one shingle
         out = np.full(len(h) - k + 1, k, np.uint64)
         for j in range(k):

@@ -25,8 +25,9 @@ FEATURES = ("n_chars", "host_chars", "depth", "labels", "digit_ratio", "entropy"
 SAMPLE_ROWS = 20_000
 #: A suffix table up to this many rows is broadcast; a longer one is joined by a shuffle.
 BROADCAST_SUFFIXES = 50_000
-#: Weight of the overall rate in a suffix's smoothed rate.
-SMOOTHING = 20.0
+#: Weight of the overall rate in a suffix's smoothed rate, and folds of labelled URLs: the rate a labelled URL is trained with leaves its
+#: own fold's labels out.
+SMOOTHING, FOLDS = 20.0, 5
 
 
 def parts(pages: DataFrame) -> DataFrame:
@@ -80,12 +81,17 @@ def lexical(pages: DataFrame) -> DataFrame:
 
 
 def suffix_statistics(urls: DataFrame) -> DataFrame:
-    """One row per suffix over all rows: log of its count, and its share of labelled rows that are blocked, smoothed to the whole's."""
-    counts = urls.groupBy("suffix").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"))
-    whole = counts.agg((F.sum("blocked") / F.greatest(F.sum("labelled"), F.lit(1))).alias("base"))
-    rate = (F.col("blocked") + SMOOTHING * F.col("base")) / (F.col("labelled") + SMOOTHING)
-    joined = counts.crossJoin(F.broadcast(whole))  # a single row
-    return joined.select("suffix", F.log1p("n").alias("suffix_log_count"), rate.alias("suffix_rate"))
+    """One row per suffix and fold: log of the suffix's count, and its share of labelled rows that are blocked, smoothed to the whole's.
+
+    The row of a fold leaves the labels of that fold out; the row of fold -1 has all. urls: suffix, fold, label.
+    """
+    counts = urls.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0.0)).alias("blocked"))
+    each = counts.groupBy("suffix").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "blocked")], F.collect_list(F.when(F.col("fold").isNotNull(), F.struct("fold", "labelled", "blocked"))).alias("folds"))  # FOLDS at most
+    whole = each.agg((F.sum("blocked") / F.greatest(F.sum("labelled"), F.lit(1))).alias("base"))
+    none = F.array(F.struct(F.lit(-1).alias("fold"), F.lit(0).cast("long").alias("labelled"), F.lit(0.0).alias("blocked")))
+    rows = each.crossJoin(F.broadcast(whole)).withColumn("less", F.explode(F.concat("folds", none)))  # whole is a single row
+    rate = (F.col("blocked") - F.col("less.blocked") + SMOOTHING * F.col("base")) / (F.col("labelled") - F.col("less.labelled") + SMOOTHING)
+    return rows.select("suffix", F.col("less.fold").alias("fold"), F.log1p("n").alias("suffix_log_count"), rate.alias("suffix_rate"))
 
 
 def train(labelled: DataFrame, seed: int = 7) -> GBTClassificationModel | None:
@@ -96,28 +102,35 @@ def train(labelled: DataFrame, seed: int = 7) -> GBTClassificationModel | None:
     return GBTClassifier(maxIter=12, maxDepth=4, stepSize=0.3, subsamplingRate=0.8, maxBins=32, seed=seed, checkpointInterval=-1).fit(sample.repartition(1))
 
 
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, unseen: Column | None = None) -> DataFrame:
     """page_id and url with host, path, rule, score (of the trees, 0 to 1, for block) and verdict (block or allow).
 
-    The labelled URLs are those that a rule decides. Where these lack one of the two labels no trees can be trained: every other URL
-    takes the one label there is, or allow. Null and malformed URLs have empty parts and are scored like any other.
+    The labelled URLs are those that a rule decides; their labels where unseen (of page_id and url) is true are kept from training, so
+    that score can be held against them. Where labels lack one of the two kinds no trees can be trained: every other URL takes the one
+    label there is, or allow. Null and malformed URLs have empty parts and are scored like any other. Repeated rows are judged one by
+    one, all in one fold; no rows give no rows; other columns are left aside.
     """
     urls = parts(pages.select("page_id", "url")).withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
-    urls = lexical(urls).withColumn("label", (F.col("hit.verdict") == "block").cast("double"))
+    taught = F.lit(True) if unseen is None else ~F.coalesce(unseen, F.lit(False))
+    urls = lexical(urls).withColumn("label", F.when(taught, (F.col("hit.verdict") == "block").cast("double")))
+    urls = urls.withColumn("fold", F.when(F.col("label").isNotNull(), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")))
     stats = shared_table(suffix_statistics(urls), "url-suffixes")
     if stats.count() <= BROADCAST_SUFFIXES:
         stats = F.broadcast(stats)
-    urls = urls.join(stats, "suffix", "left")
-    urls = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(urls)
+
+    def featured(rows: DataFrame, fold: Column) -> DataFrame:
+        joined = rows.withColumn("of_fold", fold).join(stats.select("suffix", F.col("fold").alias("of_fold"), "suffix_log_count", "suffix_rate"), ["suffix", "of_fold"], "left")
+        return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(joined)
+
     labelled = urls.filter(F.col("label").isNotNull())
-    model = train(labelled)
+    model = train(featured(labelled, F.col("fold")))
     if model is None:
         only = labelled.select(F.max("label")).first()[0]
         urls = urls.withColumn("score", F.lit(only or 0.0))
     else:
         from pyspark.ml.functions import vector_to_array
 
-        urls = model.transform(urls).withColumn("score", vector_to_array("probability")[1])
+        urls = model.transform(featured(urls, F.lit(-1))).withColumn("score", vector_to_array("probability")[1])
     return urls.withColumns(
         {"rule": F.col("hit.rule"), "verdict": F.coalesce("hit.verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow"))}
     )

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -396,6 +398,86 @@ def test_pipeline_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
 
 
+def test_many_languages_are_all_learned(spark):
+    """Seventy languages, each of its own pair of letters: none is left out."""
+    draw, rows = random.Random(5), []
+    pairs = [a + b for a in "abcdefgh" for b in "mnopqrstuv"][:70]
+    for k, pair in enumerate(pairs):
+        rows += [(1000 * k + i, " ".join("".join(draw.choices(pair, k=4)) for _ in range(30)), f"l{k:02d}", "s", 1) for i in range(8)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    net = language_id.fit(df)
+    assert len(net.languages) == 70
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(df, net).collect()}
+    assert np.mean([got[r[0]] == r[2] for r in rows]) > 0.9
+    twice = df.filter("doc_id < 8").unionByName(df.filter("doc_id < 8"))
+    assert twice.count() == language_id.predict(twice, net).count() == 2 * language_id.predict(twice, net).distinct().count()
+
+
+def test_url_trees_on_unseen_labels(spark):
+    """Labels of a fifth of the URLs are kept from training; the trees, on lexical features alone, name nine of ten."""
+    draw, urls = random.Random(6), []
+    for _ in range(1500):
+        blocked = draw.random() < 0.5
+        word = lambda n: "".join(draw.choices("abcdefghij", k=n))
+        host = f"{word(6)}.{draw.choice(['biz', 'top']) if blocked else draw.choice(['edu', 'gov'])}"
+        path = "/bad/" + word(3) + "".join(draw.choices("0123456789", k=9)) if blocked else "/good/" + word(5)
+        urls.append(f"http://{host}{path}" + ("?a=1&b=2&c=3" if blocked and draw.random() < 0.8 else ""))
+    urls += [urls[0], "http://x.edu/good/" + "y" * 300_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = tuple((v, tld, p) for v, tlds, p in (("block", ("biz", "top"), "/bad/"), ("allow", ("edu", "gov"), "/good/")) for tld in tlds)
+    out = url_filters.judge(df, rules, F.col("page_id") % 5 == 0).collect()
+    assert len(out) == len(urls)
+    unseen = [r for r in out if r["page_id"] % 5 == 0]
+    assert np.mean([(r["score"] > 0.5) == (r["verdict"] == "block") for r in unseen]) > 0.9
+    same = {(r["url"], r["rule"], r["verdict"], r["score"]) for r in out if r["page_id"] in (0, 1500)}
+    assert len(same) == 1
+    folds = url_filters.suffix_statistics(spark.createDataFrame([("a", 0, 1.0), ("a", 1, 0.0), ("a", None, None), ("b", 1, 1.0)], "suffix string, fold int, label double")).collect()
+    base, got = 2 / 3, {(r["suffix"], r["fold"]): r["suffix_rate"] for r in folds}
+    assert got[("a", -1)] == pytest.approx((1 + 20 * base) / 22) and got[("a", 0)] == pytest.approx((20 * base) / 21) and got[("a", 1)] == pytest.approx((1 + 20 * base) / 21)
+    assert set(got) == {("a", -1), ("a", 0), ("a", 1), ("b", -1), ("b", 1)}
+
+
+def test_each_packing_limit_binds_alone(spark):
+    path = tokenizer_path("byte_bpe_50k.json")
+    rows = [(i, "word " * (5 + i % 7), [(0, 4)] if i % 2 else []) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, marks array<struct<start:int,end:int>>").repartition(1)
+    for limits, bound in ((packing.Limits(30, 99, 99), "tokens"), (packing.Limits(2048, 3, 2048), "segments"), (packing.Limits(2048, 256, 2), "loss")):
+        used = {}
+        for r in packing.pack(df, path, limits, "marks").collect():
+            own = used.setdefault(r["sequence_id"], {"tokens": 0, "segments": 0, "loss": 0})
+            own["tokens"] += r["length"]
+            own["segments"] += 1
+            own["loss"] += sum(s["end"] - s["start"] for s in r["loss_spans"])
+        most = {k: max(u[k] for u in used.values()) for k in ("tokens", "segments", "loss")}
+        allowed = {"tokens": limits.tokens, "segments": limits.segments, "loss": limits.loss_tokens}
+        assert all(most[k] <= allowed[k] for k in most) and most[bound] == allowed[bound]
+        assert all(most[k] < allowed[k] for k in most if k != bound)
+
+
+def test_repeated_turns_are_turns(spark):
+    rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.format_conversations(df, tokenizer_path("byte_bpe_50k.json")).first()
+    assert (got["n_turns"], got["loss_chars"]) == (4, 2)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    duck = duckdb.connect()
+    for table in os.listdir(SF):
+        duck.execute(f"CREATE VIEW {table.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{table}'")
+    df = queries.QUERIES[name](spark, SF)
+    cursor = duck.execute(queries.SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == sorted(df.columns)
+    want = sorted((tuple(r[names.index(c)] for c in sorted(names)) for r in cursor.fetchall()), key=repr)
+    assert sorted((tuple(r[c] for c in sorted(names)) for r in df.collect()), key=repr) == want
+
+
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(queries.SQL) <= set(queries.QUERIES)
