@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -17,12 +18,14 @@ from sitemill.llm.common import fresh, partitions, read, shared_table
 WORDS, PERCENT = 5, 80
 #: Tokens that a path may choose, one below the other, and the share of pairs at the threshold that the trees shall bring together.
 DEPTH, RECALL = 3, 0.99999
-#: A node above this size branches on by its next token; at full depth its members form one block without further comparison.
+#: A node above this size branches on by its next token; at full depth its members are tied to its first without further comparison.
 NODE = 200
 #: Sketch agreement below which a pair in a node is no candidate: so many standard deviations under what the threshold gives.
 DEVIATIONS = 6.0
-#: Distinct sets that one task confirms at a time; larger blocks are cut into chunks that meet in pairs.
-BLOCK = 24_000
+#: Distinct sets, and their shingles, that one task confirms at a time, about. A larger component goes by its leaders, in slices of that size.
+BLOCK_SETS, BLOCK_SHINGLES = 250, 1 << 21
+#: So often are the sets that are far from a leader given a leader of their own before they meet all others.
+LEADER_ROUNDS = 4
 #: Words that a worker remembers, and the bytes of the longest it does, which together bound what it holds.
 _CACHE_WORDS, _CACHE_BYTES = 400_000, 64
 _U = np.uint64
@@ -116,36 +119,21 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def likely_links(nodes: DataFrame, percent: int, depth: int) -> DataFrame:
-    """(a, b) that tie each node's likely pairs together, at most one a member; nodes: (node, deep, cid, n, sketch).
+def likely_links(nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) that tie each node's likely pairs together, at most one a member; nodes of NODE members at most: (node, cid, n, sketch).
 
-    A node's members are compared pair by pair; sizes must allow the threshold and sketches must agree but for chance. A node that is
-    large at full depth is tied to its first member as it is: ties here only say what is confirmed together.
+    A node's members are compared pair by pair; sizes must allow the threshold and sketches must agree but for chance.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub: tuple | None = None  # node and first member of a large node that goes on
         rest = None
 
-        def judge(node, deep, cid, n, sketch) -> tuple[np.ndarray, np.ndarray]:
-            nonlocal hub
-            m = len(node)
-            starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            sizes = np.diff(np.r_[starts, m])
-            out_a, out_b = [], []
-            size_of = np.repeat(sizes, sizes)
-            for s, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-                if size > NODE:
-                    first = hub[1] if hub and hub[0] == node[s] else cid[s]
-                    hub = (node[s], first)
-                    out_a.append(np.full(size, first)), out_b.append(cid[s : s + size])
-            small = size_of <= NODE
-            width = sketch.shape[1]
-            p = percent / 100
+        def judge(node, cid, n, sketch) -> pa.RecordBatch:
+            m, width, p = len(node), sketch.shape[1], percent / 100
             least = width * p - DEVIATIONS * math.sqrt(width * p * (1 - p))
-            pa_, pb_ = [], []
-            for lag in range(1, int(min(sizes.max(), NODE))):
-                i = np.flatnonzero(small[lag:] & (node[lag:] == node[:-lag]))
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lag in range(1, m):
+                i = np.flatnonzero(node[lag:] == node[:-lag])
                 if not len(i):
                     break
                 j = i + lag
@@ -155,56 +143,57 @@ def likely_links(nodes: DataFrame, percent: int, depth: int) -> DataFrame:
                 for at in range(0, len(i), 1 << 18):
                     x, y = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
                     keep = (sketch[x] == sketch[y]).sum(axis=1) >= least
-                    pa_.append(x[keep]), pb_.append(y[keep])
-            if pa_:
-                root = _roots(m, np.concatenate(pa_), np.concatenate(pb_))
-                tied = np.flatnonzero(root != np.arange(m))
-                out_a.append(cid[root[tied]]), out_b.append(cid[tied])
-            if not out_a:
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            a, b = np.concatenate(out_a), np.concatenate(out_b)
+                    a.append(x[keep]), b.append(y[keep])
+            root = _roots(m, np.concatenate(a), np.concatenate(b))
+            tied = np.flatnonzero(root != np.arange(m))
+            a, b = cid[root[tied]], cid[tied]
             keep = a != b
-            return np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], names=["a", "b"])
 
         for batch in batches:
-            node, deep, cid, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(len(node), -1)
-            now = [node, deep, cid, n, sketch]
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            now.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(now[0]), -1))
             if rest is not None:
                 now = [np.concatenate((x, y)) for x, y in zip(rest, now, strict=True)]
-            cut = int(np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])[-1])
-            if len(now[0]) - cut > 4 * NODE:  # a large node need not wait for its end
-                cut = len(now[0])
-            if cut:
-                a, b = judge(*(x[:cut] for x in now))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            rest = [x[cut:] for x in now]
-        if rest is not None and len(rest[0]):
-            a, b = judge(*rest)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            if len(now[0]):
+                cut = int(np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])[-1])
+                if cut:
+                    yield judge(*(x[:cut] for x in now))
+                rest = [x[cut:] for x in now]
+        if rest is not None:
+            yield judge(*rest)
 
     k = partitions(nodes.sparkSession)
     dealt = nodes.repartition(k, "node").sortWithinPartitions("node", "cid")
-    return dealt.mapInArrow(rows, "a long, b long").distinct()
+    return dealt.mapInArrow(rows, "a long, b long")
+
 
+def chosen_path_ties(classes: DataFrame, percent: int, trees: int, depth: int = DEPTH) -> DataFrame:
+    """(a, b) that tie likely pairs: each set goes to a node in each tree, which branches on by its members' next token while it is large.
 
-def chosen_path_nodes(classes: DataFrame, trees: int, depth: int = DEPTH) -> DataFrame:
-    """(node, deep, cid, n, sketch): each set's node in each tree. A node branches on by its members' next token while it is large."""
+    A node that is large at full depth is tied to its first member by a join, which Spark splits: ties only say what is confirmed together.
+    """
     spread = classes.select("cid", "n", "sketch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.slice("path", t * depth + 1, depth))).alias("tree", "way"))
     keys = [F.xxhash64("tree", *[F.col("way")[i] for i in range(d + 1)]) for d in range(depth)]
     rows = spread.select("cid", "n", "sketch", *[k.alias(f"k{d}") for d, k in enumerate(keys)])
     out = rows.withColumn("node", F.col("k0")).withColumn("deep", F.lit(0))
-    for d in range(depth - 1):
+    ties = None
+    for d in range(depth):
         # Only rows that are still in a large node need their count.
-        large = shared_table(out.filter(F.col("deep") == d).groupBy("node").agg(F.count("*").alias("members")).filter(F.col("members") > NODE).select("node"), "near-nodes")
+        large = shared_table(out.filter(F.col("deep") == d).groupBy("node").agg(F.count("*").alias("members"), F.min("cid").alias("first")).filter(F.col("members") > NODE).select("node", "first"), "near-nodes")
         if large.isEmpty():
             break
         if large.count() <= 10_000:
             large = F.broadcast(large)
         out = out.join(large.withColumn("large", F.lit(True)), "node", "left")
         on = F.col("large").isNotNull() & (F.col("deep") == d)
+        if d == depth - 1:
+            ties = out.filter(on & (F.col("cid") != F.col("first"))).select(F.col("first").alias("a"), F.col("cid").alias("b"))
+            out = out.filter(~on)
+            break
         out = out.select("cid", "n", "sketch", *[f"k{x}" for x in range(depth)], F.when(on, F.col(f"k{d + 1}")).otherwise(F.col("node")).alias("node"), F.when(on, d + 1).otherwise(F.col("deep")).alias("deep"))
-    return out.select("node", "deep", "cid", "n", "sketch")
+    links = likely_links(out.select("node", "cid", "n", "sketch"), percent)
+    return (links if ties is None else links.unionByName(ties)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -230,28 +219,19 @@ def confirmed(sets: list[np.ndarray], percent: int) -> np.ndarray:
     at more than twice the threshold's distance from L, b and c have no link. So once all unlinked sets within that reach of L have
     passes of their own, the sets linked to L need none. Leaders are the sets of the commonest tokens, as the centre of a group has.
     """
-    m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.cumsum(sizes) - sizes
-    often = np.bincount(ids)
-    score = np.add.reduceat(often[ids], starts) / sizes
+    m, block = len(sets), _Block(sets, percent)
+    often = np.bincount(block.ids)
+    score = np.add.reduceat(often[block.ids], block.starts) / block.sizes
     order = np.argsort(-score, kind="stable")
     done, passed = np.zeros(m, bool), np.zeros(m, bool)
     a, b = [], []
-    mark = np.zeros(len(often), bool)
 
     def compare(i: int) -> np.ndarray:
-        own = ids[starts[i] : starts[i] + sizes[i]]
-        mark[own] = True
-        shared = np.add.reduceat(mark[ids].view(np.int8), starts, dtype=np.int64)
-        mark[own] = False
-        union = sizes + sizes[i] - shared
-        linked = 100 * shared >= percent * union
-        at = np.flatnonzero(linked)
+        reach = block.reach(i)
+        at = np.flatnonzero(reach == 2)
         a.append(np.full(len(at), i)), b.append(at)
         passed[i] = done[i] = True
-        return np.where(linked, 2, np.where(100 * shared >= (2 * percent - 100) * union, 1, 0))
+        return reach
 
     for lead in order.tolist():
         if done[lead]:
@@ -263,33 +243,130 @@ def confirmed(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return _roots(m, np.concatenate(a), np.concatenate(b))
 
 
-def _confirm(members: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): each set of a block and the smallest it reaches within it; members: (comp, i, j, cid, text)."""
+class _Block:
+    """Sets as one run of token ids, to compare one with all."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.sizes, self.percent = np.array([len(s) for s in sets], np.int64), percent
+        _, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.mark = np.zeros(int(self.ids.max()) + 1, bool)
+
+    def reach(self, i: int) -> np.ndarray:
+        """Of each set: 2 where linked with set i, 1 where one linked with set i may be linked with it, else 0."""
+        own = self.ids[self.starts[i] : self.starts[i] + self.sizes[i]]
+        self.mark[own] = True
+        shared = np.add.reduceat(self.mark[self.ids].view(np.int8), self.starts, dtype=np.int64)
+        self.mark[own] = False
+        union = self.sizes + self.sizes[i] - shared
+        return np.where(100 * shared >= self.percent * union, 2, np.where(100 * shared >= (2 * self.percent - 100) * union, 1, 0))
+
+
+def _within(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): each set of a small component and the smallest it reaches within it; members: (comp, cid, text)."""
+
+    def judge(ids: list[int], sets: list[np.ndarray], _: list[bool]) -> list[tuple[int, int]]:
+        root = confirmed(sets, percent) if len(sets) > 1 else [0]
+        return [(ids[r], c) for r, c in zip(root, ids, strict=True)]
+
+    return _by_group(members.select("comp", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(False).alias("lead"), "cid", "text"), words, "a long, b long", judge)
+
+
+def _by_group(rows_: DataFrame, words: int, schema: str, judge) -> DataFrame:
+    """judge(ids, sets, leads) over the rows (comp, i, j, lead, cid, text) of each group (comp, i, j), leads first, a repeated row once."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        block, cids, sets = None, [], []
+        group, ids, sets, leads = None, [], [], []
 
-        def judge() -> pa.RecordBatch:
-            root = confirmed(sets, percent) if len(sets) > 1 else np.zeros(len(sets), np.int64)
-            ids = np.array(cids, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids[root]), pa.array(ids)], names=["a", "b"])
+        def told() -> pa.RecordBatch:
+            found = judge(ids, sets, leads)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else [[]] * len(names))], names=names)
 
         for batch in batches:
-            for *key, cid, text in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if key != block:
+            for *key, lead, cid, text in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if key != group:
                     if sets:
-                        yield judge()
-                    block, cids, sets = key, [], []
-                if not cids or cids[-1] != cid:  # a repeated row is the same set
-                    cids.append(cid)
-                    sets.append(shingler.of(text))
+                        yield told()
+                    group, ids, sets, leads = key, [], [], []
+                if not ids or (ids[-1], leads[-1]) != (cid, lead):
+                    ids.append(cid), sets.append(shingler.of(text)), leads.append(lead)
         if sets:
-            yield judge()
+            yield told()
 
-    k = partitions(members.sparkSession)
-    dealt = members.repartition(k, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "cid")
-    return dealt.mapInArrow(rows, "a long, b long")
+    dealt = rows_.repartition(partitions(rows_.sparkSession), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", F.desc("lead"), "cid")
+    return dealt.mapInArrow(rows, schema)
+
+
+def _slices(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """rows (by, n, cid) with the number of slices that each group needs and the slice that each row is in."""
+    sizes = rows.groupBy(by).agg(F.count("*").alias("_m"), F.sum("n").alias("_s"))
+    slices = F.greatest(F.ceil(F.col("_m") / BLOCK_SETS), F.ceil(F.col("_s") / BLOCK_SHINGLES)).cast("long")
+    out = rows.join(sizes.select(by, slices.alias(f"{name}s")), by)
+    return out.withColumn(name, F.pmod(F.xxhash64("cid", F.lit(7)), F.col(f"{name}s")))
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """(comp, cid) of the member of each component (comp, cid, sketch) whose sketch agrees most with those of all, ties to the smaller."""
+    each = members.select("comp", "cid", F.posexplode(F.split(F.hex("sketch"), "(?<=\\G..)")).alias("at", "byte"))
+    often = each.groupBy("comp", "at", "byte").agg(F.count("*").alias("n"))
+    usual = often.groupBy("comp", "at").agg(F.max_by("byte", F.struct("n", "byte")).alias("byte"))
+    usual = usual.groupBy("comp").agg(F.array_sort(F.collect_list(F.struct("at", "byte"))).alias("usual"))
+    bytes_ = F.split(F.hex("sketch"), "(?<=\\G..)")
+    agree = F.size(F.filter(F.arrays_zip(bytes_.alias("x"), F.col("usual.byte").alias("y")), lambda z: z["x"] == z["y"]))
+    scored = members.join(usual, "comp").select("comp", "cid", agree.alias("agree"))
+    return scored.groupBy("comp").agg(F.max_by("cid", F.struct("agree", -F.col("cid"))).alias("cid"))
+
+
+def _by_leaders(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links of components too large for one task, enough for their connection; members: (comp, cid, n, sketch, text).
+
+    All sets of a component meet its leader in slices. Those linked with it are settled among themselves. Jaccard distance keeps the
+    triangle inequality, so sets at more than twice the threshold's distance are linked with none of these, and get a leader of their
+    own; only sets between both, and those left after LEADER_ROUNDS, meet all others of the component, slice by slice.
+    """
+
+    def led(ids: list[int], sets: list[np.ndarray], leads: list[bool]) -> list[tuple[int, int, int]]:
+        return [(ids[0], c, r) for c, r in zip(ids[1:], _Block(sets, percent).reach(0)[1:].tolist(), strict=True)]
+
+    def met(ids: list[int], sets: list[np.ndarray], leads: list[bool]) -> list[tuple[int, int]]:
+        block, out = _Block(sets, percent), []
+        for i in range(sum(leads)):
+            out += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in np.flatnonzero(block.reach(i) == 2).tolist() if ids[k] != ids[i]]
+        root = {}
+        for a, b in sorted(set(out)):  # a forest of the links found is enough
+            ra, rb = a, b
+            while root.get(ra, ra) != ra:
+                ra = root[ra]
+            while root.get(rb, rb) != rb:
+                rb = root[rb]
+            root[max(ra, rb)] = min(ra, rb)
+        return [(a, b) for b, a in root.items() if a != b]
+
+    open_, links, between = members.select("comp", "cid", "n", "sketch"), [], []
+    for _ in range(LEADER_ROUNDS):
+        sliced = _slices(open_, "comp", "i")
+        leader = shared_table(_centres(open_), "near-leaders")
+        rows = sliced.join(leader.select("comp", F.col("cid").alias("leader")), "comp").filter("cid <> leader").select("comp", "i", F.lit(False).alias("lead"), "cid")
+        all_slices = F.explode(F.sequence(F.lit(0).cast("long"), F.col("is") - 1))
+        leads = leader.join(sliced.select("comp", "is").distinct(), "comp").select("comp", all_slices.alias("i"), F.lit(True).alias("lead"), "cid")
+        asked = rows.unionByName(leads).join(members.select("comp", "cid", "text"), ["comp", "cid"])
+        found = shared_table(_by_group(asked.select("comp", "i", F.lit(0).alias("j"), "lead", "cid", "text"), words, "a long, b long, reach long", led), "near-led")
+        links.append(found.filter("reach = 2").select("a", "b"))
+        between.append(found.filter("reach = 1").select(F.col("b").alias("cid")))
+        open_ = shared_table(open_.join(found.filter("reach = 0").select(F.col("b").alias("cid")), "cid", "left_semi").select("comp", "cid", "n", "sketch"), "near-far")
+        if open_.isEmpty():
+            break
+    rest = functools.reduce(DataFrame.unionByName, [*between, open_.select("cid")])
+    waiting = shared_table(members.join(rest, "cid", "left_semi").select("comp", "cid", "n"), "near-between")
+    own, others = _slices(waiting, "comp", "i"), _slices(members.select("comp", "cid", "n"), "comp", "j")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = own.join(others.select("comp", "js").distinct(), "comp").select("comp", "i", every("js").alias("j"), F.lit(True).alias("lead"), "cid")
+    asked = asked.unionByName(others.join(own.select("comp", "is").distinct(), "comp").select("comp", every("is").alias("i"), "j", F.lit(False).alias("lead"), "cid"))
+    asked = asked.join(members.select("comp", "cid", "text"), ["comp", "cid"]).select("comp", "i", "j", "lead", "cid", "text")
+    links.append(_by_group(asked, words, "a long, b long", met))
+    return functools.reduce(DataFrame.unionByName, links)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -307,24 +384,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     usable = made.filter((F.col("n") > 0) & F.col("did").isNotNull())
     classes = usable.groupBy(*own).agg(F.min(F.struct("did", "th")).alias("rep"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
     classes = shared_table(classes.select(*own, F.col("rep.did").alias("cid"), F.col("rep.th").alias("th"), "path", "sketch"), "near-classes")
-    likely = components(likely_links(chosen_path_nodes(classes, trees), percent, DEPTH))
-    blocks = likely.groupBy("comp").agg(F.count("*").alias("members"))
-    large = shared_table(blocks.filter(F.col("members") > BLOCK), "near-blocks")
-    placed = likely.join(classes.select("cid", "th"), "cid")
-    if large.isEmpty():
-        placed = placed.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
-    else:
-        placed = placed.join(large, "comp", "left")
-        chunks = F.when(F.col("members").isNull(), F.lit(1)).otherwise(F.ceil(F.col("members") / (BLOCK // 2))).cast("long")
-        placed = placed.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")))
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        placed = placed.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    texts = keyed.join(placed.select(F.col("cid").alias("did"), "th", "comp", "i", "j"), ["did", "th"])
-    links = _confirm(texts.select("comp", "i", "j", F.col("did").alias("cid"), "text"), words, percent)
+    likely = components(chosen_path_ties(classes, percent, trees))
+    placed = shared_table(likely.join(classes.select("cid", "th", "n", "sketch"), "cid"), "near-placed")
+    blocks = placed.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    large = shared_table(blocks.filter((F.col("members") > BLOCK_SETS) | (F.col("shingles") > BLOCK_SHINGLES)).select("comp"), "near-blocks")
+    with_texts = lambda rows: keyed.withColumnRenamed("did", "cid").join(rows, ["cid", "th"])
     if large.isEmpty():
+        links = _within(with_texts(placed), words, percent)
         roots = links.select(F.col("b").alias("cid"), F.col("a").alias("root"))
     else:
-        roots = components(links).select("cid", F.col("comp").alias("root"))
+        links = _within(with_texts(placed.join(large, "comp", "left_anti")), words, percent)
+        roots = links.select(F.col("b").alias("cid"), F.col("a").alias("root"))
+        split = shared_table(with_texts(placed.join(large, "comp", "left_semi")).dropDuplicates(["cid"]), "near-large")
+        roots = roots.unionByName(components(_by_leaders(split, words, percent)).select("cid", F.col("comp").alias("root")))
     roots = classes.select(*own, "cid").join(roots.filter("cid <> root"), "cid", "left").select(*own, F.coalesce("root", "cid").alias("root"))
     out = made.select("did", "th", *own).join(shared_table(roots, "near-roots"), own, "left")
     return out.select(F.col("did").alias("doc_id"), "th", F.col("n").alias("n_shingles"), F.when(F.col("did").isNotNull(), F.coalesce("root", "did")).alias("component_id"))

@@ -130,20 +130,50 @@ def test_near_dedup(docs, empty, texts, words):
     assert near_dedup.near_duplicates(empty, words).count() == 0
 
 
-def test_large_blocks_meet_in_chunks(spark, monkeypatch):
+def test_large_components_go_by_leaders(spark, monkeypatch):
+    """Near copies of one text, a chain of texts each near the next, and a pair: brute force on all pairs, with slices of eight sets."""
     draw = random.Random(2)
-    first = sentence(draw, 100).split()
-    rows = []
+    first, chain, rows = sentence(draw, 100).split(), sentence(draw, 100).split(), []
     for i in range(40):
         w = list(first)
-        w[i] = f"other{i}"
+        for k in range(1 + i % 3):
+            w[(7 * i + 31 * k) % 100] = f"other{i}x{k}"
         rows.append((i, " ".join(w)))
-    rows.append((None, rows[0][1]))
+    for i in range(30):
+        chain[2 * i : 2 * i + 3] = [f"next{i}{c}" for c in "abc"]
+        rows.append((100 + i, " ".join(chain)))
+    rows += [(200, sentence(draw, 50)), (None, rows[0][1]), (3, rows[3][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for name, value in (("BLOCK", 8), ("NODE", 4)):
+    sets = {i: {tuple(t.split()[k : k + 2]) for k in range(len(t.split()) - 1)} for i, t in rows if i is not None}
+    comp = {i: i for i in sets}
+    for _ in sets:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    assert len(set(comp.values())) < 30
+    for name, value in (("BLOCK_SETS", 8), ("NODE", 4)):
         monkeypatch.setattr(near_dedup, name, value)
-    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, 2).collect()}
-    assert got == {i: 0 for i in range(40)} | {None: None}
+    for rounds in (1, 3):
+        monkeypatch.setattr(near_dedup, "LEADER_ROUNDS", rounds)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, 2).collect()}
+        assert got == comp | {None: None}
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """Four hundred planted pairs of a similarity from 0.80 to 0.85, among texts of the same words: all but chance bring them together."""
+    draw = random.Random(11)
+    words, rows = [f"w{i}" for i in range(4000)], []
+    for i in range(400):
+        own = [draw.choice(words) for _ in range(120)]
+        other = list(own)
+        for k in range(6):
+            other[5 + 20 * k] = f"changed{i}x{k}"
+        a, b = ({tuple(t[k : k + 2]) for k in range(len(t) - 1)} for t in (own, other))
+        assert 0.80 <= len(a & b) / len(a | b) <= 0.85
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(400)) >= 399 and all(got[2 * i] == 2 * i for i in range(400))
 
 
 def test_packing(docs, empty, texts):
