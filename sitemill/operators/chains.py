@@ -103,9 +103,10 @@ def dedup_audit(sites: DataFrame) -> DataFrame:
     """Each removed site with the site kept for it and the pass that removed it."""
 
     def passed(df: DataFrame, keys: Sequence[str], order: Sequence[str], reason: str) -> DataFrame:
-        w = _site_order(keys, order)
-        out = df.withColumns({"_rn": F.row_number().over(w), "kept_row": F.first("row_id").over(w), "kept_resolution": F.first("resolution").over(w)})
-        return out.filter("_rn > 1").select(F.col("row_id").alias("removed_row"), "kept_row", F.col("resolution").alias("removed_resolution"), "kept_resolution", F.lit(reason).alias("reason"))
+        # The kept site of a key is one row of a plain aggregate, whose join back Spark splits where a key is hot.
+        kept = df.groupBy(*keys).agg(F.min_by(F.struct("row_id", "resolution"), F.struct(*order)).alias("_kept"))
+        out = df.join(kept, list(keys)).filter(F.struct("row_id", "resolution") != F.col("_kept"))
+        return out.select(F.col("row_id").alias("removed_row"), F.col("_kept.row_id").alias("kept_row"), F.col("resolution").alias("removed_resolution"), F.col("_kept.resolution").alias("kept_resolution"), F.lit(reason).alias("reason"))
 
     first = passed(sites, ENTRY_KEYS, ENTRY_ORDER, "same entry")
     return first.unionByName(passed(dedup_within_entry(sites), ACROSS_KEYS, ACROSS_ORDER, "across entries"))

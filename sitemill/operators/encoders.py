@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,21 +28,31 @@ def count_tokens(smiles: str) -> list[float]:
     return [float(found.count(t)) for t in TOKENS]
 
 
+#: Numbers of one batch that an encoder's worker hands on, about.
+BATCH_VALUES = 1 << 20
+
+
 def with_residue_vectors(df: DataFrame, encoder: Callable[[str], Sequence[Sequence[float]]], seq: str = "sequence") -> DataFrame:
-    """(sequence, ord, features): a row per residue of each distinct sequence. An encoder that gives another length is an error."""
+    """(sequence, ord, features): a row per residue of each distinct sequence. An encoder that gives another length is an error.
+
+    A worker holds one sequence's vectors and BATCH_VALUES numbers beside them, whatever the width.
+    """
     ship_package(df.sparkSession)
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for s in pdf[seq]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
                 vectors = encoder(s)
                 if len(vectors) != len(s):
                     raise ValueError(f"{len(vectors)} vectors for {len(s)} residues")
-                out += [(s, i, [float(x) for x in v]) for i, v in enumerate(vectors)]
-            yield pd.DataFrame(out, columns=[seq, "ord", "features"])
+                each = max(1, BATCH_VALUES // max(1, len(vectors[0]) if len(vectors) else 1))
+                for at in range(0, len(vectors), each):
+                    part = [np.asarray(v, dtype=np.float32) for v in vectors[at : at + each]]
+                    ends = pa.array(np.cumsum([0, *map(len, part)]), pa.int32())
+                    columns = [pa.array([s] * len(part), pa.string()), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(part)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=[seq, "ord", "features"])
 
-    return df.select(seq).filter(F.col(seq).isNotNull()).distinct().mapInPandas(rows, f"`{seq}` string, ord int, features array<float>")
+    return df.select(seq).filter(F.col(seq).isNotNull()).distinct().mapInArrow(rows, f"`{seq}` string, ord int, features array<float>")
 
 
 def with_ligand_vectors(df: DataFrame, encoder: Callable[[str], Sequence[float]], names: Sequence[str], smiles: str = "smiles") -> DataFrame:
@@ -49,7 +61,9 @@ def with_ligand_vectors(df: DataFrame, encoder: Callable[[str], Sequence[float]]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(s, [float(x) for x in v]) for s in pdf[smiles] if len(v := encoder(s)) == len(names)]
-            yield pd.DataFrame(out, columns=[smiles, "features"])
+            for at in range(0, len(pdf), each):
+                out = [(s, np.asarray(v, dtype=np.float32)) for s in pdf[smiles].iloc[at : at + each] if len(v := encoder(s)) == len(names)]
+                yield pd.DataFrame(out, columns=[smiles, "features"])
 
+    each = max(1, BATCH_VALUES // max(1, len(names)))
     return df.select(smiles).filter(F.col(smiles).isNotNull()).distinct().mapInPandas(rows, f"`{smiles}` string, features array<float>")

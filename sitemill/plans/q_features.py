@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from sitemill.functions import scalar
 from sitemill.operators import evaluate, features, joins
-from sitemill.plans.registry import query, table
+from sitemill.plans.registry import query, stored, table
 
 T = table
-#: Eight components of the embedding, then a constant, one that is NaN where vec_id % 100 = 0 and one that is infinite where it is 1.
+#: The whole embedding of 64, then a constant, one that is NaN where vec_id % 100 = 0 and one that is infinite where it is 1.
 VECTORS_SQL = """
-v AS (SELECT vec_id, list_concat(list_transform(embedding[1:8], lambda x: x::DOUBLE), [1.0::DOUBLE, CASE WHEN vec_id % 100 = 0 THEN 'NaN'::DOUBLE ELSE vec_id::DOUBLE END,
+v AS (SELECT vec_id, list_concat(list_transform(embedding, lambda x: x::DOUBLE), [1.0::DOUBLE, CASE WHEN vec_id % 100 = 0 THEN 'NaN'::DOUBLE ELSE vec_id::DOUBLE END,
              CASE WHEN vec_id % 100 = 1 THEN 'Infinity'::DOUBLE ELSE vec_id::DOUBLE END]) AS f FROM embeddings),
-x AS (SELECT vec_id, (i - 1)::INT AS pos, f[i] AS v FROM v, unnest(generate_series(1, 11)) AS s(i))
+x AS (SELECT vec_id, (i - 1)::INT AS pos, f[i] AS v FROM v, unnest(generate_series(1, 67)) AS s(i))
 """
 
 
@@ -21,7 +21,7 @@ def vectors(spark, d):
     extra = F.array(
         F.lit(1.0), F.when(F.col("vec_id") % 100 == 0, float("nan")).otherwise(F.col("vec_id").cast("double")), F.when(F.col("vec_id") % 100 == 1, float("inf")).otherwise(F.col("vec_id").cast("double"))
     )
-    own = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    own = F.transform("embedding", lambda x: x.cast("double"))
     return T(spark, d, "embeddings").select("vec_id", F.lit(0).alias("ord"), F.concat(own, extra).alias("features"))
 
 
@@ -40,71 +40,79 @@ def q_apply_mask(spark, d):
     return features.apply_mask(v, features.feature_mask(v)).select("vec_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
-@query("verify_features", "SELECT 0::BIGINT AS n_has_nan, 0::BIGINT AS n_has_inf, 0::BIGINT AS n_is_constant")
+_BAD = ("has_nan", "has_inf", "is_constant")
+
+
+@query(
+    "verify_features",
+    f"""WITH {_SCREEN_SQL}, u AS (SELECT 'before' AS stage, * FROM sc UNION ALL SELECT 'after', * FROM sc WHERE NOT (has_nan OR has_inf OR is_constant))
+    SELECT stage, {', '.join(f'count_if({c})::BIGINT AS n_{c}' for c in _BAD)} FROM u GROUP BY stage""",
+)
 def q_verify_features(spark, d):
     v = vectors(spark, d)
-    return features.verify_features(features.apply_mask(v, features.feature_mask(v)))
+    told = lambda stage, df: features.verify_features(df).select(F.lit(stage).alias("stage"), *[f"n_{c}" for c in _BAD])
+    return told("before", v).unionByName(told("after", features.apply_mask(v, features.feature_mask(v))))
 
 
 _TRAIN = "vec_id % 5 <> 0"
 
 
-def _eight(spark, d):
-    return vectors(spark, d).withColumn("features", F.slice("features", 1, 9))
+def _finite(spark, d):
+    return vectors(spark, d).withColumn("features", F.slice("features", 1, 65))
 
 
-@query("fit_scaler", f"WITH {VECTORS_SQL} SELECT pos, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std FROM x WHERE {_TRAIN} AND pos < 9 GROUP BY pos")
+@query("fit_scaler", f"WITH {VECTORS_SQL} SELECT pos, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std FROM x WHERE {_TRAIN} AND pos < 65 GROUP BY pos")
 def q_fit_scaler(spark, d):
-    return features.fit_scaler(_eight(spark, d).filter(_TRAIN)).select("pos", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+    return features.fit_scaler(_finite(spark, d).filter(_TRAIN)).select("pos", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
 @query(
     "apply_scaler",
-    f"""WITH {VECTORS_SQL}, s AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS sd FROM x WHERE {_TRAIN} AND pos < 9 GROUP BY pos)
+    f"""WITH {VECTORS_SQL}, s AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS sd FROM x WHERE {_TRAIN} AND pos < 65 GROUP BY pos)
     SELECT vec_id, list(round((v - m) / CASE WHEN sd = 0 THEN 1 ELSE sd END, 6) ORDER BY pos) AS features FROM x JOIN s USING (pos) GROUP BY vec_id""",
 )
 def q_apply_scaler(spark, d):
-    v = _eight(spark, d)
+    v = _finite(spark, d)
     return features.apply_scaler(v, features.fit_scaler(v.filter(_TRAIN))).select("vec_id", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
 @query(
     "shape_report",
-    f"""WITH {VECTORS_SQL}, e AS (SELECT vec_id % 20 AS entity, vec_id AS ord, pos, v FROM x WHERE pos < 9), f AS (SELECT DISTINCT entity FROM e ORDER BY 1 LIMIT 5)
+    f"""WITH {VECTORS_SQL}, e AS (SELECT vec_id % 20 AS entity, vec_id AS ord, pos, v FROM x WHERE pos < 65), f AS (SELECT DISTINCT entity FROM e ORDER BY 1 LIMIT 5)
     SELECT entity, count(DISTINCT ord) AS n_rows, (max(pos) + 1)::INT AS width, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std,
            (SELECT round(v, 6) FROM e b WHERE b.entity = e.entity AND b.pos = 0 ORDER BY ord LIMIT 1) AS first_value FROM e WHERE entity IN (SELECT entity FROM f) GROUP BY entity""",
 )
 def q_shape_report(spark, d):
-    v = _eight(spark, d).withColumns({"entity": F.col("vec_id") % 20, "ord": F.col("vec_id")})
+    v = _finite(spark, d).withColumns({"entity": F.col("vec_id") % 20, "ord": F.col("vec_id")})
     out = features.shape_report(v, 5, "entity")
     return out.select("entity", "n_rows", "width", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round(F.get("head", 0), 6).alias("first_value"))
 
 
 @query(
     "align_features",
-    "SELECT vec_id, [round(embedding[3]::DOUBLE, 6), 0.0::DOUBLE, CASE WHEN vec_id % 100 = 0 THEN 0.0::DOUBLE ELSE vec_id::DOUBLE END] AS features FROM embeddings",
+    "SELECT vec_id, [round(embedding[64]::DOUBLE, 6), 0.0::DOUBLE, CASE WHEN vec_id % 100 = 0 THEN 0.0::DOUBLE ELSE vec_id::DOUBLE END] AS features FROM embeddings",
 )
 def q_align_features(spark, d):
-    names = F.array(*[F.lit(f"f{i}") for i in range(11)])
-    aligned = scalar.align_features(F.col("features"), names, F.array(F.lit("f2"), F.lit("absent"), F.lit("f9")))
+    names = F.array(*[F.lit(f"f{i}") for i in range(67)])
+    aligned = scalar.align_features(F.col("features"), names, F.array(F.lit("f63"), F.lit("absent"), F.lit("f65")))
     return vectors(spark, d).select("vec_id", F.transform(aligned, lambda x: F.round(x, 6)).alias("features"))
 
 
-@query("concat_features", "SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS first_value, 72 AS width FROM embeddings")
+@query("concat_features", "SELECT vec_id, list_transform(list_concat(embedding, list_reverse(embedding)), lambda x: round(x::DOUBLE, 6)) AS features FROM embeddings")
 def q_concat_features(spark, d):
-    e = T(spark, d, "embeddings").select("vec_id", scalar.concat_features(F.col("embedding"), F.slice("embedding", 1, 8)).alias("f"))
-    return e.select("vec_id", F.round(F.get("f", 0).cast("double"), 6).alias("first_value"), F.size("f").alias("width"))
+    both = scalar.concat_features(F.col("embedding"), F.reverse("embedding"))
+    return T(spark, d, "embeddings").select("vec_id", F.transform(both, lambda x: F.round(x.cast("double"), 6)).alias("features"))
 
 
 _INTERACTIONS_SQL = """
-i AS (SELECT l_orderkey || ':' || l_returnflag AS key, l_orderkey AS pdb_id, l_returnflag AS chain_id, min(l_suppkey % 50) AS lig_site,
+i AS (SELECT l_orderkey || ':' || l_returnflag AS key, l_orderkey AS pdb_id, l_returnflag AS chain_id, min(l_suppkey) AS lig_site,
              list((l_quantity > 25)::TINYINT ORDER BY l_linenumber, l_quantity, l_partkey) AS targets FROM lineitem GROUP BY l_orderkey, l_returnflag)
 """
 
 
 def interactions(spark, d):
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_partkey")))
-    g = T(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(rows.alias("r"), F.min(F.col("l_suppkey") % 50).alias("lig_site"))
+    g = T(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(rows.alias("r"), F.min("l_suppkey").alias("lig_site"))
     return g.select(
         F.concat_ws(":", F.col("l_orderkey").cast("string"), "l_returnflag").alias("key"), F.col("l_orderkey").alias("pdb_id"), F.col("l_returnflag").alias("chain_id"), "lig_site",
         F.transform("r", lambda x: (x["l_quantity"] > 25).cast("tinyint")).alias("targets"),
@@ -114,19 +122,21 @@ def interactions(spark, d):
 @query(
     "assemble_examples",
     f"""WITH {_INTERACTIONS_SQL}, u AS (SELECT key, pdb_id, lig_site, (k - 1)::INT AS ord, targets[k] AS label FROM i, unnest(generate_series(1, len(targets))) AS s(k)),
-    e AS (SELECT vec_id, embedding FROM embeddings)
-    SELECT key, ord, label, round(r.embedding[1]::DOUBLE, 6) AS residue_value, round(l.embedding[1]::DOUBLE, 6) AS ligand_value, 72 AS width
-    FROM u JOIN e r ON r.vec_id = (u.pdb_id % 400) + u.ord JOIN e l ON l.vec_id = u.lig_site WHERE u.ord < 3 AND u.lig_site <> 7""",
+    c AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS f FROM embeddings)
+    SELECT key, ord, label, r.f[1] AS first_residue, r.f[64] AS last_residue, l.f[1] AS first_ligand, l.f[64] AS last_ligand, len(r.f) + len(l.f) AS width
+    FROM u, c JOIN e r ON r.vec_id = (u.pdb_id + 31 * u.ord) % c.n JOIN e l ON l.vec_id = u.lig_site % c.n WHERE l.vec_id <> 7""",
 )
 def q_assemble_examples(spark, d):
+    """A residue for every target, a ligand for every site but those of vector 7; vectors are taken round the whole table."""
     e = T(spark, d, "embeddings")
-    own = interactions(spark, d)
-    keys = own.select("pdb_id", "chain_id").distinct().withColumn("ord", F.explode(F.array(*map(F.lit, range(3)))))
-    residues = keys.withColumn("vec_id", F.col("pdb_id") % 400 + F.col("ord")).join(e, "vec_id").select("pdb_id", "chain_id", "ord", F.col("embedding").alias("features"))
-    ligands = e.filter("vec_id <> 7").select(F.col("vec_id").alias("lig_site"), F.slice("embedding", 1, 8).alias("features"))
-    out = joins.assemble_examples(own, residues, ligands)
+    n = e.count()
+    own = stored(interactions(spark, d), "interactions")
+    keys = own.select("pdb_id", "chain_id", F.explode(F.sequence(F.lit(0), F.size("targets") - 1)).alias("ord"))
+    residues = keys.withColumn("vec_id", (F.col("pdb_id") + 31 * F.col("ord")) % n).join(e, "vec_id").select("pdb_id", "chain_id", "ord", F.col("embedding").alias("features"))
+    sites = own.select("lig_site").distinct().withColumn("vec_id", F.col("lig_site") % n).filter("vec_id <> 7")
+    out = joins.assemble_examples(own, residues, sites.join(e, "vec_id").select("lig_site", F.col("embedding").alias("features")))
     pick = lambda k: F.round(F.get("features", k).cast("double"), 6)
-    return out.select("key", "ord", "label", pick(0).alias("residue_value"), pick(64).alias("ligand_value"), F.size("features").alias("width"))
+    return out.select("key", "ord", "label", pick(0).alias("first_residue"), pick(63).alias("last_residue"), pick(64).alias("first_ligand"), pick(127).alias("last_ligand"), F.size("features").alias("width"))
 
 
 @query(

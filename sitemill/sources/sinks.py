@@ -26,13 +26,16 @@ def read_dataset(spark: SparkSession, path: str, names: Sequence[str]) -> dict[s
 
 
 def write_partitioned(df: DataFrame, keys: Sequence[str], path: str) -> None:
-    """Append the groups of keys that are not there yet; the keys found are read from the folder names alone."""
+    """Append the groups of keys that are not there yet; the keys found are read from the folder names alone.
+
+    REBALANCE deals rows by key in partitions of like size: a large group goes to several tasks, small ones share one.
+    """
     spark = df.sparkSession
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
         done = spark.read.parquet(path).select(*keys).distinct()
         df = df.join(done, list(keys), "left_anti")
-    df.repartition(*keys).write.mode("append").partitionBy(*keys).parquet(path)
+    df.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).parquet(path)
 
 
 def export_distinct(df: DataFrame, cols: Sequence[str]) -> DataFrame:
