@@ -41,31 +41,71 @@ def f1_of(model: Model, rows: DataFrame) -> float:
     return MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0, predictionCol="prediction", labelCol="label").evaluate(model.transform(_as_vectors(rows)))
 
 
+def _weighted(rows: DataFrame, weight: float) -> DataFrame:
+    """rows with each positive as often as its weight says: whole copies, and one more for the share of them that the rest names."""
+    rest = F.pmod(F.xxhash64(F.col("features").cast("string")), F.lit(1 << 20)) < F.lit(round((weight - int(weight)) * (1 << 20)))
+    copies = F.when(F.col("label") == 1, F.lit(int(weight)) + rest.cast("int")).otherwise(F.lit(1))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).drop("_copy")
+
+
 def train_network(train: DataFrame, val: DataFrame, params: Mapping[str, Any]) -> tuple[Model, float]:
-    """A feed-forward classifier; of the epoch counts in params["max_iter"] the model of the best validation F1 is returned with it."""
+    """(a feed-forward classifier, its validation F1): the best state of a run that stops early.
+
+    The solver goes on from its own weights in epochs of params["step"] (5) steps, max_iter (50) in all; after patience (5) epochs without
+    a better F1 on val it ends, and the best epoch's model is returned, not the last one's. positive_weight: the weight of a positive
+    row in the loss (default: negatives per positive of train, at least 1), by repeating it. Other params: MultilayerPerceptronClassifier.
+    """
     params = dict(params)
-    hidden, iters = params.pop("hidden", [16]), params.pop("max_iter", [50])
-    rows = _as_vectors(train).select("features", "label")
+    hidden, most, step, patience = (params.pop(k, d) for k, d in (("hidden", [16]), ("max_iter", 50), ("step", 5), ("patience", 5)))
+    weight = params.pop("positive_weight", None)
+    if weight is None:
+        pos, n = train.select(F.count_if(F.col("label") == 1), F.count("*")).first()
+        weight = (n - pos) / pos if pos else 1.0
     width = len(train.select("features").first()[0])
+    rows = _as_vectors(_weighted(train.select("features", "label"), max(1.0, float(weight)))).persist()
     best: tuple[Model, float] | None = None
-    for n in iters:
-        model = MultilayerPerceptronClassifier(layers=[width, *hidden, 2], maxIter=n, **params).fit(rows)
-        score = f1_of(model, val)
-        if best is None or score > best[1]:
-            best = (model, score)
+    weights, waited = None, 0
+    try:
+        for at in range(0, most, step):
+            fit = MultilayerPerceptronClassifier(layers=[width, *hidden, 2], maxIter=min(step, most - at), **params)
+            model = (fit.setInitialWeights(weights) if weights is not None else fit).fit(rows)
+            weights, score = model.weights, f1_of(model, val)
+            if best is None or score > best[1]:
+                best, waited = (model, score), 0
+            else:
+                waited += 1
+                if waited >= patience:
+                    break
+    finally:
+        rows.unpersist()
     return best
 
 
-def search(train: DataFrame, val: DataFrame, space: Mapping[str, Sequence[Any]], n: int, seed: int, fit: Callable = train_boosted) -> tuple[dict[str, Any], float]:
-    """(best parameters, validation F1) of n seeded draws from the space; train and val are fitted on as they are, so cache them."""
-    draw = random.Random(seed)
-    best: tuple[dict[str, Any], float] = ({}, -1.0)
-    for _ in range(n):
-        params = {k: draw.choice(list(v)) for k, v in sorted(space.items())}
-        score = f1_of(fit(train, val, params), val)
-        if score > best[1]:
-            best = (params, score)
-    return best
+def search(
+    train: DataFrame, val: DataFrame, space: Mapping[str, Sequence[Any]], n: int, seed: int, fit: Callable = train_boosted, history: Sequence[tuple[int, dict[str, Any], float]] = ()
+) -> tuple[dict[str, Any], float, list[tuple[int, dict[str, Any], float]]]:
+    """(best parameters, their validation F1, trials so far as (number, parameters, F1)) of n seeded draws from the space.
+
+    A search goes on from the history of an earlier one of the same seed and space: what it holds is not fitted again. Equal draws are
+    fitted once. fit gives a model, or a model and its F1. train and val are kept while the search runs.
+    """
+    draw, trials = random.Random(seed), []
+    known = {number: score for number, _, score in history}
+    by_params: dict[str, float] = {}
+    train, val = train.persist(), val.persist()
+    try:
+        for number in range(n):
+            params = {k: draw.choice(list(v)) for k, v in sorted(space.items())}
+            score = known.get(number, by_params.get(repr(params)))
+            if score is None:
+                made = fit(train, val, params)
+                score = made[1] if isinstance(made, tuple) else f1_of(made, val)
+            by_params[repr(params)] = score
+            trials.append((number, params, score))
+    finally:
+        train.unpersist(), val.unpersist()
+    best = max(trials, key=lambda t: (t[2], -t[0]), default=(0, {}, -1.0))
+    return best[1], best[2], trials
 
 
 def score_pairs(pairs: DataFrame, residues: DataFrame, ligands: DataFrame, scaler: DataFrame | None, model: Model, cut: float = 0.5) -> DataFrame:

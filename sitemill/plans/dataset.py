@@ -6,11 +6,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.functions import scalar
-from sitemill.operators import chains, curate, encoders, features, joins, models, splitting
+from sitemill.operators import chains, curate, encoders, evaluate, features, joins, models, splitting
 from sitemill.plans.registry import stored
 
 
@@ -96,6 +97,47 @@ def split_base(data: Dataset, config: splitting.SplitConfig) -> DataFrame:
     return out
 
 
+def keep_nonredundant(data: Dataset, representatives: DataFrame) -> Dataset:
+    """The interactions of chains whose whole sequence is a representative's (sequence), and the entities these use."""
+    chains_ = data.interactions.select("pdb_id", "chain_id", F.col("sequence_1l").alias("sequence"))
+    kept = splitting.keep_representatives(data.interactions, chains_, representatives).select("key").distinct()
+    return Dataset(**splitting.restrict_dataset(data.interactions, data.protein_residues, data.ligand_features, stored(kept, "representative-keys")))
+
+
+def split_cluster(data: Dataset, config: splitting.SplitConfig, clusters: DataFrame, ligands: DataFrame) -> DataFrame:
+    """(key, split) by sequence cluster and scaffold: blind sets widened to whole entries, groups that share a cluster with a blind chain
+    set aside for test, whole groups for the rest.
+
+    clusters: pdb_id, chain_id, cluster_id, as the listing gives them; ligands: lig_id, scaffold (null: none), one row each.
+    """
+    group = splitting.group_key(F.col("pdb_id").cast("string"), F.col("sequence_1l"), F.col("lig_site"))
+    rows = data.interactions.select("key", "pdb_id", "chain_id", "lig_id", group.alias("group"))
+    rows = rows.join(clusters.distinct(), ["pdb_id", "chain_id"], "left").join(ligands, "lig_id", "left")
+    rows = stored(rows, "clustered")
+    blind_chains = stored(splitting.blind_chains_by_cluster(rows, splitting.sample_keys(rows, "cluster_id", config.blind, config.seed)), "blind-chains")
+    scaffolds = stored(splitting.sample_keys(rows, "scaffold", config.blind, config.seed), "blind-scaffolds")
+    kinds = stored(splitting.classify_cluster(rows, blind_chains, splitting.blind_ligands_by_scaffold(rows, scaffolds)), "kinds")
+    candidates = rows.join(kinds.filter("category = 'candidate'").select("group"), "group", "left_semi")
+    clean_rows = splitting.remove_leakage(candidates, rows.join(blind_chains, ["pdb_id", "chain_id"], "left_semi").select("cluster_id"), scaffolds)
+    leaking = candidates.select("key", "group").join(clean_rows.select("key"), "key", "left_anti").select("group").distinct()
+    pool = kinds.filter("category = 'candidate'").select("group", "n")
+    free, aside = pool.join(leaking, "group", "left_anti"), pool.join(leaking, "group", "left_semi")  # a group goes or stays whole
+    blind = kinds.filter("category like 'blind%'").select("group", "n", F.col("category").alias("split"))
+    groups = splitting.add_collateral(splitting.assign_balanced(free, config.val, config.test, config.seed).unionByName(blind), aside)
+    out = stored(rows.join(groups.select("group", "split"), "group").select("key", "split", "scaffold").distinct(), "splits")
+    splitting.assert_disjoint(out, blind_scaffolds=scaffolds)
+    return out.select("key", "split")
+
+
+def evaluate_model(model: Model, rows: DataFrame, k: int = 3, cut: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(metrics of each split, its k best interactions with their labels) of a trained model on examples (key, ord, label, features, split)."""
+    scored = model.transform(rows.withColumn("features", array_to_vector(F.col("features").cast("array<double>"))))
+    prob = vector_to_array("probability")[1]
+    scores = scored.select("split", F.col("key").alias("interaction"), "ord", F.col("label").cast("int").alias("label"), prob.alias("prob"), scalar.threshold_label(prob, cut).alias("pred"))
+    scores = stored(scores, "scores")
+    return evaluate.evaluate_splits(scores), evaluate.top_interactions(scores, k)
+
+
 def examples(data: Dataset, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(examples with their split, scaler): vectors of both sides in one, scaled by the train split's entities, each counted once."""
     own = data.interactions.join(splits, "key")

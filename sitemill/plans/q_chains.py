@@ -95,13 +95,18 @@ def q_residue_ordinal(spark, d):
     return scalar.residue_ordinal(T(spark, d, "part").select("p_partkey", "p_name"), "p_name").select("p_partkey", "position", "residue")
 
 
+def _spelled(more, item):
+    """Items for each letter of the name and some more, joined by dashes."""
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.length("p_name") + more), item), "-")
+
+
 @query(
     "zip_residues",
-    """WITH z AS (SELECT p_partkey, p_name AS s, string_split(p_type || '-' || p_brand, '-') AS t, ['1', '2', '33'] AS p FROM part)
-    SELECT p_partkey, (i - 1)::INT AS ord, s[i] AS residue_1l, t[i] AS residue_3l, p[i]::INT AS position FROM z, unnest(generate_series(1, least(length(s), len(t), 3))) AS g(i)""",
+    """WITH z AS (SELECT p_partkey, p_name AS s, list_transform(generate_series(1, length(p_name) + 2), lambda i: chr((65 + i % 26)::INT) || 'LA') AS t, list_transform(generate_series(1, length(p_name) + 1), lambda i: (7 * i)::VARCHAR) AS p FROM part)
+    SELECT p_partkey, (i - 1)::INT AS ord, s[i] AS residue_1l, t[i] AS residue_3l, p[i]::INT AS position FROM z, unnest(generate_series(1, least(length(s), len(t), len(p)))) AS g(i)""",
 )
 def q_zip_residues(spark, d):
-    rows = T(spark, d, "part").select("p_partkey", "p_name", F.concat_ws("-", "p_type", "p_brand").alias("three"), F.lit("1-2-x-33").alias("positions"))
+    rows = T(spark, d, "part").select("p_partkey", "p_name", _spelled(2, lambda i: F.concat(F.char(65 + i % 26), F.lit("LA"))).alias("three"), F.concat(_spelled(1, lambda i: (7 * i).cast("string")), F.lit("-x")).alias("positions"))
     return joins.zip_residues(rows, "p_name", "three", "positions")
 
 
@@ -122,10 +127,10 @@ def q_concat_distinct(spark, d):
     return chains.concat_distinct(T(spark, d, "documents"), ["source"], "lang")
 
 
-@query("concat_nonempty", "SELECT source, coalesce(string_agg(lang, '; ' ORDER BY doc_id) FILTER (WHERE doc_id % 4 <> 0), '') AS lang FROM documents GROUP BY source")
+@query("concat_nonempty", "SELECT doc_id // 8 AS entry, coalesce(string_agg(lang, '; ' ORDER BY doc_id) FILTER (WHERE doc_id % 4 <> 0), '') AS lang FROM documents GROUP BY 1")
 def q_concat_nonempty(spark, d):
-    docs = T(spark, d, "documents").withColumn("lang", F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.col("lang")))
-    return chains.concat_nonempty(docs, ["source"], "doc_id", "lang")
+    docs = T(spark, d, "documents").withColumn("lang", F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.col("lang"))).withColumn("entry", F.floor(F.col("doc_id") / 8))
+    return chains.concat_nonempty(docs, ["entry"], "doc_id", "lang")
 
 
 @query("melt", "SELECT p_partkey, 'p_brand' AS variable, p_brand AS value FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part")

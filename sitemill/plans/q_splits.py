@@ -1,19 +1,23 @@
-"""Splits. Stand-ins: lineitem as interactions, the part's brand as sequence, its type as scaffold (null for small sizes), part % 40 as cluster."""
+"""Splits. Stand-ins: lineitem as interactions, orders as entries. Sixteen order keys in a row share three sequences and two clusters, so that
+blind entries spread to some others and not to all; a part's type and its supplier make a scaffold (null for small sizes)."""
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitemill.operators import splitting as sp
-from sitemill.plans.registry import query, table
+from sitemill.plans.registry import query, scratch, stored, table
 from sitemill.sources.sinks import read_dataset, write_dataset
 
 T = table
 BASE, CLUSTER = sp.CONFIGS["base"], sp.CONFIGS["cluster_90"]
 
 INTERACTIONS_SQL = """
-i AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS key, l_orderkey AS pdb_id, l_linenumber::VARCHAR AS chain_id, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_brand END AS sequence,
-             l_suppkey AS lig_id, l_suppkey || '_' || l_linestatus AS lig_site, l_partkey % 400 AS cluster_id, CASE WHEN p_size < 3 THEN NULL ELSE p_type || '-' || l_suppkey % 30 END AS scaffold
+i AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS key, l_orderkey AS pdb_id, l_linenumber::VARCHAR AS chain_id, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE (l_orderkey // 16) || '-' || (l_linenumber % 3) END AS sequence,
+             l_suppkey AS lig_id, l_suppkey || '_' || l_linestatus AS lig_site, (l_orderkey // 16) * 2 + l_linenumber % 2 AS cluster_id, CASE WHEN p_size < 3 THEN NULL ELSE p_type || '-' || l_suppkey % 30 END AS scaffold
       FROM lineitem JOIN part ON p_partkey = l_partkey)
 """
 
@@ -26,12 +30,14 @@ def _sample_sql(name: str, col: str, share: float, seed: int, src: str = "i") ->
 def interactions(spark, d):
     part = T(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_size")
     rows = T(spark, d, "lineitem").join(part, "l_partkey")
-    s = lambda c: F.col(c).cast("string")
-    return rows.select(
+    s = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+    block = F.floor(F.col("l_orderkey") / 16)
+    made = rows.select(
         F.concat_ws(":", s("l_orderkey"), s("l_linenumber"), s("l_partkey"), s("l_suppkey")).alias("key"), F.col("l_orderkey").alias("pdb_id"), s("l_linenumber").alias("chain_id"),
-        F.when(F.col("l_partkey") % 50 != 0, F.col("p_brand")).alias("sequence"), F.col("l_suppkey").alias("lig_id"), F.concat_ws("_", s("l_suppkey"), "l_linestatus").alias("lig_site"),
-        (F.col("l_partkey") % 400).alias("cluster_id"), F.when(F.col("p_size") >= 3, F.concat("p_type", F.lit("-"), (F.col("l_suppkey") % 30).cast("string"))).alias("scaffold"),
+        F.when(F.col("l_partkey") % 50 != 0, F.concat_ws("-", s(block), (F.col("l_linenumber") % 3).cast("string"))).alias("sequence"), F.col("l_suppkey").alias("lig_id"), F.concat_ws("_", s("l_suppkey"), "l_linestatus").alias("lig_site"),
+        (block * 2 + F.col("l_linenumber") % 2).alias("cluster_id"), F.when(F.col("p_size") >= 3, F.concat("p_type", F.lit("-"), (F.col("l_suppkey") % 30).cast("string"))).alias("scaffold"),
     )
+    return stored(made, "interactions")
 
 
 @query("sample_keys", f"WITH {INTERACTIONS_SQL}, {_sample_sql('s', 'lig_id', 0.07, 42)} SELECT lig_id FROM s")
@@ -45,18 +51,16 @@ def q_group_key(spark, d):
 
 
 _BLIND_SQL = f"""{INTERACTIONS_SQL}, {_sample_sql('ss', 'sequence', BASE.blind, BASE.seed)}, {_sample_sql('sl', 'lig_id', BASE.blind, BASE.seed)},
-be AS (SELECT DISTINCT pdb_id FROM i WHERE sequence IN (SELECT sequence FROM ss) AND scaffold IS NULL),
-bs AS (SELECT DISTINCT sequence FROM i WHERE scaffold IS NULL AND chain_id = '1' AND sequence IN (SELECT sequence FROM ss)),
+be AS (SELECT DISTINCT pdb_id FROM i WHERE sequence IN (SELECT sequence FROM ss)),
+bs AS (SELECT DISTINCT sequence FROM i WHERE pdb_id IN (SELECT pdb_id FROM be) AND sequence IS NOT NULL),
 g AS (SELECT pdb_id || ':' || coalesce(sequence, 'None') || ':' || lig_site AS "group", count(*) AS n, bool_or(pdb_id IN (SELECT pdb_id FROM be)) AS e,
              bool_or(coalesce(sequence IN (SELECT sequence FROM bs), false)) AS s, bool_or(lig_id IN (SELECT lig_id FROM sl)) AS l FROM i GROUP BY 1),
 c AS (SELECT "group", n, CASE WHEN e AND l THEN 'blind' WHEN e THEN 'blind_protein' WHEN l AND NOT s THEN 'blind_ligand' WHEN s THEN 'test' ELSE 'candidate' END AS category FROM g)"""
 
 
 def _base(spark, d):
-    """Brands are few, so only chains without a scaffold may turn their entry blind, and only the first chains among them spread their sequences."""
     rows = interactions(spark, d).withColumn("group", sp.group_key(F.col("pdb_id").cast("string"), F.col("sequence"), F.col("lig_site")))
-    entries, _ = sp.blind_entries(rows.filter("scaffold is null"), sp.sample_keys(rows, "sequence", BASE.blind, BASE.seed))
-    _, sequences = sp.blind_entries(rows.filter("scaffold is null and chain_id = '1'"), sp.sample_keys(rows, "sequence", BASE.blind, BASE.seed))
+    entries, sequences = sp.blind_entries(rows, sp.sample_keys(rows, "sequence", BASE.blind, BASE.seed))
     return rows, entries, sequences, sp.sample_keys(rows, "lig_id", BASE.blind, BASE.seed)
 
 
@@ -102,12 +106,12 @@ def q_classify_cluster(spark, d):
 
 @query(
     "remove_leakage",
-    f"""WITH {_CLUSTER_SQL}, bc AS (SELECT DISTINCT cluster_id FROM i WHERE pdb_id IN (SELECT pdb_id FROM ce) AND scaffold IS NULL)
+    f"""WITH {_CLUSTER_SQL}, bc AS (SELECT DISTINCT cluster_id FROM i WHERE pdb_id IN (SELECT pdb_id FROM ce))
     SELECT key FROM i WHERE pdb_id NOT IN (SELECT pdb_id FROM ce) AND cluster_id NOT IN (SELECT cluster_id FROM bc) AND (scaffold IS NULL OR scaffold NOT IN (SELECT scaffold FROM fs))""",
 )
 def q_remove_leakage(spark, d):
     rows, chains, _, scaffolds = _clustered(spark, d)
-    clusters = rows.join(chains, ["pdb_id", "chain_id"], "left_semi").filter("scaffold is null").select("cluster_id")
+    clusters = rows.join(chains, ["pdb_id", "chain_id"], "left_semi").select("cluster_id")
     candidates = rows.join(chains.select("pdb_id").distinct(), "pdb_id", "left_anti")
     return sp.remove_leakage(candidates, clusters, scaffolds).select("key")
 
@@ -124,8 +128,12 @@ def q_assign_balanced(spark, d):
 
 
 def splits(spark, d):
-    """(group, n, split, collateral): candidates assigned, blind ones under their own names, set-aside ones in test."""
-    c = sp.classify_base(*_base(spark, d))
+    return _splits(*_base(spark, d))
+
+
+def _splits(rows, entries, sequences, ligands):
+    """(group, n, split, collateral): candidates assigned, blind ones under their own names, set-aside ones in test. Kinds are stored once."""
+    c = stored(sp.classify_base(rows, entries, sequences, ligands), "kinds")
     assigned = sp.assign_balanced(c.filter("category = 'candidate'").select("group", "n"), BASE.val, BASE.test, BASE.seed).withColumn("collateral", F.lit(False))
     blind = c.filter("category like 'blind%'").select("group", "n", F.col("category").alias("split"), F.lit(False).alias("collateral"))
     return sp.add_collateral(assigned.unionByName(blind), c.filter("category = 'test'").select("group", "n", F.lit(True).alias("collateral")))
@@ -152,22 +160,30 @@ _MATERIAL_SQL = f"""{_ASSIGN_SQL}, ms AS (SELECT i.key, i.pdb_id, i.chain_id, i.
 
 @query(
     "materialise_splits",
-    f"""WITH {_MATERIAL_SQL} SELECT split, 'interactions' AS what, count(*) AS n FROM ms GROUP BY ALL UNION ALL SELECT split, 'protein_residues', count(DISTINCT (pdb_id, chain_id)) FROM ms GROUP BY ALL
-    UNION ALL SELECT split, 'ligand_features', count(DISTINCT lig_site) FROM ms GROUP BY ALL""",
+    f"""WITH {_MATERIAL_SQL} SELECT split, 'interactions' AS what, key AS id FROM ms UNION ALL SELECT DISTINCT split, 'protein_residues', pdb_id || ':' || chain_id FROM ms
+    UNION ALL SELECT DISTINCT split, 'ligand_features', lig_site FROM ms""",
 )
 def q_materialise_splits(spark, d):
-    rows = interactions(spark, d).withColumn("group", sp.group_key(F.col("pdb_id").cast("string"), F.col("sequence"), F.col("lig_site")))
-    keyed = rows.join(splits(spark, d).select("group", "split"), "group").select("key", "split")
+    """Every row of the three tables by its key. What the assertion and the tables read is stored once."""
+    base = _base(spark, d)
+    rows = base[0]
+    keyed = stored(rows.join(_splits(*base).select("group", "split"), "group").select("key", "split").distinct(), "split-keys")
     sp.assert_disjoint(keyed)
-    out = sp.materialise_splits(rows.select("key", "pdb_id", "chain_id", "lig_site"), keyed.distinct(), rows.select("pdb_id", "chain_id").distinct(), rows.select("lig_site").distinct())
-    counts = [df.groupBy("split").agg(F.count("*").alias("n")).withColumn("what", F.lit(name)) for name, df in out.items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    out = sp.materialise_splits(rows.select("key", "pdb_id", "chain_id", "lig_site"), keyed, rows.select("pdb_id", "chain_id").distinct(), rows.select("lig_site").distinct())
+    return _by_key(out, "split")
 
 
-@query("keep_representatives", f"WITH {INTERACTIONS_SQL}, r AS (SELECT DISTINCT p_brand AS sequence FROM part WHERE p_size = 1) SELECT DISTINCT key FROM i WHERE (pdb_id, chain_id) IN (SELECT (pdb_id, chain_id) FROM i WHERE sequence IN (SELECT sequence FROM r))")
+def _by_key(tables, *first):
+    """The rows of a dataset's tables as (what, id)."""
+    ids = {"interactions": F.col("key"), "protein_residues": F.concat_ws(":", F.col("pdb_id").cast("string"), "chain_id"), "ligand_features": F.col("lig_site")}
+    parts = [df.select(*first, F.lit(name).alias("what"), ids[name].alias("id")) for name, df in tables.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("keep_representatives", f"WITH {INTERACTIONS_SQL}, r AS (SELECT DISTINCT (o_orderkey // 16) || '-1' AS sequence FROM orders WHERE o_orderstatus = 'F') SELECT DISTINCT key FROM i WHERE (pdb_id, chain_id) IN (SELECT (pdb_id, chain_id) FROM i WHERE sequence IN (SELECT sequence FROM r))")
 def q_keep_representatives(spark, d):
     rows = interactions(spark, d)
-    reps = T(spark, d, "part").filter("p_size = 1").select(F.col("p_brand").alias("sequence"))
+    reps = T(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.floor(F.col("o_orderkey") / 16).cast("string"), F.lit("-1")).alias("sequence"))
     return sp.keep_representatives(rows, rows.select("pdb_id", "chain_id", "sequence"), reps).select("key").distinct()
 
 
@@ -176,26 +192,54 @@ _RESTRICT_SQL = f"{INTERACTIONS_SQL}, rs AS (SELECT * FROM i WHERE scaffold IS N
 
 @query(
     "restrict_dataset",
-    f"""WITH {_RESTRICT_SQL} SELECT 'interactions' AS what, count(*) AS n FROM rs UNION ALL SELECT 'protein_residues', count(DISTINCT (pdb_id, chain_id)) FROM rs UNION ALL SELECT 'ligand_features', count(DISTINCT lig_site) FROM rs""",
+    f"""WITH {_RESTRICT_SQL} SELECT 'interactions' AS what, key AS id FROM rs UNION ALL SELECT DISTINCT 'protein_residues', pdb_id || ':' || chain_id FROM rs UNION ALL SELECT DISTINCT 'ligand_features', lig_site FROM rs""",
 )
 def q_restrict_dataset(spark, d):
     rows = interactions(spark, d)
-    out = sp.restrict_dataset(rows, rows.select("pdb_id", "chain_id").distinct(), rows.select("lig_site").distinct(), rows.filter("scaffold is not null").select("key"))
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in out.items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    return _by_key(sp.restrict_dataset(rows, rows.select("pdb_id", "chain_id").distinct(), rows.select("lig_site").distinct(), rows.filter("scaffold is not null").select("key")))
 
 
 @query(
     "write_dataset",
-    f"WITH {INTERACTIONS_SQL} SELECT 'interactions' AS what, count(*) AS n FROM i UNION ALL SELECT 'ligand_features', count(DISTINCT lig_site) FROM i",
+    f"""WITH {INTERACTIONS_SQL} SELECT 'interactions' AS what, CASE WHEN pdb_id % 2 = 0 THEN 'train' ELSE 'val' END || ' ' || key || ' ' || coalesce(sequence, '') AS id FROM i
+    UNION ALL SELECT DISTINCT 'ligand_features', lig_site FROM i""",
 )
 def q_write_dataset(spark, d):
     """Written to the shared folder and read back; entities that come once an interaction are stored once."""
-    from sitemill.plans.registry import scratch
-
     rows = interactions(spark, d)
     path = scratch(spark, "dataset")
     write_dataset({"interactions": rows.withColumn("split", F.when(F.col("pdb_id") % 2 == 0, "train").otherwise("val")), "ligand_features": rows.select("lig_site")}, path)
     back = read_dataset(spark, path, ["interactions", "ligand_features"])
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in back.items()]
-    return counts[0].unionByName(counts[1])
+    back["interactions"] = back["interactions"].withColumn("key", F.concat_ws(" ", "split", "key", F.coalesce("sequence", F.lit(""))))
+    return _by_key(back)
+
+
+#: Interactions with targets, for the plan: a chain's targets and the sites it meets.
+_PLAN_SQL = f"""{INTERACTIONS_SQL}, rep AS (SELECT DISTINCT (o_orderkey // 16) || '-1' AS sequence FROM orders WHERE o_orderstatus <> 'O' UNION SELECT DISTINCT (o_orderkey // 16) || '-2' FROM orders),
+cl AS (SELECT DISTINCT pdb_id, chain_id, cluster_id FROM i), ls AS (SELECT lig_id, min(scaffold) AS scaffold FROM i GROUP BY lig_id),
+p AS (SELECT i.key, i.pdb_id, i.chain_id, i.sequence, i.lig_id, i.lig_site, cl.cluster_id, ls.scaffold, i.pdb_id || ':' || coalesce(i.sequence, 'None') || ':' || i.lig_site AS "group"
+      FROM i JOIN cl USING (pdb_id, chain_id) JOIN ls ON ls.lig_id = i.lig_id WHERE (i.pdb_id, i.chain_id) IN (SELECT (pdb_id, chain_id) FROM i WHERE sequence IN (SELECT sequence FROM rep))),
+{{ks}}, {{fs}},
+ce AS (SELECT DISTINCT pdb_id FROM p WHERE cluster_id IN (SELECT cluster_id FROM ks)), bc AS (SELECT DISTINCT cluster_id FROM p WHERE pdb_id IN (SELECT pdb_id FROM ce)),
+k AS (SELECT "group", count(*) AS n, bool_or(pdb_id IN (SELECT pdb_id FROM ce)) AS c, bool_or(coalesce(scaffold IN (SELECT scaffold FROM fs), false)) AS l,
+             bool_or(cluster_id IN (SELECT cluster_id FROM bc)) AS leaks FROM p GROUP BY 1),
+o AS (SELECT "group", coalesce(sum(n) OVER (ORDER BY md5('{CLUSTER.seed}' || "group"), "group" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () AS t FROM k WHERE NOT c AND NOT l AND NOT leaks),
+g AS (SELECT "group", CASE WHEN b < round(t * {CLUSTER.test}) THEN 'test' WHEN b < round(t * {CLUSTER.test}) + round(t * {CLUSTER.val}) THEN 'val' ELSE 'train' END AS split FROM o
+      UNION ALL SELECT "group", CASE WHEN c AND l THEN 'blind' WHEN c THEN 'blind_protein' WHEN l THEN 'blind_ligand' ELSE 'test' END FROM k WHERE c OR l OR leaks)"""
+
+
+@query(
+    "split_cluster",
+    "WITH " + _PLAN_SQL.format(ks=_sample_sql("ks", "cluster_id", CLUSTER.blind, CLUSTER.seed, "p"), fs=_sample_sql("fs", "scaffold", CLUSTER.blind, CLUSTER.seed, "p")) + " SELECT DISTINCT p.key, g.split FROM p JOIN g ON g.\"group\" = p.\"group\"",
+)
+def q_split_cluster(spark, d):
+    """The plan for clusters: redundant chains left out, then blind clusters and scaffolds, leakage set aside, the rest balanced."""
+    from sitemill.plans import dataset
+
+    rows, orders = interactions(spark, d), T(spark, d, "orders")
+    named = lambda df, end: df.select(F.concat(F.floor(F.col("o_orderkey") / 16).cast("string"), F.lit(end)).alias("sequence"))
+    representatives = named(orders.filter("o_orderstatus <> 'O'"), "-1").unionByName(named(orders, "-2"))
+    own = rows.select("key", "pdb_id", "chain_id", F.col("sequence").alias("sequence_1l"), "lig_id", "lig_site")
+    data = dataset.Dataset(own, rows.select("pdb_id", "chain_id").distinct(), rows.select("lig_site").distinct())
+    data = dataset.keep_nonredundant(data, representatives)
+    return dataset.split_cluster(data, CLUSTER, rows.select("pdb_id", "chain_id", "cluster_id"), rows.groupBy("lig_id").agg(F.min("scaffold").alias("scaffold")))

@@ -56,3 +56,44 @@ def test_build_split_and_score(spark, atoms):
     pairs = spark.createDataFrame([("x", "A", "L", "acd", "CCN"), ("x", "A", "L", "acd", "CCN"), ("y", "A", "L", "", "CCN")], "PDB string, Chain string, Lig_ID string, Sequence string, SMILES string")
     scored = dataset.score_new(pairs, encoders.one_hot_residues, encoders.count_tokens, encoders.TOKENS, scaler, model).orderBy("position").collect()
     assert [(r["position"], r["residue"]) for r in scored] == [(1, "A"), (2, "C"), (3, "D")] and all(0 <= r["probability"] <= 1 and r["pred"] in (0, 1) for r in scored)
+
+
+def test_cluster_split_leaves_no_leak(spark):
+    """Planted leakage: an entry whose chains fall in two clusters, and a free entry in the second of them."""
+    config = splitting.SplitConfig(0.2, 0.2, 0.2, 3, "cluster", "scaffold")
+    rows = [(f"p{e}", c, f"S{e}{c}", f"L{e % 4}", f"L{e % 4}_B") for e in range(40) for c in "AB"]
+    own = spark.createDataFrame(rows, "pdb_id string, chain_id string, sequence_1l string, lig_id string, lig_site string").withColumn("key", F.concat_ws(":", "pdb_id", "chain_id", "lig_site"))
+    clusters = spark.createDataFrame([(f"p{e}", c, e // 2 + (20 if c == "B" and e % 2 else 0)) for e in range(40) for c in "AB"], "pdb_id string, chain_id string, cluster_id int")
+    ligands = spark.createDataFrame([("L0", "f0"), ("L1", None), ("L2", "f2"), ("L3", "f2")], "lig_id string, scaffold string")
+    data = dataset.Dataset(own, own.select("pdb_id", "chain_id").distinct(), own.select("lig_site").distinct())
+    reps = spark.createDataFrame([(f"S{e}{c}",) for e in range(38) for c in "AB"], "sequence string")
+    data = dataset.keep_nonredundant(data, reps)
+    assert data.interactions.count() == 76 and data.protein_residues.count() == 76
+    split = {r["key"]: r["split"] for r in dataset.split_cluster(data, config, clusters, ligands).collect()}
+    assert set(split) == {r["key"] for r in data.interactions.collect()}
+    cluster = {(r["pdb_id"], r["chain_id"]): r["cluster_id"] for r in clusters.collect()}
+    scaffold = {"L0": "f0", "L1": None, "L2": "f2", "L3": "f2"}
+    blind_entries = {k.split(":")[0] for k, s in split.items() if s in ("blind", "blind_protein")}
+    blind_clusters = {cluster[tuple(k.split(":")[:2])] for k in split if k.split(":")[0] in blind_entries}
+    blind_scaffolds = {scaffold[k.split(":")[2].split("_")[0]] for k, s in split.items() if s in ("blind", "blind_ligand")}
+    assert blind_entries and blind_scaffolds and None not in blind_scaffolds
+    aside = 0
+    for k, s in split.items():
+        pdb, chain, site = k.split(":")
+        if pdb in blind_entries:
+            assert s in ("blind", "blind_protein")
+        elif cluster[pdb, chain] in blind_clusters:
+            aside += s == "test"
+            assert s in ("test", "blind_ligand")
+        if s in ("train", "val"):
+            assert cluster[pdb, chain] not in blind_clusters and scaffold[site.split("_")[0]] not in blind_scaffolds
+    assert aside and {"train", "val", "test"} <= set(split.values())
+
+
+def test_trained_model_to_best_interactions(spark):
+    rows = [("train" if i % 3 else "val", f"k{i // 6}", i % 6, int(i % 2), [float(i % 2), float(i % 5)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "split string, key string, ord int, label int, features array<double>")
+    model = models.train_boosted(df.filter("split = 'train'"), df.filter("split = 'val'"), {"maxIter": 3, "maxDepth": 2, "seed": 1})
+    metrics, best = dataset.evaluate_model(model, df, 2)
+    assert {(r["split"], r["f1"], r["auc"]) for r in metrics.collect()} == {("train", 1.0, 1.0), ("val", 1.0, 1.0)}
+    assert best.count() == 4 and all(r["y_true"] == r["y_pred"] for r in best.collect())

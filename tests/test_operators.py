@@ -294,5 +294,36 @@ def test_encoders_and_models(spark):
     data = spark.createDataFrame([([float(i % 2), float(i)], i % 2) for i in range(60)], "features array<double>, label int")
     model = models.train_boosted(data, data, {"maxIter": 3, "maxDepth": 2, "seed": 1})
     assert models.f1_of(model, data) == 1.0
-    best, f1 = models.search(data, data, {"maxIter": [2], "maxDepth": [1, 2], "seed": [1]}, 2, 0)
-    assert f1 == 1.0 and set(best) == {"maxIter", "maxDepth", "seed"}
+    space, fitted = {"maxIter": [2], "maxDepth": [1, 2], "seed": [1]}, []
+    fit = lambda *a: fitted.append(a[2]) or models.train_boosted(*a)
+    best, f1, trials = models.search(data, data, space, 2, 0, fit)
+    assert f1 == 1.0 and set(best) == {"maxIter", "maxDepth", "seed"} and [t[0] for t in trials] == [0, 1]
+    done = len(fitted)
+    assert models.search(data, data, space, 2, 0, fit, trials)[2] == trials and len(fitted) == done
+
+
+def test_network_keeps_its_best_state_and_weighs_positives(spark, monkeypatch):
+    rows = spark.createDataFrame([([float(i % 10 == 0), float(i % 7)], int(i % 10 == 0)) for i in range(200)], "features array<double>, label int")
+    assert models._weighted(rows, 3.0).filter("label = 1").count() == 60 and models._weighted(rows, 1.5).filter("label = 0").count() == 180
+    model, f1 = models.train_network(rows, rows, {"hidden": [4], "max_iter": 30, "step": 10, "seed": 1})
+    assert f1 == 1.0 == models.f1_of(model, rows)
+    told = iter([0.2, 0.6, 0.5, 0.4, 0.9])
+    made = []
+    monkeypatch.setattr(models, "f1_of", lambda m, v: made.append(m) or next(told))
+    model, f1 = models.train_network(rows, rows, {"hidden": [4], "max_iter": 500, "step": 1, "patience": 2, "seed": 1})
+    assert f1 == 0.6 and model is made[1] and len(made) == 4  # two epochs without a better one end the run
+
+
+def test_metrics_where_scores_crowd(spark):
+    """All scores in one equal-width bucket, ties among them, against all pairs."""
+    rows = [(f"s{i % 2}", (i * i) % 17 / 1e6, int(i % 5 < 2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "split string, prob double, label int").withColumn("pred", F.lit(1))
+    got = {r["split"]: r for r in evaluate.evaluate_splits(df, 8).collect()}
+    for s in ("s0", "s1"):
+        pos, neg = ([p for x, p, y in rows if x == s and y == k] for k in (1, 0))
+        won = sum((p > q) + (p == q) / 2 for p in pos for q in neg)
+        assert abs(got[s]["auc"] - won / (len(pos) * len(neg))) < 1e-12
+        cuts = sorted({*pos, *neg}, reverse=True)
+        at = lambda c, own: sum(p >= c for p in own)
+        steps = [(at(c, pos) - (at(cuts[i - 1], pos) if i else 0)) / len(pos) * at(c, pos) / (at(c, pos) + at(c, neg)) for i, c in enumerate(cuts)]
+        assert abs(got[s]["average_precision"] - sum(steps)) < 1e-12 and got[s]["recall"] == 1.0

@@ -44,8 +44,3 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-
-
-@pytest.mark.parametrize("name", ["train_boosted", "train_network", "search", "score_pairs"])
-def test_model_queries(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
