@@ -34,4 +34,13 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of shared_table that all written tables which read them have been written from."""
+    for table in tables:
+        at = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+        at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
