@@ -7,10 +7,10 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemill.functions.shared import shared_table
+from sitemill.functions.shared import forget, shared_table
 from sitemill.functions.shipping import ship_package
 
-__all__ = ["BLANKS", "fresh", "let", "one_thread", "partitions", "read", "shared_table", "tokenizer_path"]
+__all__ = ["BLANKS", "forget", "fresh", "let", "one_thread", "partitions", "read", "shared_table", "tokenizer_path"]
 
 #: The characters that part words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"

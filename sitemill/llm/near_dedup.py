@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemill.llm.common import fresh, partitions, read, shared_table
+from sitemill.llm.common import forget, fresh, partitions, read, shared_table
 
 #: Shingle length and similarity where a caller names none.
 WORDS, PERCENT = 5, 80
@@ -201,14 +201,17 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = shared_table(both.filter("a <> b").distinct(), "links")
     labels = shared_table(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("cid"), F.least("a", "m").alias("comp")), "labels")
+    last = labels
     while True:
         ask = labels.select(F.col("cid").alias("b"), F.col("comp").alias("m"))
         lower = both.join(ask, "b").groupBy("a").agg(F.min("m").alias("m"))
         lower = labels.join(lower.withColumnRenamed("a", "cid"), "cid").select("cid", F.col("comp").alias("old"), F.least("comp", "m").alias("via"))
         jump = lower.join(labels.select(F.col("cid").alias("via"), F.col("comp").alias("far")), "via")
         new = shared_table(jump.select("cid", F.least("via", "far").alias("comp"), (F.least("via", "far") < F.col("old")).alias("moved")), "labels")
-        labels = new.select("cid", "comp")
+        forget(last)
+        last, labels = new, new.select("cid", "comp")
         if new.filter("moved").isEmpty():
+            forget(both)
             return labels
 
 

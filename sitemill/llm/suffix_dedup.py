@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitemill.llm.common import fresh, partitions, read, shared_table
+from sitemill.llm.common import forget, fresh, partitions, read, shared_table
 
 MIN_BYTES = 400
 #: Contexts that a task orders at a time, and above which an anchor's contexts are dealt anew by the bytes that strings around it share.
@@ -271,8 +271,8 @@ _HALF = "lo int, hi int, group1 long, group2 long, whole1 long, whole2 long"
 _HALF_ARROW = pa.struct([(c.split()[0], pa.int32() if c.endswith("int") else pa.int64()) for c in _HALF.split(", ")])
 
 
-def _parts(contexts: DataFrame, length: int) -> DataFrame:
-    """Ranges of starts in two halves: contexts (ah, ch, cl, did, pos, left, data, ranges) to the halves where a string fits.
+def _parts(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Ranges of starts in two halves: contexts (ah, ch, cl, did, pos, left, data, ranges) to the halves where a string fits, and their table.
 
     Every string that starts in a range holds the bytes from the range's end to its start and length on, so contexts that share such a
     string have equal groups, a digest of those bytes. whole is a digest of all bytes that the range's strings reach.
@@ -303,11 +303,11 @@ def _parts(contexts: DataFrame, length: int) -> DataFrame:
     struct = f"struct<{_HALF.replace(' int', ':int').replace(' long', ':long')}>"
     both = shared_table(contexts.mapInArrow(rows, f"did long, pos int, ah long, ch long, cl long, lower {struct}, upper {struct}"), "suffix-parts")
     one = lambda c: both.filter(F.col(c).isNotNull()).select(*own, f"{c}.*")
-    return one("lower").unionByName(one("upper"))
+    return one("lower").unionByName(one("upper")), both
 
 
-def _split(contexts: DataFrame, length: int, first: bool) -> DataFrame:
-    """As _ordered, for anchors of more than MAX_GROUP contexts: (ah, ch, cl, runs).
+def _split(contexts: DataFrame, length: int, first: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """As _ordered, for anchors of more than MAX_GROUP contexts: (ah, ch, cl, runs), and the tables that are read for it.
 
     An anchor's contexts are dealt anew by ever smaller ranges of starts and the bytes that all strings of a range hold, until a group
     has MAX_GROUP contexts at most and is ordered like any other. Of contexts that are alike over a range the first goes on alone: the
@@ -316,10 +316,10 @@ def _split(contexts: DataFrame, length: int, first: bool) -> DataFrame:
     """
     contexts = shared_table(contexts.dropDuplicates(_CONTEXT), "suffix-large")
     edge = length - length // 4
-    rows, found, small = contexts.withColumn("ranges", F.array(F.array(F.lit(-edge), F.lit(0)))), [], []
+    rows, found, small, read_ = contexts.withColumn("ranges", F.array(F.array(F.lit(-edge), F.lit(0)))), [], [], [contexts]
     group, alike, own = ["group1", "group2", "lo"], ["group1", "group2", "lo", "hi", "whole1", "whole2"], ["did", "pos", *_CONTEXT]
     while True:
-        parts = _parts(rows, length)
+        parts, table = _parts(rows, length)
         classes = shared_table(parts.groupBy(*alike).agg(F.count("*").alias("n"), F.min(F.struct(*own)).alias("rep")), "suffix-classes")
         hits = parts.join(classes.filter("n > 1"), alike)
         if first:
@@ -328,13 +328,14 @@ def _split(contexts: DataFrame, length: int, first: bool) -> DataFrame:
         sizes = shared_table(classes.filter("lo < hi").groupBy(*group).agg(F.count("*").alias("members")).filter("members > 1"), "suffix-sizes")
         met = shared_table(classes.join(sizes, group).select("group1", "group2", "lo", "hi", "members", "rep.*"), "suffix-met-parts")
         small.append(met.filter(F.col("members") <= MAX_GROUP).select("group1", "group2", *_CONTEXT))
+        read_ += [table, classes, sizes, met]
         open_ = met.filter(F.col("members") > MAX_GROUP)
         if open_.isEmpty():
             break
         rows = contexts.join(open_.groupBy(*_CONTEXT).agg(F.collect_list(F.array("lo", "hi")).alias("ranges")), _CONTEXT)
     ordered = functools.reduce(DataFrame.unionByName, small).join(contexts, _CONTEXT)
     runs = functools.reduce(DataFrame.unionByName, [*found, _ordered(ordered, length, first)])
-    return runs.groupBy(*_CONTEXT).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    return runs.groupBy(*_CONTEXT).agg(F.flatten(F.collect_list("runs")).alias("runs")), read_
 
 
 def repeated_spans(docs: DataFrame, length: int, first: bool) -> DataFrame:
@@ -346,6 +347,7 @@ def repeated_spans(docs: DataFrame, length: int, first: bool) -> DataFrame:
     # An anchor that stands once in all texts has no partner; most are such, and only their hashes are shuffled to tell.
     met = shared_table(every.groupBy("ah").agg(F.count("*").alias("n_places")).filter("n_places > 1").select("ah"), "suffix-met")
     found = shared_table(every.join(met, "ah", "left_semi"), "suffix-places")
+    forget(every, met)
     where = F.struct("did", "th", "pos")
     contexts = shared_table(found.groupBy(*_CONTEXT).agg(F.count("*").alias("n"), F.min(where).alias("rep")), "suffix-contexts")
     # Written, so that the join by anchor has plain exchanges on both sides: Spark then splits an anchor of very many contexts.
@@ -354,14 +356,20 @@ def repeated_spans(docs: DataFrame, length: int, first: bool) -> DataFrame:
     fetched = shared_table(_fetch(docs, differing, length), "suffix-texts")
     large = per_anchor.filter(F.col("n_contexts") > MAX_GROUP).select("ah")
     grouped = fetched.withColumns({"group1": F.col("ah"), "group2": F.lit(0).cast("long")})
+    read_ = [per_anchor, fetched]
     if large.isEmpty():
         runs = _ordered(grouped, length, first)
     else:
         runs = _ordered(grouped.join(large, "ah", "left_anti"), length, first)
-        runs = runs.unionByName(_split(fetched.join(large, "ah", "left_semi"), length, first))
-    marks = contexts.join(shared_table(runs, "suffix-runs"), _CONTEXT, "left").filter(F.col("runs").isNotNull() | (F.col("n") > 1))
+        split, more = _split(fetched.join(large, "ah", "left_semi"), length, first)
+        runs, read_ = runs.unionByName(split), read_ + more
+    runs = shared_table(runs, "suffix-runs")
+    forget(*read_)
+    marks = contexts.join(runs, _CONTEXT, "left").filter(F.col("runs").isNotNull() | (F.col("n") > 1))
     # Written once, so that both sides of the join below are plain exchanges: Spark then splits the contexts that very many texts hold.
-    hits = found.join(shared_table(marks, "suffix-marks"), _CONTEXT)
+    marks = shared_table(marks, "suffix-marks")
+    forget(runs, contexts)
+    hits = found.join(marks, _CONTEXT)
     alike = F.col("n") > 1
     if first:  # the first of equal contexts keeps what no other context has before it
         alike = alike & (where != F.col("rep"))
