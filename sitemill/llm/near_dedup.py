@@ -23,7 +23,7 @@ NODE = 200
 #: Sketch agreement below which a pair in a node is no candidate: so many standard deviations under what the threshold gives.
 DEVIATIONS = 6.0
 #: Distinct sets, and their shingles, that one task confirms at a time, about. A larger component goes by its leaders, in slices of that size.
-BLOCK_SETS, BLOCK_SHINGLES = 250, 1 << 21
+BLOCK_SETS, BLOCK_SHINGLES = 3000, 1 << 21
 #: So often are the sets that are far from a leader given a leader of their own before they meet all others.
 LEADER_ROUNDS = 4
 #: Words that a worker remembers, and the bytes of the longest it does, which together bound what it holds.
@@ -391,7 +391,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     placed = shared_table(likely.join(classes.select("cid", "th", "n", "sketch"), "cid"), "near-placed")
     blocks = placed.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     large = shared_table(blocks.filter((F.col("members") > BLOCK_SETS) | (F.col("shingles") > BLOCK_SHINGLES)).select("comp"), "near-blocks")
-    with_texts = lambda rows: keyed.withColumnRenamed("did", "cid").join(rows, ["cid", "th"])
+    # The members grow with the texts: both sides are always shuffled and sorted, none is broadcast.
+    with_texts = lambda rows: keyed.withColumnRenamed("did", "cid").join(rows.hint("merge"), ["cid", "th"])
     if large.isEmpty():
         links = _within(with_texts(placed), words, percent)
         roots = links.select(F.col("b").alias("cid"), F.col("a").alias("root"))
