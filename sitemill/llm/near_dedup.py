@@ -391,16 +391,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     placed = shared_table(likely.join(classes.select("cid", "th", "n", "sketch"), "cid"), "near-placed")
     blocks = placed.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     large = shared_table(blocks.filter((F.col("members") > BLOCK_SETS) | (F.col("shingles") > BLOCK_SHINGLES)).select("comp"), "near-blocks")
-    # The members grow with the texts: both sides are always shuffled and sorted, none is broadcast.
-    with_texts = lambda rows: keyed.withColumnRenamed("did", "cid").join(rows.hint("merge"), ["cid", "th"])
-    if large.isEmpty():
-        links = _within(with_texts(placed), words, percent)
-        roots = links.select(F.col("b").alias("cid"), F.col("a").alias("root"))
-    else:
-        links = _within(with_texts(placed.join(large, "comp", "left_anti")), words, percent)
-        roots = links.select(F.col("b").alias("cid"), F.col("a").alias("root"))
-        split = shared_table(with_texts(placed.join(large, "comp", "left_semi")).dropDuplicates(["cid"]), "near-large")
-        roots = roots.unionByName(components(_by_leaders(split, words, percent)).select("cid", F.col("comp").alias("root")))
+    # Texts are shuffled once, for components of every size. Members grow with them: both sides are always sorted, none is broadcast.
+    chosen = placed.join(large.withColumn("large", F.lit(True)), "comp", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    texts = keyed.withColumnRenamed("did", "cid").join(chosen.hint("merge"), ["cid", "th"]).dropDuplicates(["cid", "th"])
+    texts = shared_table(texts, "near-members")
+    links = _within(texts.filter(~F.col("large")), words, percent)
+    roots = links.select(F.col("b").alias("cid"), F.col("a").alias("root"))
+    if not large.isEmpty():
+        linked = _by_leaders(texts.filter("large").drop("large"), words, percent)
+        roots = roots.unionByName(components(linked).select("cid", F.col("comp").alias("root")))
     roots = classes.select(*own, "cid").join(roots.filter("cid <> root"), "cid", "left").select(*own, F.coalesce("root", "cid").alias("root"))
     out = made.select("did", "th", *own).join(shared_table(roots, "near-roots"), own, "left")
     return out.select(F.col("did").alias("doc_id"), "th", F.col("n").alias("n_shingles"), F.when(F.col("did").isNotNull(), F.coalesce("root", "did")).alias("component_id"))
