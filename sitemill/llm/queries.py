@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitemill.llm import ann, bpe, chat_format, language_id, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, url_filters
+from sitemill.llm import ann, bpe, chat_format, embedding_dedup, language_id, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_ann": ann.op8_ann,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op12_embedding_near_dedup": embedding_dedup.op12_embedding_near_dedup,
 }
 
 SQL = {
     "op9_near_dedup": near_dedup.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
+    "op12_embedding_near_dedup": embedding_dedup.ORACLE,
 }
