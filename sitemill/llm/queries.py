@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitemill.llm import ann, bpe, chat_format, embedding_dedup, language_id, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, url_filters
+from sitemill.llm import ann, bpe, chat_format, conversation_trie, embedding_dedup, language_id, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
     "op12_embedding_near_dedup": embedding_dedup.op12_embedding_near_dedup,
+    "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
 
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op10_chat_format": chat_format.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
     "op12_embedding_near_dedup": embedding_dedup.ORACLE,
+    "op13_conversation_trie": conversation_trie.ORACLE,
 }

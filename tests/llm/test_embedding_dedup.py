@@ -66,7 +66,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, v, "a", "b", "c", "d") for i, v in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("bounds", [{}, {"BLOCK": 10, "MOST_BUCKET": 5}, {"BLOCK": 10, "LEADER_ROUNDS": 1, "ROWS_AT_ONCE": 3}])
+@pytest.mark.parametrize("bounds", [{}, {"BLOCK": 10, "MOST_BUCKET": 5}, {"BLOCK": 10, "LEADER_ROUNDS": 1}])
 def test_against_all_pairs(spark, vectors, bounds, monkeypatch):
     for name, value in bounds.items():
         monkeypatch.setattr(dedup, name, value)
@@ -78,6 +78,19 @@ def test_against_all_pairs(spark, vectors, bounds, monkeypatch):
     assert all((r["n_links"], r["component_id"], r["kept"]) == (0, i, True) for i, r in odd.items()) and len(odd) == 6
 
 
+def test_forest_asks_each_row_once(monkeypatch):
+    draw = np.random.default_rng(2)
+    for at_once in (3, 500):
+        monkeypatch.setattr(dedup, "ROWS_AT_ONCE", at_once)
+        links = draw.random((40, 40)) < 0.02
+        links, asked = links | links.T | np.eye(40, dtype=bool), []
+        root = dedup._forest(40, lambda rows, links=links, asked=asked: asked.extend(rows) or links[rows])
+        reach = links.copy()
+        for _ in range(40):
+            reach = reach @ links
+        assert root.tolist() == [int(np.flatnonzero(r)[0]) for r in reach] and sorted(asked) == list(range(40))
+
+
 def test_empty_and_alone(spark):
     assert dedup.near_copies(frame(spark, [])).collect() == []
     told([(5, [1.0, 0.0])], dedup.near_copies(frame(spark, [(5, [1.0, 0.0])])).collect())
