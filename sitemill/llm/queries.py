@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitemill.llm import ann, bpe, chat_format, conversation_trie, embedding_dedup, language_id, near_dedup, packing, quality_rules, secret_scan, suffix_dedup, url_filters
+from sitemill.llm import ann, bpe, chat_format, conversation_trie, embedding_dedup, language_id, near_dedup, packing, phrases, quality_rules, secret_scan, suffix_dedup, url_filters
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ann": ann.op8_ann,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_chat_format": chat_format.op10_chat_format,
+    "op11_phrases": phrases.op11_phrases,
     "op12_embedding_near_dedup": embedding_dedup.op12_embedding_near_dedup,
     "op13_conversation_trie": conversation_trie.op13_conversation_trie,
 }
@@ -23,6 +24,7 @@ SQL = {
     "op9_near_dedup": near_dedup.ORACLE,
     "op10_chat_format": chat_format.ORACLE,
     "op5_quality_rules": quality_rules.ORACLE,
+    "op11_phrases": phrases.ORACLE,
     "op12_embedding_near_dedup": embedding_dedup.ORACLE,
     "op13_conversation_trie": conversation_trie.ORACLE,
 }
