@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sitemill.functions.shared import shared_table
 from sitemill.operators.joins import require_same_keys
 
+#: Digits by which hash prefixes grow, and the keys of one prefix that are ordered to find the cut among them.
+PREFIX_DIGITS, FEW_KEYS, _HASH_DIGITS = 3, 10_000, 32
+#: A group above this part of the smallest target is dealt out before the others.
+LARGE_PART = 64
+
 
 @dataclass(frozen=True)
 class SplitConfig:
@@ -39,10 +46,33 @@ def seeded(seed: int, key: Column) -> Column:
 
 
 def sample_keys(keys: DataFrame, col: str, share: float, seed: int) -> DataFrame:
-    """max(1, floor(share * n)) distinct non-null keys, those of the smallest seeded hashes."""
-    distinct = keys.select(col).filter(F.col(col).isNotNull()).distinct()
-    n = distinct.count()
-    return distinct.orderBy(seeded(seed, F.col(col)), col).limit(max(1, int(share * n)) if n else 0)
+    """max(1, floor(share * n)) distinct non-null keys, those of the smallest seeded hashes; none of none.
+
+    The last key that belongs to the sample is found first, by counts of hash prefixes that get longer until few keys share the cut's
+    prefix. The sample is then a filter on the distinct keys, which are stored: nothing is sorted, and no task holds the sample.
+    """
+    hashed = seeded(seed, F.col(col))
+    distinct = shared_table(keys.select(col).filter(F.col(col).isNotNull()).distinct().withColumn("_h", hashed), "distinct-keys")
+    inside, prefix, before, wanted = distinct, "", 0, None
+    while True:
+        length = min(_HASH_DIGITS, len(prefix) + PREFIX_DIGITS)
+        counts = sorted(inside.groupBy(F.substring("_h", 1, length).alias("p")).count().collect())  # 16 ** PREFIX_DIGITS rows at most
+        if wanted is None:
+            n = sum(r["count"] for r in counts)
+            if not n:
+                return distinct.select(col)
+            wanted = max(1, int(share * n))
+        for prefix, count in counts:
+            if before + count >= wanted:
+                break
+            before += count
+        inside = distinct.filter(F.substring("_h", 1, length) == prefix)
+        if before + count == wanted:
+            return distinct.filter(F.substring("_h", 1, length) <= prefix).select(col)
+        if count <= FEW_KEYS or length == _HASH_DIGITS:
+            last = inside.orderBy("_h", col).select("_h", col).take(wanted - before)[-1]
+            upto = (F.col("_h") < last["_h"]) | ((F.col("_h") == last["_h"]) & (F.col(col) <= F.lit(last[col])))
+            return distinct.filter(upto).select(col)
 
 
 def group_key(pdb: Column, sequence: Column, lig_site: Column) -> Column:
@@ -99,21 +129,43 @@ def remove_leakage(candidates: DataFrame, blind_clusters: DataFrame, blind_scaff
     return out.join(blind_scaffolds.select("scaffold").filter("scaffold is not null").distinct(), "scaffold", "left_anti")
 
 
+def deal_large(groups: list[tuple[str, int]], targets: dict[str, float]) -> dict[str, str]:
+    """A split for each (group, n), one after the other: that which lacks most of its target then, of equal ones the first of targets.
+
+    targets is brought down by what each split gets.
+    """
+    out = {}
+    for group, n in groups:
+        out[group] = max(targets, key=targets.__getitem__)
+        targets[out[group]] -= n
+    return out
+
+
 def assign_balanced(groups: DataFrame, val: float, test: float, seed: int, buckets: int = 256) -> DataFrame:
-    """(group, n, split) of whole groups: test, then val, then train, each target met within one group.
+    """(group, n, split) of whole groups, towards targets that are shares of all rows, rounded; train gets what is left.
 
-    Groups go by a seeded hash. The running sum has two levels, so that no task holds all groups: hash prefixes have totals, which are
-    few, and within a prefix a window sums on. Targets are shares of all rows, rounded.
+    A group of more than a LARGE_PART of the smallest target is large. Large groups go first, the largest first, each to the split that
+    lacks most, so they are met by what is still wanted; there are few of them, LARGE_PART over the smallest share at most. The small
+    ones fill up test, then val, then train in the order of a seeded hash, so a target that large groups did not pass is missed by
+    less than a small group. The running sum has two levels, so that no task holds all groups: hash prefixes have totals, which are few,
+    and within a prefix a window sums on. groups is stored.
     """
-    width = 2 if buckets > 16 else 1
-    rows = groups.select("group", "n", seeded(seed, F.col("group")).alias("_h")).withColumn("_b", F.substring("_h", 1, width))
-    totals = rows.groupBy("_b").agg(F.sum("n").alias("_t"))
+    rows = shared_table(groups.select("group", "n", seeded(seed, F.col("group")).alias("_h")), "groups")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    targets = {"test": math.floor(total * test + 0.5), "val": math.floor(total * val + 0.5)}
+    targets["train"] = total - sum(targets.values())
+    bound = min((t for t in targets.values() if t > 0), default=0) / LARGE_PART
+    large = rows.filter(F.col("n") > bound).orderBy(F.desc("n"), "_h", "group").select("group", "n").collect() if total else []
+    dealt = deal_large([(r["group"], r["n"]) for r in large], targets)
+    small = rows.filter(F.col("n") <= bound).withColumn("_b", F.substring("_h", 1, 2 if buckets > 16 else 1))
+    totals = small.groupBy("_b").agg(F.sum("n").alias("_t"))
     before = totals.select("_b", F.coalesce(F.sum("_t").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    whole = totals.agg(F.sum("_t").alias("_all"))
     inside = F.coalesce(F.sum("n").over(W.partitionBy("_b").orderBy("_h", "group").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("_in", inside).join(F.broadcast(before), "_b").crossJoin(F.broadcast(whole))  # 256 rows and one
-    at, n_test, n_val = F.col("_before") + F.col("_in"), F.round(F.col("_all") * test), F.round(F.col("_all") * val)
-    return rows.select("group", "n", F.when(at < n_test, "test").when(at < n_test + n_val, "val").otherwise("train").alias("split"))
+    small = small.withColumn("_in", inside).join(F.broadcast(before), "_b")  # 256 rows
+    at, n_test, n_val = F.col("_before") + F.col("_in"), max(targets["test"], 0), max(targets["val"], 0)
+    small = small.select("group", "n", F.when(at < n_test, "test").when(at < n_test + n_val, "val").otherwise("train").alias("split"))
+    known = groups.sparkSession.createDataFrame(list(dealt.items()), "group string, split string")
+    return small.unionByName(rows.join(F.broadcast(known), "group").select("group", "n", "split"))  # the large groups
 
 
 def add_collateral(splits: DataFrame, collateral: DataFrame) -> DataFrame:

@@ -116,17 +116,41 @@ def q_remove_leakage(spark, d):
     return sp.remove_leakage(candidates, clusters, scaffolds).select("key")
 
 
-_ASSIGN_SQL = f"""{_BLIND_SQL}, o AS (SELECT "group", n, coalesce(sum(n) OVER (ORDER BY md5('{BASE.seed}' || "group"), "group" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () AS t FROM c WHERE category = 'candidate'),
-sg AS (SELECT "group", n, CASE WHEN b < round(t * {BASE.test}) THEN 'test' WHEN b < round(t * {BASE.test}) + round(t * {BASE.val}) THEN 'val' ELSE 'train' END AS split FROM o),
+def _assign_sql(name: str, source: str, test: float, val: float, seed: int) -> str:
+    """name ("group", n, split) of source ("group", n); needs WITH RECURSIVE. Large groups one by one, small ones by a running sum."""
+    p, part = f"{name}_", sp.LARGE_PART
+    return f"""{p}t AS (SELECT sum(n)::BIGINT AS t, round(sum(n) * {test})::BIGINT AS te, round(sum(n) * {val})::BIGINT AS va FROM {source}),
+{p}u AS (SELECT te, va, t - te - va AS tr, least(CASE WHEN te > 0 THEN te END, CASE WHEN va > 0 THEN va END, CASE WHEN t - te - va > 0 THEN t - te - va END) / {part} AS bound FROM {p}t),
+{p}l AS (SELECT "group", n, row_number() OVER (ORDER BY n DESC, md5('{seed}' || "group"), "group") AS k FROM {source} WHERE n > (SELECT bound FROM {p}u)),
+{p}w(k, te, va, tr, "group", n, split) AS (SELECT 0::BIGINT, te, va, tr, NULL::VARCHAR, 0::BIGINT, NULL::VARCHAR FROM {p}u UNION ALL
+  SELECT x.k, x.te - CASE WHEN s = 'test' THEN x.n ELSE 0 END, x.va - CASE WHEN s = 'val' THEN x.n ELSE 0 END, x.tr - CASE WHEN s = 'train' THEN x.n ELSE 0 END, x."group", x.n, s
+  FROM (SELECT l.k, l."group", l.n, w.te, w.va, w.tr, CASE WHEN te >= va AND te >= tr THEN 'test' WHEN va >= tr THEN 'val' ELSE 'train' END AS s FROM {p}w w JOIN {p}l l ON l.k = w.k + 1) x),
+{p}r AS (SELECT greatest(te, 0) AS te, greatest(va, 0) AS va FROM {p}w ORDER BY k DESC LIMIT 1),
+{p}o AS (SELECT "group", n, coalesce(sum(n) OVER (ORDER BY md5('{seed}' || "group"), "group" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM {source} WHERE n <= (SELECT bound FROM {p}u)),
+{name} AS (SELECT "group", n, CASE WHEN b < te THEN 'test' WHEN b < te + va THEN 'val' ELSE 'train' END AS split FROM {p}o, {p}r UNION ALL SELECT "group", n, split FROM {p}w WHERE k > 0)"""
+
+
+_ASSIGN_SQL = f"""{_BLIND_SQL}, o AS (SELECT "group", n FROM c WHERE category = 'candidate'), {_assign_sql('sg', 'o', BASE.test, BASE.val, BASE.seed)},
 sa AS (SELECT "group", n, split, false AS collateral FROM sg UNION ALL SELECT "group", n, category, false FROM c WHERE category LIKE 'blind%' UNION ALL SELECT "group", n, 'test', true FROM c WHERE category = 'test')"""
 
 
-@query("assign_balanced", f"WITH {_ASSIGN_SQL} SELECT * FROM sg")
+@query("assign_balanced", f"WITH RECURSIVE {_ASSIGN_SQL} SELECT * FROM sg")
 def q_assign_balanced(spark, d):
     groups = sp.classify_base(*_base(spark, d)).filter("category = 'candidate'")
     return sp.assign_balanced(groups.select("group", "n"), BASE.val, BASE.test, BASE.seed)
 
 
+_UNEVEN_SQL = "un AS (SELECT (o_custkey * o_custkey // 7 % 61)::VARCHAR || '/' || CASE WHEN o_custkey % 3 = 0 THEN o_custkey::VARCHAR ELSE '' END AS \"group\", count(*) AS n FROM orders GROUP BY 1)"
+
+
+@query("assign_large_groups", f"WITH RECURSIVE {_UNEVEN_SQL}, {_assign_sql('ug', 'un', BASE.test, BASE.val, BASE.seed)} SELECT * FROM ug")
+def q_assign_large_groups(spark, d):
+    """Groups of very different sizes: a few hold two thirds of all orders, each of many others one customer's."""
+    key = F.col("o_custkey").cast("long")
+    name = F.concat((F.floor(key * key / 7) % 61).cast("string"), F.lit("/"), F.when(key % 3 == 0, key.cast("string")).otherwise(""))
+    return sp.assign_balanced(T(spark, d, "orders").groupBy(name.alias("group")).agg(F.count("*").alias("n")), BASE.val, BASE.test, BASE.seed)
+
+
 def splits(spark, d):
     return _splits(*_base(spark, d))
 
@@ -139,12 +163,12 @@ def _splits(rows, entries, sequences, ligands):
     return sp.add_collateral(assigned.unionByName(blind), c.filter("category = 'test'").select("group", "n", F.lit(True).alias("collateral")))
 
 
-@query("add_collateral", f"WITH {_ASSIGN_SQL} SELECT * FROM sa")
+@query("add_collateral", f"WITH RECURSIVE {_ASSIGN_SQL} SELECT * FROM sa")
 def q_add_collateral(spark, d):
     return splits(spark, d)
 
 
-@query("split_summary", f"WITH {_ASSIGN_SQL} SELECT split, count(*) AS n, count_if(collateral)::BIGINT AS n_collateral FROM sa GROUP BY split")
+@query("split_summary", f"WITH RECURSIVE {_ASSIGN_SQL} SELECT split, count(*) AS n, count_if(collateral)::BIGINT AS n_collateral FROM sa GROUP BY split")
 def q_split_summary(spark, d):
     return sp.split_summary(splits(spark, d))
 
@@ -160,7 +184,7 @@ _MATERIAL_SQL = f"""{_ASSIGN_SQL}, ms AS (SELECT i.key, i.pdb_id, i.chain_id, i.
 
 @query(
     "materialise_splits",
-    f"""WITH {_MATERIAL_SQL} SELECT split, 'interactions' AS what, key AS id FROM ms UNION ALL SELECT DISTINCT split, 'protein_residues', pdb_id || ':' || chain_id FROM ms
+    f"""WITH RECURSIVE {_MATERIAL_SQL} SELECT split, 'interactions' AS what, key AS id FROM ms UNION ALL SELECT DISTINCT split, 'protein_residues', pdb_id || ':' || chain_id FROM ms
     UNION ALL SELECT DISTINCT split, 'ligand_features', lig_site FROM ms""",
 )
 def q_materialise_splits(spark, d):
@@ -223,14 +247,14 @@ p AS (SELECT i.key, i.pdb_id, i.chain_id, i.sequence, i.lig_id, i.lig_site, cl.c
 ce AS (SELECT DISTINCT pdb_id FROM p WHERE cluster_id IN (SELECT cluster_id FROM ks)), bc AS (SELECT DISTINCT cluster_id FROM p WHERE pdb_id IN (SELECT pdb_id FROM ce)),
 k AS (SELECT "group", count(*) AS n, bool_or(pdb_id IN (SELECT pdb_id FROM ce)) AS c, bool_or(coalesce(scaffold IN (SELECT scaffold FROM fs), false)) AS l,
              bool_or(cluster_id IN (SELECT cluster_id FROM bc)) AS leaks FROM p GROUP BY 1),
-o AS (SELECT "group", coalesce(sum(n) OVER (ORDER BY md5('{CLUSTER.seed}' || "group"), "group" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(n) OVER () AS t FROM k WHERE NOT c AND NOT l AND NOT leaks),
-g AS (SELECT "group", CASE WHEN b < round(t * {CLUSTER.test}) THEN 'test' WHEN b < round(t * {CLUSTER.test}) + round(t * {CLUSTER.val}) THEN 'val' ELSE 'train' END AS split FROM o
+o AS (SELECT "group", n FROM k WHERE NOT c AND NOT l AND NOT leaks), {_assign_sql('cg', 'o', CLUSTER.test, CLUSTER.val, CLUSTER.seed)},
+g AS (SELECT "group", split FROM cg
       UNION ALL SELECT "group", CASE WHEN c AND l THEN 'blind' WHEN c THEN 'blind_protein' WHEN l THEN 'blind_ligand' ELSE 'test' END FROM k WHERE c OR l OR leaks)"""
 
 
 @query(
     "split_cluster",
-    "WITH " + _PLAN_SQL.format(ks=_sample_sql("ks", "cluster_id", CLUSTER.blind, CLUSTER.seed, "p"), fs=_sample_sql("fs", "scaffold", CLUSTER.blind, CLUSTER.seed, "p")) + " SELECT DISTINCT p.key, g.split FROM p JOIN g ON g.\"group\" = p.\"group\"",
+    "WITH RECURSIVE " + _PLAN_SQL.format(ks=_sample_sql("ks", "cluster_id", CLUSTER.blind, CLUSTER.seed, "p"), fs=_sample_sql("fs", "scaffold", CLUSTER.blind, CLUSTER.seed, "p")) + " SELECT DISTINCT p.key, g.split FROM p JOIN g ON g.\"group\" = p.\"group\"",
 )
 def q_split_cluster(spark, d):
     """The plan for clusters: redundant chains left out, then blind clusters and scaffolds, leakage set aside, the rest balanced."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import pytest
@@ -201,9 +202,46 @@ def test_assignment_contract(spark, sizes, seed):
     g = spark.createDataFrame([(f"g{i}", n) for i, n in enumerate(sizes)], "group string, n long")
     out = {r["group"]: r for r in splitting.assign_balanced(g, 0.2, 0.3, seed).collect()}
     assert len(out) == len(sizes)  # every group once: atomic, disjoint and exhaustive
-    for name, share in (("test", 0.3), ("val", 0.2)):
-        got = sum(r["n"] for r in out.values() if r["split"] == name)
-        assert got - round(share * sum(sizes)) < 2 * max(sizes) + 1
+    total, got = sum(sizes), dict.fromkeys(("test", "val", "train"), 0)
+    for r in out.values():
+        got[r["split"]] += r["n"]
+    targets = {"test": math.floor(total * 0.3 + 0.5), "val": math.floor(total * 0.2 + 0.5)}
+    targets["train"] = total - sum(targets.values())
+    bound = min((t for t in targets.values() if t > 0), default=0) / splitting.LARGE_PART
+    large = sorted(((n, i) for i, n in enumerate(sizes) if n > bound), reverse=True)
+    left = dict(targets)
+    splitting.deal_large([(i, n) for n, i in large], left)
+    small = max((n for n in sizes if n <= bound), default=0)
+    # A target that large groups alone did not pass is missed by less than one small group on each side.
+    if all(v >= 0 for v in left.values()):
+        assert all(abs(got[k] - targets[k]) <= 2 * small for k in got)
+    for k in got:
+        assert got[k] - targets[k] <= max([small * 2, *(n for n, _ in large)])
+
+
+def test_large_groups_go_where_most_is_wanted(spark):
+    """A group of a third of all rows goes to train, whatever its hash; by a running sum it may fall to test."""
+    sizes = {"huge": 3000, **{f"big{i}": 400 for i in range(5)}, **{f"g{i}": 1 for i in range(4000)}}
+    g = spark.createDataFrame(list(sizes.items()), "group string, n long")
+    for seed in range(4):
+        out = {r["group"]: r["split"] for r in splitting.assign_balanced(g, 0.1, 0.1, seed).collect()}
+        got = {s: sum(sizes[k] for k, v in out.items() if v == s) for s in ("test", "val", "train")}
+        assert out["huge"] == "train" and got == {"test": 900, "val": 900, "train": 7200} and out.keys() == sizes.keys()
+    assert splitting.assign_balanced(g.limit(0), 0.1, 0.1, 1).collect() == []
+
+
+@pytest.mark.parametrize(("digits", "few"), [(3, 10_000), (1, 1), (1, 5)])
+def test_sample_is_a_filter_of_the_smallest_hashes(spark, monkeypatch, digits, few):
+    monkeypatch.setattr(splitting, "PREFIX_DIGITS", digits)
+    monkeypatch.setattr(splitting, "FEW_KEYS", few)
+    for n, share in ((1, 0.01), (7, 0.5), (700, 0.0), (700, 0.07), (700, 1.0)):
+        data = [(f"k{i}",) for i in range(n)] * 2 + [(None,)]
+        got = splitting.sample_keys(spark.createDataFrame(data, "k string"), "k", share, 3)
+        want = sorted({k for (k,) in data if k}, key=lambda k: hashlib.md5(f"3{k}".encode()).hexdigest())[: max(1, int(share * n))]
+        assert sorted(r["k"] for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+    assert splitting.sample_keys(spark.createDataFrame([(None,)], "k string"), "k", 0.5, 1).collect() == []
 
 
 def test_split_rules(spark):
