@@ -5,22 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _exploded(vectors: DataFrame) -> DataFrame:
-    return vectors.select(F.posexplode(F.col("features").cast("array<double>")).alias("pos", "v"))
-
+from sitemill.functions.moments import moments
 
 def screen_features(vectors: DataFrame) -> DataFrame:
-    """(pos, has_nan, has_inf, is_constant) of each dimension; a null counts as NaN.
-
-    Rows times width meet in a partial aggregation before they are shuffled. Spark orders NaN above all values, so it is tested apart.
-    """
-    bad = F.col("v").isNull() | F.isnan("v")
-    return _exploded(vectors).groupBy("pos").agg(
-        F.bool_or(bad).alias("has_nan"),
-        F.bool_or(F.coalesce(F.abs("v") == float("inf"), F.lit(False))).alias("has_inf"),
-        F.coalesce(F.min(F.when(~bad, F.col("v"))) == F.max(F.when(~bad, F.col("v"))), F.lit(True)).alias("is_constant"),
-    )
+    """(pos, has_nan, has_inf, is_constant) of each dimension; a null counts as NaN, and a dimension of NaNs only as constant."""
+    constant = F.col("low") >= F.col("high")  # without a value the range is empty: from infinity down to its negative
+    return moments(vectors).select("pos", "has_nan", "has_inf", constant.alias("is_constant"))
 
 
 def feature_mask(vectors: DataFrame) -> DataFrame:
@@ -40,8 +30,9 @@ def verify_features(vectors: DataFrame) -> DataFrame:
 
 
 def fit_scaler(vectors: DataFrame) -> DataFrame:
-    """(pos, mean, std) over entities stored once each, std of the population."""
-    return _exploded(vectors).groupBy("pos").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    """(pos, mean, std) over entities stored once each, std of the population. Nulls are left out; of nulls only both are null."""
+    known = F.col("n") > 0
+    return moments(vectors).select("pos", F.when(known, F.col("mean")).alias("mean"), F.when(known, F.sqrt(F.col("m2") / F.col("n"))).alias("std"))
 
 
 def apply_scaler(vectors: DataFrame, scaler: DataFrame) -> DataFrame:

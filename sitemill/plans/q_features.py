@@ -66,6 +66,18 @@ def q_fit_scaler(spark, d):
     return features.fit_scaler(_finite(spark, d).filter(_TRAIN)).select("pos", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
+@query(
+    "fit_scaler_wide",
+    """SELECT ((k - 1) * 64 + i - 1)::INT AS pos, round(avg(embedding[i]::DOUBLE * k), 9) AS mean, round(stddev_pop(embedding[i]::DOUBLE * k), 9) AS std
+       FROM embeddings, unnest(generate_series(1, 20)) AS a(k), unnest(generate_series(1, 64)) AS b(i) GROUP BY k, i""",
+)
+def q_fit_scaler_wide(spark, d):
+    """1,280 dimensions, as residue vectors have: the embedding twenty times over, in rising scale."""
+    wide = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.transform("embedding", lambda x: x.cast("double") * k)))
+    out = features.fit_scaler(T(spark, d, "embeddings").select(wide.alias("features")))
+    return out.select("pos", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
+
+
 @query(
     "apply_scaler",
     f"""WITH {VECTORS_SQL}, s AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS sd FROM x WHERE {_TRAIN} AND pos < 65 GROUP BY pos)

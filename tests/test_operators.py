@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -175,6 +176,29 @@ def test_feature_screen_mask_scale(spark):
     assert rows(scaled) == [(1, [-1.0, 0.0]), (2, [1.0, 0.0])]
 
 
+def test_moments_merge_in_any_way(spark):
+    """Against numpy over all rows: lengths that differ, nulls, NaNs, infinities, null and empty vectors, far means, many partitions."""
+    draw = np.random.default_rng(8)
+    data = [(1e9 + draw.normal(size=int(draw.choice([5, 5, 7])))).tolist() for _ in range(200)] + [None, [], [None] * 7, [float("nan"), 1.0], [1.0, float("inf")]]
+    df = spark.createDataFrame([(v,) for v in data], "features array<double>")
+    plan = features.fit_scaler(df)._jdf.queryExecution().toString()
+    assert "explode" not in plan.lower() and "Generate" not in plan
+    want = {}
+    for pos in range(7):
+        v = np.array([x[pos] for x in data if x and len(x) > pos and x[pos] is not None])
+        missing = any(x[pos] is None for x in data if x and len(x) > pos)
+        real = v[~np.isnan(v)]
+        want[pos] = (float(v.mean()), float(v.std()), bool(missing or np.isnan(v).any()), bool(np.isinf(v).any()), bool(real.min() == real.max()))
+    for parts in (1, 9):
+        scaler = {r["pos"]: r for r in features.fit_scaler(df.repartition(parts)).collect()}
+        screen = {r["pos"]: r for r in features.screen_features(df.repartition(parts)).collect()}
+        assert scaler.keys() == screen.keys() == want.keys()
+        for pos, (mean, std, *flags) in want.items():
+            assert np.allclose([scaler[pos]["mean"], scaler[pos]["std"]], [mean, std], rtol=1e-12, atol=1e-6, equal_nan=True)
+            assert [screen[pos][k] for k in ("has_nan", "has_inf", "is_constant")] == flags
+    assert features.fit_scaler(df.limit(0)).collect() == [] and rows(features.fit_scaler(spark.createDataFrame([([None],)], "features array<double>"))) == [(0, None, None)]
+
+
 def test_metrics_edges(spark):
     s = spark.createDataFrame([("a", 1, 0.9, 1), ("a", 0, 0.9, 1), ("a", 0, 0.1, 0), ("b", 0, 0.2, 0)], "split string, label int, prob double, pred int")
     got = {r["split"]: r for r in evaluate.evaluate_splits(s).collect()}
