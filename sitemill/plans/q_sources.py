@@ -48,7 +48,7 @@ def q_read_headerless(spark, d):
 
 @query("read_fasta", "SELECT 'p' || p_partkey AS id, replace(p_name, ' ', '') || upper(replace(p_type, ' ', '')) AS sequence FROM part")
 def q_read_fasta(spark, d):
-    record = F.concat(F.lit(">p"), F.col("p_partkey").cast("string"), F.lit(" some words\n"), "p_name", F.lit("\n"), F.upper("p_type"))
+    record = F.concat(F.lit(">p"), F.col("p_partkey").cast("string"), F.lit(" some > words\n"), "p_name", F.lit("\n"), F.upper("p_type"))
     return readers.read_fasta(spark, _text(T(spark, d, "part").select(record.alias("value")), "fasta"))
 
 
@@ -63,7 +63,7 @@ def q_read_cluster_listing(spark, d):
 _CIF_HEAD = "\n".join(["loop_", *[f"_atom_site.{c}" for c in ("group_PDB", "id", "type_symbol", "label_atom_id", "label_comp_id", "label_asym_id", "label_seq_id", "Cartn_x", "Cartn_y", "Cartn_z")]])
 
 
-@query("read_atoms", "SELECT vec_id AS \"serial\", CASE WHEN label < 5 THEN 'ATOM' ELSE 'HETATM' END AS \"group\", CASE WHEN label < 5 THEN (vec_id % 50)::INT ELSE -1 END AS seq_id, round(embedding[1]::DOUBLE * 10, 3) AS x FROM embeddings")
+@query("read_atoms", "SELECT vec_id AS \"serial\", CASE WHEN label < 5 THEN 'ATOM' ELSE 'HETATM' END AS \"group\", CASE WHEN label < 5 THEN (vec_id % 50)::INT ELSE -1 END AS seq_id, round(embedding[1]::DOUBLE * 10, 3) AS x, round(embedding[2]::DOUBLE * 10, 3) AS y, round(embedding[3]::DOUBLE * 10, 3) AS z FROM embeddings")
 def q_read_atoms(spark, d):
     """A file for each of some entries; the serial number stands in the atom's name."""
     e = T(spark, d, "embeddings")
@@ -75,7 +75,7 @@ def q_read_atoms(spark, d):
     files = e.groupBy(F.floor(F.col("vec_id") / 1000).alias("f")).agg(F.concat(F.lit(_CIF_HEAD + "\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n#\nshort line\n")).alias("value"))
     path = scratch(spark, "structures")
     files.repartition(F.col("f")).write.partitionBy("f").text(path)
-    return readers.read_atoms(spark, f"{path}/*/*").select(F.split_part("atom", F.lit(" "), F.lit(2)).cast("long").alias("serial"), "group", "seq_id", "x")
+    return readers.read_atoms(spark, f"{path}/*/*").select(F.split_part("atom", F.lit(" "), F.lit(2)).cast("long").alias("serial"), "group", "seq_id", "x", "y", "z")
 
 
 _MOD_HEAD = "\n".join(["loop_", *[f"_pdbx_struct_mod_residue.{c}" for c in ("id", "label_asym_id", "label_seq_id", "label_comp_id", "parent_comp_id")]])

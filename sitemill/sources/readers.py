@@ -1,17 +1,16 @@
-"""Text sources as DataFrames. Only the structure-file loops need Python workers, one file a row."""
+"""Text sources as DataFrames. Files of blocks are read by lines, whose headers are carried on, so that any file may be read by many tasks."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitemill.functions.scalar import quoted_tokens
-from sitemill.functions.shipping import ship_package
 from sitemill.operators.curate import keyword_flag
 
 
@@ -50,31 +49,68 @@ def read_sites(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     return out.withColumns({"pdb_id": part(1), "chain_id": part(2), "lig_id": part(3), "lig_chain": part(4)}).drop("_file")
 
 
+def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, block, line_no, line) of text files: lines count from 0 within their file, a block is a split that a task reads.
+
+    In two levels, so that a large file is read by many tasks: a scan counts the lines of each split, the few counts of a file are summed
+    on, and the second scan adds them to each line's place within its split.
+    """
+    meta = F.col("_metadata")
+    rows = spark.read.text(path if isinstance(path, str) else list(path))
+    rows = rows.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
+    blocks = rows.groupBy("file", "block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    # A split's lines are read together, so their places follow one another.
+    return rows.join(blocks, ["file", "block"]).select("file", "block", (F.col("_at") - F.col("_first") + F.col("_before")).alias("line_no"), "line")
+
+
+def under_headers(lines: DataFrame, header: Column) -> DataFrame:
+    """lines (file, block, line_no, line) with the last header at or above each, and the line it stands in (head_no); none: left out.
+
+    header: the header's value in its line, else null. The last header is carried on within a split by a window, and from one split of a
+    file to the next over the splits' last headers, which are few.
+    """
+    seen = lines.withColumn("_h", F.when(header.isNotNull(), F.struct(F.col("line_no").alias("head_no"), header.alias("header"))))
+    within = W.partitionBy("file", "block").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    last = seen.groupBy("file", "block").agg(F.max("_h").alias("_last"))
+    carried = F.last("_last", ignorenulls=True).over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    last = last.select("file", "block", carried.alias("_carried"))
+    out = seen.withColumn("_h", F.last("_h", ignorenulls=True).over(within)).join(last, ["file", "block"])
+    return out.withColumn("_h", F.coalesce("_h", "_carried")).filter(F.col("_h").isNotNull()).select(*lines.columns, "_h.head_no", "_h.header")
+
+
+def _captured(text: Column, pattern: str) -> Column:
+    """The first group of the pattern, null where it does not match."""
+    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, 1))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, sequence) of a multi-line FASTA file: the header's first token, lines joined."""
-    rows = spark.read.text(path, lineSep=">").filter(F.trim("value") != "")
-    head = F.regexp_extract("value", r"^([^\s]*)", 1)
-    body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"\s+", "")
-    return rows.select(head.alias("id"), body.alias("sequence"))
+    """(id, sequence) of a multi-line FASTA file: the first token of a line that begins with >, and the lines below it joined.
+
+    Lines above the first header are left out; a header without lines has an empty sequence; repeated headers are records of their own.
+    """
+    rows = under_headers(numbered_lines(spark, path), _captured(F.col("line"), r"^>(\S*)"))
+    body = F.when(F.col("line_no") == F.col("head_no"), "").otherwise(F.regexp_replace("line", r"\s+", ""))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", body.alias("body")))), lambda x: x["body"]), "")
+    return rows.groupBy("file", "head_no").agg(F.first("header").alias("id"), joined.alias("sequence")).select("id", "sequence")
 
 
 def read_cluster_listing(spark: SparkSession, path: str) -> DataFrame:
-    """(cluster_id, pdb_chain) of blocks "Cluster# n" with members ">entry_chain"; the first underscore becomes a colon.
+    """(cluster_id, pdb_chain) of lines "Cluster# n" with members ">entry_chain" below; the first underscore becomes a colon.
 
-    The id stays a text, so numbers and names both do.
+    The id stays a text, so numbers and names both do. A member is a row of its own from the start, so a cluster of any size is many tasks'.
     """
-    rows = spark.read.text(path, lineSep="Cluster#").filter(F.trim("value") != "")
-    cluster = F.regexp_extract("value", r"^\s*(\S+)", 1)
-    members = F.regexp_extract_all(F.col("value"), F.lit(r">\s*(\S+)"), F.lit(1))
-    return rows.select(cluster.alias("cluster_id"), F.explode(members).alias("_m")).select("cluster_id", F.regexp_replace("_m", r"^([^_]*)_", "$1:").alias("pdb_chain"))
+    rows = under_headers(numbered_lines(spark, path), _captured(F.col("line"), r"Cluster#\s*(\S+)"))
+    members = F.regexp_extract_all(F.regexp_replace("line", r"^.*Cluster#\s*\S+", ""), F.lit(r">\s*(\S+)"), F.lit(1))
+    return rows.select(F.col("header").alias("cluster_id"), F.explode(members).alias("_m")).select("cluster_id", F.regexp_replace("_m", r"^([^_]*)_", "$1:").alias("pdb_chain"))
 
 
-_QUOTED = re.compile(r"'[^']*'(?=\s|$)|\"[^\"]*\"(?=\s|$)|\S+")
-
 ATOM_SCHEMA = (
     "pdb_id string, line_no long, group string, element string, atom string, comp string, asym string, seq_id int, auth_seq string, "
     "auth_asym string, model string, x double, y double, z double"
 )
+MODIFIED_SCHEMA = "pdb_id string, asym string, seq_id string, comp string, parent string"
 #: Column names of the atom loop, required ones first.
 _ATOM_COLUMNS = {
     "group": "group_PDB", "element": "type_symbol", "atom": "label_atom_id", "comp": "label_comp_id", "asym": "label_asym_id", "seq_id": "label_seq_id",
@@ -83,94 +119,78 @@ _ATOM_COLUMNS = {
 _ATOM_REQUIRED = 9
 
 
-def loop_rows(text: str, category: str) -> Iterator[tuple[int, dict[str, str]]]:
-    """(line number, values by column) of a category's loop; lines with too few tokens are skipped, columns are found by name."""
-    columns: list[str] = []
-    for number, line in enumerate(text.splitlines()):
-        line = line.strip()
-        if line.startswith(f"{category}."):
-            columns.append(line.split()[0].split(".", 1)[1])
-        elif columns:
-            if line.startswith(("#", "loop_", "_", "data_")) or not line:
-                return
-            tokens = [t[1:-1] if len(t) > 1 and t[0] == t[-1] and t[0] in "'\"" else t for t in _QUOTED.findall(line)]
-            if len(tokens) >= len(columns):
-                yield number, dict(zip(columns, tokens, strict=False))
-
-
-def _int(text: str | None) -> int:
-    try:
-        return int(text)
-    except (TypeError, ValueError):
-        return -1
-
-
-def _atoms(pdb_id: str, text: str) -> list[tuple]:
-    out = []
-    for number, r in loop_rows(text, "_atom_site"):
-        names = list(_ATOM_COLUMNS.values())
-        missing = [n for n in names[:_ATOM_REQUIRED] if n not in r]
-        if missing:
-            raise ValueError(f"{pdb_id}: the atom loop lacks {', '.join(missing)}")
-        try:
-            xyz = [float(r[_ATOM_COLUMNS[c]]) for c in "xyz"]
-        except ValueError:
-            continue
-        get = lambda c: r.get(_ATOM_COLUMNS[c])  # noqa: E731, B023
-        out.append((pdb_id, number, get("group"), get("element"), get("atom"), get("comp"), get("asym"), _int(get("seq_id")), get("auth_seq"), get("auth_asym"), get("model") or "1", *xyz))
-    return out
-
-
-MODIFIED_SCHEMA = "pdb_id string, asym string, seq_id string, comp string, parent string"
-
-
-def _modified(pdb_id: str, text: str) -> list[tuple]:
-    names = ("label_asym_id", "label_seq_id", "label_comp_id", "parent_comp_id")
-    return [(pdb_id, *[r.get(n) for n in names]) for _, r in loop_rows(text, "_pdbx_struct_mod_residue")]
-
-
-def _parsed(spark: SparkSession, glob: str, parse, schema: str) -> DataFrame:
-    """One task row a file; what a file gives depends on that file alone."""
-    ship_package(spark)
-    files = spark.read.text(glob, wholetext=True).select(F.lower(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]*)", 1)).alias("pdb_id"), "value")
-    types = T._parse_datatype_string(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
+#: Column names of the loop of modified residues.
+_MODIFIED_COLUMNS = {"asym": "label_asym_id", "seq_id": "label_seq_id", "comp": "label_comp_id", "parent": "parent_comp_id"}
 
-    arrow = to_arrow_schema(types)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pdb_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = parse(pdb_id, text)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
+def loop_rows(spark: SparkSession, glob: str, category: str) -> DataFrame:
+    """(pdb_id, line_no, columns, tokens) of each row of a category's first loop in each file; lines with too few tokens are left out.
 
-    return files.mapInArrow(rows, types)
+    The loop's column lines and its end are found first, one row a file; then every line between them is a row by itself, so that a large
+    file is read by many tasks. A blank line, or one that begins with #, loop_, data_ or another name, ends a loop.
+    """
+    lines = numbered_lines(spark, glob).withColumn("line", F.trim(F.regexp_replace("line", r"\s", " ")))
+    name = _captured(F.col("line"), rf"^{re.escape(category)}\.(\S*)")
+    ends = name.isNull() & F.col("line").rlike("^(#|loop_|_|data_|$)")
+    marks = lines.filter(name.isNotNull() | ends).select("file", "line_no", name.alias("name"))
+    first = marks.filter("name is not null").groupBy("file").agg(F.min("line_no").alias("start"))
+    marks = marks.join(first, "file").filter("line_no >= start")
+    names = F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("line_no", "name"))))
+    loops = marks.groupBy("file", "start").agg(F.min(F.when(F.col("name").isNull(), F.col("line_no"))).alias("stop"), names.alias("names"))
+    upto = F.coalesce("stop", F.lit((1 << 63) - 1))
+    loops = loops.select("file", "start", upto.alias("stop"), F.transform(F.filter("names", lambda x: x["line_no"] < upto), lambda x: x["name"]).alias("columns"))
+    quoted = F.regexp_extract_all("line", F.lit(r"""'[^']*'(?=\s|$)|"[^"]*"(?=\s|$)|\S+"""), F.lit(0))
+    bare = F.transform(quoted, lambda t: F.when(t.rlike(r"""^('.*'|".*")$"""), F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t))
+    rows = lines.join(loops, "file").filter((F.col("line_no") > F.col("start")) & (F.col("line_no") < F.col("stop")) & name.isNull())
+    pdb_id = F.lower(F.regexp_extract(F.url_decode(F.substring_index("file", "/", -1)), r"^([^.]*)", 1))
+    return rows.select(pdb_id.alias("pdb_id"), "line_no", "columns", bare.alias("tokens")).filter(F.size("tokens") >= F.size("columns"))
+
+
+def _column(name: str) -> Column:
+    """A loop row's value by the column's name, null where the loop has none."""
+    return F.get("tokens", F.when(F.array_contains("columns", name), F.array_position("columns", F.lit(name)).cast("int") - 1))
 
 
 def read_atoms(spark: SparkSession, glob: str) -> DataFrame:
-    """Atom rows of structure files. Columns are found by name; short and unparsable lines are skipped; a residue id that is no number
-    is -1; a file whose loop lacks a required column is an error."""
-    return _parsed(spark, glob, _atoms, ATOM_SCHEMA)
+    """Atom rows (ATOM_SCHEMA) of structure files. Columns are found by name; short and unparsable lines are skipped; a residue id that
+    is no number is -1; a file whose loop lacks a required column is an error. Only what is selected is parsed."""
+    rows = loop_rows(spark, glob, "_atom_site")
+    required = F.array(*[F.lit(n) for n in list(_ATOM_COLUMNS.values())[:_ATOM_REQUIRED]])
+    missing = F.array_except(required, F.col("columns"))
+    error = F.raise_error(F.concat("pdb_id", F.lit(": the atom loop lacks "), F.array_join(missing, ", "))).cast("boolean")
+    rows = rows.filter(F.when(F.size(missing) > 0, error).otherwise(True))
+    value = {k: _column(n) for k, n in _ATOM_COLUMNS.items()}
+    value |= {k: value[k].try_cast("double") for k in "xyz"}
+    value["seq_id"] = F.coalesce(value["seq_id"].try_cast("int"), F.lit(-1))
+    value["model"] = F.when(value["model"] != "", value["model"]).otherwise("1")
+    names = [f.name for f in T._parse_datatype_string(ATOM_SCHEMA)]
+    out = rows.select(*[value[k].alias(k) if k in value else F.col(k) for k in names])
+    return out.filter("x is not null and y is not null and z is not null")
 
 
 def read_modified_residues(spark: SparkSession, glob: str) -> DataFrame:
     """(pdb_id, asym, seq_id, comp, parent) of the structure files' modified residues."""
-    return _parsed(spark, glob, _modified, MODIFIED_SCHEMA)
+    return loop_rows(spark, glob, "_pdbx_struct_mod_residue").select("pdb_id", *[_column(n).alias(k) for k, n in _MODIFIED_COLUMNS.items()])
 
 
 def read_components(spark: SparkSession, path: str) -> DataFrame:
-    """One row per component block: id, type, chem_type, name, descriptors. A descriptor line counts only under its own block's id."""
-    blocks = spark.read.text(path, lineSep="\ndata_")
-    body = F.regexp_replace("value", "^data_", "")
-    ident = F.regexp_extract(body, r"^(\S+)", 1)
-    field = lambda tag: F.trim(F.regexp_replace(F.regexp_extract(body, rf"(?m)^_chem_comp\.{tag}[ \t]+(.*)$", 1), "^[\"']|[\"']$", ""))
-    last = lambda tag: F.element_at(F.concat(F.array(F.lit("")), quoted_tokens(F.regexp_extract(body, rf"(?m)^_chem_comp\.{tag}[ \t]+(.*)$", 1))), -1)
-    lines = F.filter(F.split(body, "\n"), lambda x: F.get(F.split(F.trim(x), r"\s+"), 0) == ident)
-    tokens = F.filter(F.transform(lines, quoted_tokens), lambda t: F.size(t) >= 5)
-    descriptor = lambda t: F.struct(F.get(t, 1).alias("dtype"), F.get(t, 2).alias("program"), F.element_at(t, -1).alias("value"))
-    kept = F.filter(F.transform(tokens, descriptor), lambda d: d["dtype"].rlike("(?i)^(SMILES|SMILES_CANONICAL|InChI|InChIKey)$"))
-    return blocks.filter(F.trim(body) != "").select(ident.alias("id"), last("pdbx_type").alias("type"), field("type").alias("chem_type"), field("name").alias("name"), kept.alias("descriptors"))
+    """One row per component (a line "data_ID" and those below): id, type, chem_type, name, descriptors in the order of their lines.
+
+    Of a field the first line counts. A descriptor line counts only under its own component's id.
+    """
+    rows = under_headers(numbered_lines(spark, path), _captured(F.col("line"), r"^data_(\S+)"))
+    line, first = F.col("line"), lambda value: F.min(F.when(value.isNotNull(), F.struct("line_no", value.alias("value"))))["value"]
+    field = lambda tag: _captured(line, rf"^_chem_comp\.{tag}[ \t]+(.*)$")
+    text = lambda tag: F.trim(F.regexp_replace(field(tag), "^[\"']|[\"']$", ""))
+    last = F.element_at(F.concat(F.array(F.lit("")), quoted_tokens(field("pdbx_type"))), -1)
+    tokens = quoted_tokens(line)
+    wanted = (F.get(F.split(F.trim(line), r"\s+"), 0) == F.col("header")) & (F.size(tokens) >= 5) & F.get(tokens, 1).rlike("(?i)^(SMILES|SMILES_CANONICAL|InChI|InChIKey)$")
+    found = F.when(wanted, F.struct("line_no", F.struct(F.get(tokens, 1).alias("dtype"), F.get(tokens, 2).alias("program"), F.element_at(tokens, -1).alias("value")).alias("d")))
+    # Each field is taken from its own lines, which are few beside a component's atoms.
+    kept = rows.select("file", "head_no", "header", "line_no", last.alias("type"), text("type").alias("chem_type"), text("name").alias("name"), found.alias("found"))
+    kept = kept.filter("line_no = head_no or type is not null or chem_type is not null or name is not null or found is not null")
+    out = kept.groupBy("file", "head_no").agg(F.first("header").alias("id"), *[F.coalesce(first(F.col(c)), F.lit("")).alias(c) for c in ("type", "chem_type", "name")], F.array_sort(F.collect_list("found")).alias("found"))
+    return out.select("id", "type", "chem_type", "name", F.transform("found", lambda x: x["d"]).alias("descriptors"))
 
 
 ENTITY_SCHEMA = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
@@ -305,6 +306,60 @@ def test_readers(spark, tmp_path):
     assert rows(readers.read_cluster_listing(spark, str(tmp_path / "c.txt"))) == [("0", "1abc:A"), ("0", "2def:B_x"), ("one", "3ghi:C")]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in splits of 4 KB."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in zip(keys, ("4096", "1", "64"), strict=True):
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_headers_are_carried_over_splits(spark, tmp_path, small_splits):
+    """Records far longer than a split, headers with a > inside, lines above the first header, several files."""
+    members = [f"{i}_A_{i}" for i in range(20_000)]
+    (tmp_path / "c1.txt").write_text("Cluster# 0\n" + "\n".join(f">{m}" for m in members) + "\nCluster# 1\nCluster# two\n>x_Y\n")
+    (tmp_path / "c2.txt").write_text(">lost_A\nCluster# 9\n>z_B\n")
+    lines = readers.numbered_lines(spark, str(tmp_path / "c1.txt"))
+    assert lines.select("block").distinct().count() > 20 and lines.agg(F.max("line_no"), F.count_distinct("line_no")).first()[:] == (20_003, 20_004)
+    got = readers.read_cluster_listing(spark, str(tmp_path / "c*.txt"))
+    assert sorted(map(tuple, got.collect())) == sorted([("0", m.replace("_", ":", 1)) for m in members] + [("two", "x:Y"), ("9", "z:B")])
+    draw = random.Random(2)
+    sequences = {f"s{i}": "".join(draw.choices("ACDEFG", k=n)) for i, n in enumerate([0, 5, 9000, 60, 30_000])}
+    fasta = "no header\n" + "".join(f">{k} a > b >c\n" + "".join(v[i : i + 60] + "\n" for i in range(0, len(v), 60)) for k, v in sequences.items())
+    (tmp_path / "f.fa").write_text(fasta)
+    assert {r["id"]: r["sequence"] for r in readers.read_fasta(spark, str(tmp_path / "f.fa")).collect()} == sequences
+    (tmp_path / "e.fa").write_text("")
+    assert readers.read_fasta(spark, str(tmp_path / "e.fa")).collect() == []
+    blocks = "".join(f"data_L{i}\n" + "".join(f"L{i} atom {k}\n" for k in range(300)) + f"_chem_comp.type  'kind {i}'\n_chem_comp.name \"n {i}\"\n_chem_comp.pdbx_type HETAIN\n_chem_comp.type later\n"
+                     + f'L{i} SMILES "a b" 1.7 "C{i}"\nOTHER SMILES x 1.0 "no"\nL{i} InChI p 1 I{i}\n' for i in range(30))
+    (tmp_path / "comp.cif").write_text(blocks)
+    got = {r["id"]: r for r in readers.read_components(spark, str(tmp_path / "comp.cif")).collect()}
+    assert len(got) == 30
+    for i in range(30):
+        r = got[f"L{i}"]
+        assert (r["type"], r["chem_type"], r["name"]) == ("HETAIN", f"kind {i}", f"n {i}")
+        assert [tuple(d) for d in r["descriptors"]] == [("SMILES", "a b", f"C{i}"), ("InChI", "p", f"I{i}")]
+
+
+def test_large_structure_file_in_many_tasks(spark, tmp_path, small_splits):
+    head = CIF.split("ATOM C")[0]
+    atoms = "".join(f"ATOM C \"C {i}\" ALA A {i % 50} {i}.5 -{i}.25 {i / 8}\n" for i in range(3000))
+    (tmp_path / "9xyz.v1.cif").write_text("#\n\n" + head + atoms + "#\nATOM C X ALA A 1 1 2 3\n")
+    (tmp_path / "1abc.cif").write_text(CIF)
+    out = readers.read_atoms(spark, str(tmp_path / "*.cif"))
+    got = {(r["pdb_id"], r["atom"]): (r["seq_id"], r["x"], r["y"], r["z"], r["line_no"]) for r in out.collect()}
+    assert len(got) == 3002 and all(got["9xyz", f"C {i}"] == (i % 50, i + 0.5, -i - 0.25, i / 8, i + 13) for i in range(3000))
+    plan = out.select("pdb_id", "x")._jdf.queryExecution().optimizedPlan().toString()
+    assert "auth_seq_id" not in plan and "pdbx_PDB_model_num" not in plan  # columns that nobody reads are not looked up
+    (tmp_path / "1abc.cif").write_text(CIF.replace("_atom_site.Cartn_z\n", ""))
+    with pytest.raises(Exception, match="1abc: the atom loop lacks Cartn_z"):
+        readers.read_atoms(spark, str(tmp_path / "*.cif")).collect()
+
+
 CIF = """data_1ABC
 loop_
 _atom_site.group_PDB
