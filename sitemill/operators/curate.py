@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -163,9 +164,15 @@ def conflict_members(df: DataFrame, key: str, other: str, nonempty: bool = False
 
 
 def duplicate_ids(df: DataFrame, keys: Sequence[str], order: str, id_col: str) -> DataFrame:
-    """Ids of the rows after the first, by order, of each key."""
-    w = W.partitionBy(*keys).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn > 1").select(id_col)
+    """Ids of the rows after the first, by order and then id, of each key; a null is a key like any other.
+
+    The first of each key is an aggregate that is joined back, so a key that many rows share, as blanks are, is no single task's.
+    """
+    rows = df.groupBy(*keys, order, id_col).agg(F.count("*").alias("_n"))
+    at = F.struct(order, id_col)
+    first = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min(at).alias("_first"))
+    met = rows.join(first, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))
+    return met.filter((at > F.col("_first")) | (F.col("_n") > 1)).select(id_col)
 
 
 def resolve_conflicts(df: DataFrame, id_col: str, smiles: str, inchi: str, order: str) -> tuple[DataFrame, DataFrame]:

@@ -11,10 +11,11 @@ from sitemill.operators.joins import atom_pairs, contacts_within, keep_sites_wit
 from sitemill.plans.registry import query, table
 
 CUTOFF = 0.8
-ENTRIES = 10
+#: Vectors of one entry: entries grow in number with the table, not in size.
+ENTRY_ATOMS = 100
 
 ATOMS_SQL = f"""
-atoms AS (SELECT vec_id, vec_id % {ENTRIES} AS pdb_id, vec_id % 50 AS residue, label AS site, embedding[1]::DOUBLE * 10 AS x,
+atoms AS (SELECT vec_id, vec_id // {ENTRY_ATOMS} AS pdb_id, vec_id % 50 AS residue, label AS site, embedding[1]::DOUBLE * 10 AS x,
                  embedding[2]::DOUBLE * 10 AS y, embedding[3]::DOUBLE * 10 AS z FROM embeddings),
 p AS (SELECT * FROM atoms WHERE site < 5), l AS (SELECT * FROM atoms WHERE site >= 5),
 pairs AS (SELECT p.pdb_id, p.vec_id AS p_vec_id, l.vec_id AS l_vec_id, p.residue AS p_residue, l.site AS l_site,
@@ -29,7 +30,7 @@ labels AS (SELECT res.pdb_id, res.residue, sites.site, CASE WHEN EXISTS (SELECT
 
 def atoms(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     point = [(F.col("embedding")[i].cast("double") * 10).alias(c) for i, c in enumerate("xyz")]
-    a = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % ENTRIES).alias("pdb_id"), (F.col("vec_id") % 50).alias("residue"), F.col("label").alias("site"), *point)
+    a = table(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / ENTRY_ATOMS).alias("pdb_id"), (F.col("vec_id") % 50).alias("residue"), F.col("label").alias("site"), *point)
     return a.filter("site < 5"), a.filter("site >= 5")
 
 
@@ -50,6 +51,21 @@ def q_contacts_within(spark, d):
     return contacts_within(*atoms(spark, d), CUTOFF).select("pdb_id", "p_vec_id", "l_vec_id", "distance")
 
 
+@query(
+    "contacts_in_crowds",
+    """WITH a AS (SELECT l_orderkey // 2000 AS pdb_id, l_orderkey * 10 + l_linenumber AS id, l_linenumber <= 3 AS protein, CASE WHEN l_suppkey % 3 = 0 THEN 0.1 ELSE 4.0 END * (l_partkey % 17) AS x,
+                 CASE WHEN l_suppkey % 3 = 0 THEN 0.1 ELSE 4.0 END * (l_suppkey % 13) AS y, CASE WHEN l_suppkey % 3 = 0 THEN 0.1 ELSE 4.0 END * (l_orderkey % 11) AS z FROM lineitem)
+       SELECT p.pdb_id, p.id AS p_id, l.id AS l_id, round(sqrt((p.x - l.x) * (p.x - l.x) + (p.y - l.y) * (p.y - l.y) + (p.z - l.z) * (p.z - l.z)), 3) AS distance
+       FROM a p JOIN a l ON p.pdb_id = l.pdb_id AND p.protein AND NOT l.protein WHERE sqrt((p.x - l.x) * (p.x - l.x) + (p.y - l.y) * (p.y - l.y) + (p.z - l.z) * (p.z - l.z)) <= 0.75""",
+)
+def q_contacts_in_crowds(spark, d):
+    """A third of an entry's atoms crowd into one corner of it, where cells are cut into parts."""
+    step = F.when(F.col("l_suppkey") % 3 == 0, 0.1).otherwise(4.0)
+    point = [(step * (F.col(c) % m)).alias(x) for c, m, x in (("l_partkey", 17, "x"), ("l_suppkey", 13, "y"), ("l_orderkey", 11, "z"))]
+    a = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 2000).alias("pdb_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_linenumber") <= 3).alias("protein"), *point)
+    return contacts_within(a.filter("protein").drop("protein"), a.filter("not protein").drop("protein"), 0.75).select("pdb_id", "p_id", "l_id", "distance")
+
+
 @query("residue_labels", f"WITH {ATOMS_SQL}, {LABELS_SQL} SELECT pdb_id, residue, site, interacting FROM labels")
 def q_residue_labels(spark, d):
     return _labels(spark, d)

@@ -106,6 +106,33 @@ def test_grid_join_is_brute_force(spark, p, q):
     assert rows(joins.atom_pairs(a, b, 4.5).filter("interacting = 1"), "p_i", "l_i") == want
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_crowded_cells_are_cut(spark, monkeypatch, swap):
+    """A cell of a third of all atoms, cells around it, negative places, atoms on borders: as by brute force, with few far pairs."""
+    monkeypatch.setattr(joins, "CROWD", 8)
+    draw = np.random.default_rng(5)
+    a = np.concatenate([draw.normal(-3.0, 0.7, (400, 3)), draw.uniform(-12, 12, (500, 3)), draw.integers(-3, 3, (60, 3)) * 1.5])
+    b = np.concatenate([draw.normal(-3.0, 0.7, (150, 3)), draw.uniform(-12, 12, (100, 3)), draw.integers(-3, 3, (40, 3)) * 1.5])
+    frame = lambda x: spark.createDataFrame([(1, *map(float, p), i) for i, p in enumerate(x)] + [(1, None, 0.0, 0.0, -1)], "pdb_id int, x double, y double, z double, i int")
+    p, q = (frame(b), frame(a)) if swap else (frame(a), frame(b))
+    apart = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    want = {(int(j), int(i)) if swap else (int(i), int(j)) for i, j in zip(*np.nonzero(apart <= 1.5), strict=True)}
+    out = joins.contacts_within(p, q, 1.5)
+    got = [(r["p_i"], r["l_i"]) for r in out.select("p_i", "l_i").collect()]
+    assert set(got) == want and len(got) == len(want)
+    cells = joins.crowded_cells(p.select("pdb_id", *[(F.col(c) / 1.5).alias(c) for c in "xyz"]), ["x", "y", "z"], "pdb_id").collect()
+    assert cells and max(r["_level"] for r in cells) >= 1
+
+
+def test_duplicates_of_a_hot_key(spark):
+    """Blank and null keys, ties of the order, and a repeated row, which is a duplicate of itself."""
+    data = [("i1", "", None, 1), ("i2", "", None, 1), ("i3", "", None, 2), ("i4", "c", "x", 5), ("i5", "c", "x", 4), ("i6", "d", "x", 1), ("i7", "e", "y", 1), ("i7", "e", "y", 1)]
+    df = spark.createDataFrame(data, "id string, smiles string, inchi string, n int")
+    out = curate.duplicate_ids(df, ["smiles", "inchi"], "n", "id")
+    assert sorted(r["id"] for r in out.collect()) == ["i2", "i3", "i4", "i7"]
+    assert "Window" not in out._jdf.queryExecution().toString()
+
+
 def test_patch_lookup_and_sets(spark):
     df = spark.createDataFrame([("a", "unknown"), ("b", "unknown"), ("c", "man")], "k string, o string")
     fix = spark.createDataFrame([("a", "x"), ("a", "y"), ("c", "z")], "k string, o string")
