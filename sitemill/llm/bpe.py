@@ -6,6 +6,7 @@ import functools
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -16,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sitemill.llm.common import read, tokenizer_path
 
-#: Words, and texts between white space, whose tokens a worker remembers; beyond that it forgets them all and starts again.
-CACHE_WORDS = 400_000
-#: Longer strings are not remembered, so that the number of strings bounds the bytes.
-CACHE_CHARS = 48
+#: Bytes of each of a worker's three memories: of pairs, of words, and of texts between white space. A full one is emptied.
+CACHE_BYTES = 1 << 25
+#: What an entry takes beside its key's and value's own bytes, about: its place in the table and, of a pair, the pair.
+_ENTRY_BYTES = 104
 #: Where the last byte of a word lies in the automaton's alphabet: words end in symbols of their own.
 _WORD_END = 0x1000
 
@@ -37,13 +38,31 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
+class Memory(dict):
+    """A dictionary of bounded bytes: where an entry does not fit any more, all are forgotten; a key beyond the bound is not kept."""
+
+    def __init__(self, most: int = CACHE_BYTES):
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, key, value) -> None:
+        size = sys.getsizeof(key) + sys.getsizeof(value) + _ENTRY_BYTES
+        if size > self.most // 16:
+            return
+        if self.held + size > self.most:
+            self.clear()
+            self.held = 0
+        self[key] = value
+        self.held += size
+
+
 class PairTable:
     """Merges by rank: how each token splits, and which two tokens may stand side by side."""
 
     def __init__(self, merged: dict[tuple[int, int], int]):
         self.merged = merged
         self.halves = {token: pair for pair, token in merged.items()}
-        self._known: dict[tuple[int, int], bool] = {}
+        self._known = Memory()
 
     def fits(self, left: int, right: int) -> bool:
         """Whether encoding the two tokens' joined text gives just these two.
@@ -53,9 +72,8 @@ class PairTable:
         """
         key = (left, right)
         if (known := self._known.get(key)) is None:
-            if len(self._known) > 2_000_000:
-                self._known.clear()
-            known = self._known[key] = self._border_stands(left, right)
+            known = self._border_stands(left, right)
+            self._known.keep(key, known)
         return known
 
     def _border_stands(self, left: int, right: int) -> bool:
@@ -113,8 +131,7 @@ class WordBpe:
         self.blob = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         self.sizes = np.array([len(p) for p in pieces], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
-        self.known_words: dict[str, bytes] = {}
-        self.known_chunks: dict[str, bytes] = {}
+        self.known_words, self.known_chunks = Memory(), Memory()
 
     def encode_word(self, word: str) -> list[int]:
         data = word.encode("utf-8")
@@ -152,11 +169,8 @@ class WordBpe:
         out = []
         for word in self.words.findall(chunk):
             if (ids := self.known_words.get(word)) is None:
-                if len(self.known_words) >= CACHE_WORDS:
-                    self.known_words.clear()
                 ids = np.array(self.encode_word(word), dtype="<u4").tobytes()
-                if len(word) <= CACHE_CHARS:
-                    self.known_words[word] = ids
+                self.known_words.keep(word, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -166,15 +180,12 @@ class WordBpe:
             return self._chunk_ids(text)
         chunks, known = text.split(), self.known_chunks
         missing = set(chunks).difference(known)
-        if missing:
-            if len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
-                missing = set(chunks)
-            known.update((c, self._chunk_ids(c)) for c in missing)
-        out = b"".join(map(known.__getitem__, chunks))
-        for c in missing:
-            if len(c) > CACHE_CHARS:
-                del known[c]
+        if not missing:
+            return b"".join(map(known.__getitem__, chunks))
+        own = {c: self._chunk_ids(c) for c in missing}  # of this text only
+        out = b"".join([own[c] if c in own else known[c] for c in chunks])
+        for c, ids in own.items():
+            known.keep(c, ids)
         return out
 
     def encode(self, text: str) -> np.ndarray:

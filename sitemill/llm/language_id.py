@@ -19,14 +19,13 @@ from sitemill.llm.common import read
 #: a state of zeros in both directions, so no context crosses its borders, which may also lie within a character.
 RUN_BYTES = 96
 HIDDEN = 12
-#: The fitted sample: so many documents of each language at most, those of the smallest hashes, and of each so many windows of so many
-#: characters, spread evenly from its first character to its last.
-SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_CHARS = 400, 8, 288
-#: Every language with a labelled document is learned; more of them than this are an error, none is left out.
-MOST_LANGUAGES = 4096
+#: The fitted sample: so many documents of each language at most, those of the smallest hashes, and so many bytes of all languages
+#: together, an equal share of them for each. Texts are taken whole; of one that is larger than its language's share, windows of
+#: WINDOW_CHARS characters are, spread evenly from its first character to its last. Every language with a labelled document is learned.
+SAMPLE_DOCS, SAMPLE_BYTES, WINDOW_CHARS = 400, 1 << 25, 288
 _HASHES = 1 << 40
-#: Runs that a worker labels at a time.
-BATCH_RUNS = 2048
+#: Runs, and documents, that a worker labels at a time.
+BATCH_RUNS, BATCH_DOCS = 2048, 1024
 UNDETERMINED = "und"
 #: The pipeline turns documents away whose pooled probability is below this; a few short words of a known language reach about 0.35.
 MIN_SCORE = 0.3
@@ -152,18 +151,31 @@ class Network:
         """Best language (its index) and mean probability over all bytes of each text; an empty text has 0 and 0."""
         if not self.languages:
             return np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        data = [t.encode("utf-8") for t in texts]
-        runs = np.array([-(-len(b) // RUN_BYTES) for b in data], dtype=np.int64)
-        total = np.zeros((len(texts), len(self.languages)))
-        owner = np.repeat(np.arange(len(texts)), runs)
-        joined = np.frombuffer(b"".join(b.ljust(int(n) * RUN_BYTES, b"\0") for b, n in zip(data, runs, strict=True)), dtype=np.uint8).reshape(-1, RUN_BYTES)
-        sizes = np.array([len(b) for b in data], dtype=np.int64)
-        first = np.cumsum(runs) - runs
-        used = np.minimum(RUN_BYTES, sizes[owner] - (np.arange(len(owner)) - first[owner]) * RUN_BYTES)
-        for k in range(0, len(joined), BATCH_RUNS):
-            p = self.positions(joined[k : k + BATCH_RUNS])
-            p = p * (np.arange(RUN_BYTES) < used[k : k + BATCH_RUNS, None])[:, :, None]
-            np.add.at(total, owner[k : k + BATCH_RUNS], p.sum(axis=1, dtype=np.float64))
+        total, sizes = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        # Runs are laid out as they come, a full batch at a time, so that a text of any length needs no more than itself.
+        runs, used, owner, n = np.zeros((BATCH_RUNS, RUN_BYTES), np.uint8), np.zeros(BATCH_RUNS, np.int64), np.zeros(BATCH_RUNS, np.int64), 0
+
+        def label(n: int) -> None:
+            p = self.positions(runs[:n])
+            p *= (np.arange(RUN_BYTES) < used[:n, None])[:, :, None]
+            np.add.at(total, owner[:n], p.sum(axis=1, dtype=np.float64))
+
+        for i, text in enumerate(texts):
+            data = np.frombuffer(text.encode("utf-8"), np.uint8)
+            sizes[i], at = len(data), 0
+            while at < len(data):
+                m = min(BATCH_RUNS - n, -(-(len(data) - at) // RUN_BYTES))
+                part = data[at : at + m * RUN_BYTES]
+                runs[n + m - 1] = 0
+                runs[n : n + m].reshape(-1)[: len(part)] = part
+                used[n : n + m], owner[n : n + m] = RUN_BYTES, i
+                used[n + m - 1] = len(part) - (m - 1) * RUN_BYTES
+                n, at = n + m, at + len(part)
+                if n == BATCH_RUNS:
+                    label(n)
+                    n = 0
+        if n:
+            label(n)
         mean = total / np.maximum(sizes, 1)[:, None]
         return mean.argmax(axis=1), np.clip(mean.max(axis=1), 0.0, 1.0)
 
@@ -209,27 +221,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def sample(docs: DataFrame) -> list[tuple[str, str]]:
+    """(text, language) of the bounded sample of labelled documents that are not held out, in a fixed order; see SAMPLE_DOCS."""
+    labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    share = SAMPLE_BYTES // max(1, sizes.count())
+    # A share of each language's hashes that holds its sample many times over, so that few rows are ranked however many there are.
+    hashed = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(_HASHES))
+    rows = labelled.join(sizes, "lang").filter(hashed < F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_DOCS) / F.col("n")) * _HASHES)
+    size, length = F.octet_length("text"), F.length("text")
+    n_windows = F.greatest(F.lit(1), F.floor(F.lit(share / (4 * WINDOW_CHARS)))).cast("int")
+    window = lambda k: F.substring(F.col("text"), (F.greatest(length - WINDOW_CHARS, F.lit(0)) * k / F.greatest(n_windows - 1, F.lit(1))).cast("int") + 1, F.lit(WINDOW_CHARS))
+    spread = F.array_distinct(F.transform(F.sequence(F.lit(0), n_windows - 1), window))
+    rows = rows.select("lang", hashed.alias("h"), F.least(size, F.lit(share)).alias("size"), F.when(size <= share, F.array("text")).otherwise(spread).alias("parts"))
+    first = W.partitionBy("lang").orderBy("h", "parts")
+    ranked = rows.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SAMPLE_DOCS)
+    ranked = ranked.withColumn("before", F.sum("size").over(first.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")).filter(F.col("before") < share)
+    found = [(part, r["lang"]) for r in ranked.select("parts", "lang").toLocalIterator() for part in r["parts"]]
+    return sorted(found, key=lambda x: (x[1], x[0]))
+
+
 def fit(docs: DataFrame) -> Network:
-    """Trained on a bounded sample of labelled documents that are not held out: of each language SAMPLE_DOCS documents at most.
+    """Trained on the bounded sample of labelled documents that are not held out.
 
     Every language that has such a document is learned. Without any the network knows none.
     """
-    labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if not sizes:
-        return train([])
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    # A share of each language's hashes that holds its sample many times over, so that few rows are ranked however many there are.
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1.0, 4 * SAMPLE_DOCS / r["n"]) * _HASHES)))])
-    hashed = F.xxhash64("doc_id", F.length("text"))
-    last = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
-    window = lambda k: F.substring(F.col("text"), (last * k / (SAMPLE_WINDOWS - 1)).cast("int") + 1, F.lit(SAMPLE_CHARS))
-    rows = labelled.filter(F.pmod(hashed, F.lit(_HASHES)) < F.try_element_at(share, F.col("lang")))
-    rows = rows.select("lang", F.pmod(hashed, F.lit(_HASHES)).alias("h"), F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_WINDOWS - 1)), window)).alias("windows"))
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "windows"))).filter(F.col("rank") <= SAMPLE_DOCS)
-    found = [(part, r["lang"]) for r in ranked.select("windows", "lang").collect() for part in r["windows"]]
-    return train(sorted(found, key=lambda x: (x[1], x[0])))
+    return train(sample(docs))
 
 
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -253,8 +270,8 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for k in range(0, batch.num_rows, BATCH_DOCS):
+                part = batch.slice(k, BATCH_DOCS)
                 pred, score = _judge(net, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -270,8 +287,8 @@ def keep_known(docs: DataFrame, net: Network, min_score: float = MIN_SCORE) -> D
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for k in range(0, batch.num_rows, BATCH_DOCS):
+                part = batch.slice(k, BATCH_DOCS)
                 texts = part.column(at).to_pylist()
                 if net.languages:
                     keep = [p != UNDETERMINED and s >= min_score for p, s in zip(*_judge(net, texts), strict=True)]
