@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import random
+import hashlib
+import math
 from collections.abc import Callable, Mapping, Sequence
-from typing import Any
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from typing import Any, NamedTuple
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier
@@ -81,31 +84,96 @@ def train_network(train: DataFrame, val: DataFrame, params: Mapping[str, Any]) -
     return best
 
 
-def search(
-    train: DataFrame, val: DataFrame, space: Mapping[str, Sequence[Any]], n: int, seed: int, fit: Callable = train_boosted, history: Sequence[tuple[int, dict[str, Any], float]] = ()
-) -> tuple[dict[str, Any], float, list[tuple[int, dict[str, Any], float]]]:
-    """(best parameters, their validation F1, trials so far as (number, parameters, F1)) of n seeded draws from the space.
+@dataclass(frozen=True)
+class Uniform:
+    """Real numbers from low to high, evenly, or evenly in their logarithms."""
+
+    low: float
+    high: float
+    log: bool = False
+
+    def at(self, u: float) -> float:
+        return self.low * (self.high / self.low) ** u if self.log else self.low + u * (self.high - self.low)
+
+
+@dataclass(frozen=True)
+class Integers:
+    """Whole numbers from low to high, both included, in steps."""
+
+    low: int
+    high: int
+    step: int = 1
+
+    def at(self, u: float) -> int:
+        return self.low + self.step * int(u * ((self.high - self.low) // self.step + 1))
+
+
+@dataclass(frozen=True)
+class Rungs:
+    """Successive halving: all trials are fitted with the parameter at its first value, the best share of them with the next, and so on."""
 
-    A search goes on from the history of an earlier one of the same seed and space: what it holds is not fitted again. Equal draws are
-    fitted once. fit gives a model, or a model and its F1. train and val are kept while the search runs.
+    param: str
+    values: tuple[Any, ...]
+    keep: float = 1 / 3
+
+
+class Trial(NamedTuple):
+    number: int
+    params: dict[str, Any]
+    score: float
+    rung: int = 0
+
+
+def drawn(space: Mapping[str, Any], seed: int, number: int) -> dict[str, Any]:
+    """A trial's parameters. Each hangs on the seed, the trial's number and its own name alone: never on other trials or their order."""
+    out = {}
+    for name, values in sorted(space.items()):
+        u = int(hashlib.md5(f"{seed}:{number}:{name}".encode()).hexdigest()[:13], 16) / 16**13
+        out[name] = values.at(u) if hasattr(values, "at") else list(values)[int(u * len(values))]
+    return out
+
+
+def search(
+    train: DataFrame, val: DataFrame, space: Mapping[str, Any], n: int, seed: int, fit: Callable = train_boosted, history: Sequence[Trial] = (), parallelism: int = 1, rungs: Rungs | None = None
+) -> tuple[dict[str, Any], float, list[Trial]]:
+    """(best parameters, their validation F1, all fits as Trial) of n seeded draws from the space: lists, Uniform and Integers by name.
+
+    Up to parallelism fits run at a time, each a set of Spark jobs in a scheduler pool of its own; the result is the same for any number.
+    With rungs a trial that is not among the best of its rung is fitted no further, and the best of the last rung wins; ties go to the
+    smaller number. A search goes on from the history of an earlier one of the same seed, space and rungs: what it holds is not fitted
+    again. Equal draws are fitted once. fit gives a model, or a model and its F1. train and val are kept while the search runs.
     """
-    draw, trials = random.Random(seed), []
-    known = {number: score for number, _, score in history}
+    known = {(t.number, t.rung): t.score for t in history}
     by_params: dict[str, float] = {}
+    trials: list[Trial] = []
+    context = train.sparkSession.sparkContext
     train, val = train.persist(), val.persist()
+
+    def one(number: int, params: dict[str, Any]) -> float:
+        context.setLocalProperty("spark.scheduler.pool", f"trial-{number % max(1, parallelism)}")
+        try:
+            made = fit(train, val, dict(params))
+            return made[1] if isinstance(made, tuple) else f1_of(made, val)
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
     try:
-        for number in range(n):
-            params = {k: draw.choice(list(v)) for k, v in sorted(space.items())}
-            score = known.get(number, by_params.get(repr(params)))
-            if score is None:
-                made = fit(train, val, params)
-                score = made[1] if isinstance(made, tuple) else f1_of(made, val)
-            by_params[repr(params)] = score
-            trials.append((number, params, score))
+        numbers = list(range(n))
+        with ThreadPoolExecutor(max(1, parallelism)) as threads:
+            for rung, value in enumerate(rungs.values if rungs else (None,)):
+                params = {k: drawn(space, seed, k) | ({rungs.param: value} if rungs else {}) for k in numbers}
+                by_params |= {repr(params[k]): known[k, rung] for k in numbers if (k, rung) in known}
+                new = {repr(params[k]): k for k in reversed(numbers) if repr(params[k]) not in by_params}
+                by_params |= dict(zip(new, threads.map(lambda k, p=params: one(k, p[k]), new.values()), strict=True))
+                now = [Trial(k, params[k], by_params[repr(params[k])], rung) for k in numbers]
+                trials += now
+                now.sort(key=lambda t: (-t.score, t.number))
+                if rungs and rung + 1 < len(rungs.values):
+                    numbers = sorted(t.number for t in now[: max(1, math.ceil(rungs.keep * len(now)))])
     finally:
         train.unpersist(), val.unpersist()
-    best = max(trials, key=lambda t: (t[2], -t[0]), default=(0, {}, -1.0))
-    return best[1], best[2], trials
+    best = now[0] if trials else Trial(0, {}, -1.0)
+    return best.params, best.score, trials
 
 
 def score_pairs(pairs: DataFrame, residues: DataFrame, ligands: DataFrame, scaler: DataFrame | None, model: Model, cut: float = 0.5) -> DataFrame:

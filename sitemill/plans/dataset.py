@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -138,6 +139,32 @@ def evaluate_model(model: Model, rows: DataFrame, k: int = 3, cut: float = 0.5)
     return evaluate.evaluate_splits(scores), evaluate.top_interactions(scores, k)
 
 
+def tuned(
+    rows: DataFrame, space: Mapping[str, Any], n: int, seed: int, path: str, fit: Callable = models.train_boosted, parallelism: int = 1, rungs: models.Rungs | None = None, k: int = 3
+) -> tuple[dict[str, Any], DataFrame, DataFrame]:
+    """(best parameters, metrics of each split, its k best interactions) from a search to the evaluated model; rows: see evaluate_model.
+
+    The best parameters' model is fitted once more, saved under path and read again, and what is read must score every row as the one in
+    memory does: it is the one that is evaluated. The metrics are a table beside it, so that a later run finds both.
+    """
+    from pyspark.ml.util import DefaultParamsReader
+
+    train, val = (rows.filter(F.col("split") == s).select("features", "label") for s in ("train", "val"))
+    params, _, _ = models.search(train, val, space, n, seed, fit, parallelism=parallelism, rungs=rungs)
+    made = fit(train, val, params)
+    model = made[0] if isinstance(made, tuple) else made
+    model.write().overwrite().save(f"{path}/model")
+    again = DefaultParamsReader.loadParamsInstance(f"{path}/model", rows.sparkSession)
+    vectors = rows.select("key", "ord", array_to_vector(F.col("features").cast("array<double>")).alias("features"))
+    told = lambda m: m.transform(vectors).select("key", "ord", vector_to_array("probability")[1].alias("prob"))
+    parity = evaluate.prediction_parity(told(model), told(again), ["key", "ord"]).first()
+    if parity["all_close"] is False:
+        raise ValueError(f"the saved model scores rows otherwise, by up to {parity['max_abs']}")
+    metrics, best = evaluate_model(again, rows, k)
+    metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    return params, metrics, best
+
+
 def examples(data: Dataset, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(examples with their split, scaler): vectors of both sides in one, scaled by the train split's entities, each counted once."""
     own = data.interactions.join(splits, "key")

@@ -97,3 +97,12 @@ def test_trained_model_to_best_interactions(spark):
     metrics, best = dataset.evaluate_model(model, df, 2)
     assert {(r["split"], r["f1"], r["auc"]) for r in metrics.collect()} == {("train", 1.0, 1.0), ("val", 1.0, 1.0)}
     assert best.count() == 4 and all(r["y_true"] == r["y_pred"] for r in best.collect())
+
+
+def test_from_a_search_to_the_evaluated_model(spark, tmp_path):
+    rows = [("train" if i % 3 else "val", f"k{i // 6}", i % 6, int(i % 2), [float(i % 2), float(i % 5)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "split string, key string, ord int, label int, features array<double>")
+    space = {"maxDepth": models.Integers(1, 3), "stepSize": models.Uniform(0.01, 0.3, log=True), "seed": [1]}
+    params, metrics, best = dataset.tuned(df, space, 2, 7, str(tmp_path / "run"), rungs=models.Rungs("maxIter", (1, 2), 0.5), parallelism=2, k=1)
+    assert params["maxIter"] == 2 and {(r["split"], r["f1"]) for r in metrics.collect()} == {("train", 1.0), ("val", 1.0)} and best.count() == 2
+    assert spark.read.parquet(str(tmp_path / "run" / "metrics")).count() == 2

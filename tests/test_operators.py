@@ -446,6 +446,37 @@ def test_encoders_and_models(spark):
     assert models.search(data, data, space, 2, 0, fit, trials)[2] == trials and len(fitted) == done
 
 
+def test_search_is_the_same_however_many_run_at_once(spark):
+    """Ranges, rungs and resumes: scores hang on parameters alone, slow fits end last, and no stopped trial was among the best of its rung."""
+    import time
+
+    df, fitted = spark.createDataFrame([(1,)], "x int"), []
+
+    def fit(train, val, params):
+        fitted.append(params)
+        time.sleep(0.05 * params["b"] / 9)
+        return None, round(params["a"] * params["step"] + params["b"], 3) % 1
+
+    space = {"a": models.Uniform(1e-4, 1.0, log=True), "b": models.Integers(3, 9, 3), "c": ["x", "y"]}
+    rungs = models.Rungs("step", (1, 3, 9), 0.4)
+    want = models.search(df, df, space, 12, 5, fit, rungs=rungs)
+    n_fits = len(fitted)
+    assert want[:2] == models.search(df, df, space, 12, 5, fit, parallelism=6, rungs=rungs)[:2]
+    assert models.search(df, df, space, 12, 5, fit, parallelism=4, rungs=rungs)[2] == want[2]
+    by = {r: [t for t in want[2] if t.rung == r] for r in range(3)}
+    assert [len(by[r]) for r in range(3)] == [12, 5, 2] and n_fits <= 19
+    for r in (0, 1):
+        on = {t.number for t in by[r + 1]}
+        assert max((-t.score, t.number) for t in by[r] if t.number in on) < min((-t.score, t.number) for t in by[r] if t.number not in on)
+    assert want[1] == max(t.score for t in by[2])
+    fitted.clear()
+    assert models.search(df, df, space, 12, 5, fit, history=want[2], rungs=rungs) == want and not fitted
+    draws = [models.drawn(space, 5, k) for k in range(300)]
+    assert all(1e-4 <= p["a"] <= 1 and p["b"] in (3, 6, 9) for p in draws) and {p["b"] for p in draws} == {3, 6, 9} and {p["c"] for p in draws} == {"x", "y"}
+    assert 0.4 < sum(p["a"] < 1e-2 for p in draws) / 300 < 0.6  # even in the logarithm
+    assert models.search(df, df, space, 0, 5, fit)[0] == {}
+
+
 def test_network_keeps_its_best_state_and_weighs_positives(spark, monkeypatch):
     rows = spark.createDataFrame([([float(i % 10 == 0), float(i % 7)], int(i % 10 == 0)) for i in range(200)], "features array<double>, label int")
     assert models._weighted(rows, 3.0).filter("label = 1").count() == 60 and models._weighted(rows, 1.5).filter("label = 0").count() == 180
