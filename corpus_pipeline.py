@@ -51,11 +51,17 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL expresses neither the network nor the packing; tests compare each stage with a brute-force version.
+#: SQL expresses neither the network nor the packing. Tests hold each stage's operator against brute force, and the stages one after
+#: another against what made-up documents must come to.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the whole of documents, each stage written and read again by the next.
+
+    A null or empty text, or one without letters, goes with the first stage; a null doc_id or source stays as it is; columns beyond those
+    of documents are carried to the last stage. An empty table, or one of which no document stays, gives no rows with the same columns.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = shared_table(stage(spark, docs, sf_dir), f"pipeline-{name}")

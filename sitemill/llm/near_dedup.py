@@ -378,7 +378,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     A document's set holds its distinct word shingles; with fewer words the whole sequence is one. Documents are linked where 100 *
     intersection >= percent * union; component_id is the smallest doc_id that links reach. Null, empty and blank texts have no set and
     are linked with nothing, and neither are rows without doc_id (their component_id is null). Rows that repeat a doc_id count as one
-    document where they fall in the same component. Equal sets are one class, so groups of copies cost one row beyond their count.
+    document where they fall in the same component. Equal sets are one class, so groups of copies cost one row beyond their count; sets
+    count as equal by their size and two 64-bit sums over their shingles' hashes, and only links between classes are confirmed on sets.
     """
     trees = n_trees(percent)
     keyed = docs.select(F.col("doc_id").cast("long").alias("did"), F.xxhash64("text").alias("th"), "text")
