@@ -176,13 +176,14 @@ def search(
     return best.params, best.score, trials
 
 
-def score_pairs(pairs: DataFrame, residues: DataFrame, ligands: DataFrame, scaler: DataFrame | None, model: Model, cut: float = 0.5) -> DataFrame:
+def score_pairs(pairs: DataFrame, ids: DataFrame, residues: DataFrame, ligands: DataFrame, scaler: DataFrame | None, model: Model, cut: float = 0.5) -> DataFrame:
     """A probability and label for each residue of each pair (pdb, chain, lig_id, sequence, smiles).
 
-    residues: sequence, ord, features; ligands: smiles, features, keyed by the text itself, so an id with two texts keeps both.
+    ids: seq_id, sequence; residues: seq_id, ord, features; ligands: smiles, features, keyed by the text itself, so an id with two texts
+    keeps both. A pair's sequence becomes its number before it is dealt out by residues, so no residue carries a text but the ligand's.
     """
-    rows = residue_ordinal(pairs.distinct()).withColumn("ord", F.col("position") - 1)
-    rows = rows.join(residues.withColumnRenamed("features", "_r"), ["sequence", "ord"]).join(ligands.withColumnRenamed("features", "_l"), "smiles")
+    rows = residue_ordinal(pairs.distinct().join(ids, "sequence")).withColumn("ord", F.col("position") - 1).drop("sequence")
+    rows = rows.join(residues.withColumnRenamed("features", "_r"), ["seq_id", "ord"]).join(ligands.withColumnRenamed("features", "_l"), "smiles")
     rows = rows.withColumn("features", F.concat(F.col("_r").cast("array<double>"), F.col("_l").cast("array<double>"))).drop("_r", "_l")
     if scaler is not None:
         rows = apply_scaler(rows, scaler)

@@ -184,4 +184,5 @@ def score_new(
     columns = ("pdb", "chain", "lig_id", "sequence", "smiles")
     bound = curate.drop_blank(curate.bind_columns(pairs, columns), ["sequence", "smiles"])
     bound = bound.withColumn("sequence", scalar.clean_sequence(F.col("sequence"))).distinct()
-    return models.score_pairs(bound, encoders.with_residue_vectors(bound, residue_encoder), encoders.with_ligand_vectors(bound, ligand_encoder, names), scaler, model, cut)
+    ids = encoders.sequence_ids(bound)
+    return models.score_pairs(bound, ids, encoders.encode_sequences(ids, residue_encoder), encoders.with_ligand_vectors(bound, ligand_encoder, names), scaler, model, cut)

@@ -153,17 +153,18 @@ def q_write_examples(spark, d):
     return spark.read.schema("id long, y_true array<bigint>").json(path)
 
 
-@query("with_residue_vectors", "WITH s AS (SELECT DISTINCT upper(replace(p_name, ' ', '')) AS sequence FROM part) SELECT sequence, (i - 1)::INT AS ord, (strpos('ACDEFGHIKLMNPQRSTVWYX', sequence[i]) > 0)::INT AS total FROM s, unnest(generate_series(1, length(sequence))) AS g(i)")
+@query("with_residue_vectors", "WITH s AS (SELECT DISTINCT upper(replace(p_name, ' ', '')) AS sequence FROM part) SELECT sequence, (i - 1)::INT AS ord, strpos('ACDEFGHIKLMNPQRSTVWYX', sequence[i])::INT AS place, (strpos('ACDEFGHIKLMNPQRSTVWYX', sequence[i]) > 0)::INT AS total FROM s, unnest(generate_series(1, length(sequence))) AS g(i)")
 def q_with_residue_vectors(spark, d):
     seqs = T(spark, d, "part").select(F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("sequence"))
     out = encoders.with_residue_vectors(seqs, encoders.one_hot_residues)
-    return out.select("sequence", "ord", F.aggregate("features", F.lit(0.0), lambda a, x: a + x).cast("int").alias("total"))
+    place = F.array_position("features", F.lit(1.0).cast("float")).cast("int")
+    return out.select("sequence", "ord", place.alias("place"), F.aggregate("features", F.lit(0.0), lambda a, x: a + x).cast("int").alias("total"))
 
 
-@query("with_ligand_vectors", "WITH s AS (SELECT DISTINCT p_name AS smiles FROM part) SELECT smiles, (length(smiles) - length(replace(smiles, 'C', '')))::INT AS n_c FROM s")
+@query("with_ligand_vectors", "WITH s AS (SELECT DISTINCT p_name AS smiles FROM part) SELECT smiles, list_transform(['C', 'N', 'O', 'S', 'P', 'F', 'Cl', 'Br', 'I', '=', '#', '(', '[', '1', '2'], lambda t: len(list_filter(regexp_extract_all(smiles, 'Cl|Br|.'), lambda x: x = t))::INT) AS counts FROM s")
 def q_with_ligand_vectors(spark, d):
     out = encoders.with_ligand_vectors(T(spark, d, "part").select(F.col("p_name").alias("smiles")), encoders.count_tokens, encoders.TOKENS)
-    return out.select("smiles", F.get("features", 0).cast("int").alias("n_c"))
+    return out.select("smiles", F.transform("features", lambda x: x.cast("int")).alias("counts"))
 
 
 #: Labels by the vectors' own classes; beside the whole embedding stands a component that tells them, so what a sound model says is known.
@@ -249,5 +250,6 @@ def q_score_pairs(spark, d):
 
     scaled = apply_scaler(rows, scaler)
     model = models.train_boosted(scaled.filter("ord % 3 = 1"), scaled.filter("ord % 3 = 2"), _TREES)
-    out = models.score_pairs(p, residues, ligands, scaler, model)
+    ids = encoders.sequence_ids(p)
+    out = models.score_pairs(p, ids, encoders.encode_sequences(ids, lambda texts: [encoders.one_hot_residues(s) for s in texts], lists=True), ligands, scaler, model)
     return out.withColumn("agrees", (F.col("probability") >= 0.5) == (F.col("pred") == 1)).drop("probability")

@@ -446,6 +446,30 @@ def test_encoders_and_models(spark):
     assert models.search(data, data, space, 2, 0, fit, trials)[2] == trials and len(fitted) == done
 
 
+def test_encoders_of_lists_get_like_lengths(spark):
+    """Calls hold like lengths and bounded padding, results are those of one by one, and pairs are scored without texts in the exchange."""
+    draw = random.Random(7)
+    texts = ["".join(draw.choices("ACDEFG", k=draw.choice([0, 1, 30, 31, 33, 400, 9000, 20_000]))) for _ in range(60)]
+    calls = list(encoders.like_lengths(sorted(enumerate(texts), key=lambda x: len(x[1]))))
+    assert sum(map(len, calls)) == 60 and len(calls) < 20
+    for call in calls:
+        sizes = [len(s) for _, s in call]
+        assert len(call) == 1 or max(sizes) * len(call) <= encoders.CALL_RESIDUES and max(sizes) <= encoders.LIKE * min(sizes)
+    df = spark.createDataFrame([(s,) for s in texts if len(s) < 1000] + [(None,)], "sequence string")
+    both = lambda texts: [encoders.one_hot_residues(s) for s in texts]
+    assert rows(encoders.with_residue_vectors(df, both, lists=True)) == rows(encoders.with_residue_vectors(df, encoders.one_hot_residues))
+    with pytest.raises(Exception, match="0 results for"):
+        encoders.with_residue_vectors(df, lambda texts: [], lists=True).collect()
+    data = spark.createDataFrame([([float(i % 2)] * 36, i % 2) for i in range(20)], "features array<double>, label int")
+    model = models.train_boosted(data, data, {"maxIter": 1, "maxDepth": 1, "seed": 1})
+    pairs = spark.createDataFrame([("p", "A", "l", "ACD", "CC")], "pdb string, chain string, lig_id string, sequence string, smiles string")
+    ids = encoders.sequence_ids(pairs)
+    out = models.score_pairs(pairs, ids, encoders.encode_sequences(ids, encoders.one_hot_residues), encoders.with_ligand_vectors(pairs, encoders.count_tokens, encoders.TOKENS), None, model)
+    assert [r["residue"] for r in out.orderBy("position").collect()] == ["A", "C", "D"]
+    scored = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Project" in scored and all("sequence#" not in line for line in scored.split("\n") if "_r#" in line)
+
+
 def test_search_is_the_same_however_many_run_at_once(spark):
     """Ranges, rungs and resumes: scores hang on parameters alone, slow fits end last, and no stopped trial was among the best of its rung."""
     import time
