@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from sitemill.functions import scalar
 from sitemill.operators import chains, curate, encoders, evaluate, features, joins, models, splitting
 from sitemill.plans.registry import stored
+from sitemill.sources import sinks
+from sitemill.sources.sinks import ENTITY_KEYS
 
 
 def site_labels(atoms: DataFrame, ligands: DataFrame, cutoff: float = 4.5) -> DataFrame:
@@ -84,6 +86,16 @@ def clean(data: Dataset) -> Dataset:
     return Dataset(data.interactions, residues, ligands)
 
 
+def laid_out(data: Dataset, name: str, path: str | None = None, buckets: int | None = None) -> Dataset:
+    """The dataset with its entities as bucketed tables (name_protein_residues, name_ligand_features) by the keys that examples join on.
+
+    Without a number of buckets there are as many as shuffle partitions, which is what lets a join leave them where they are.
+    """
+    n = buckets or int(data.interactions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lay = lambda df, k: sinks.write_bucketed(df, f"{name}_{k}", ENTITY_KEYS[k], n, path and f"{path}/{k}")
+    return Dataset(data.interactions, lay(data.protein_residues, "protein_residues"), lay(data.ligand_features, "ligand_features"))
+
+
 def split_base(data: Dataset, config: splitting.SplitConfig) -> DataFrame:
     """(key, split) by entry, sequence and ligand: blind sets, whole groups for the rest, set-aside groups in test."""
     group = splitting.group_key(F.col("pdb_id"), F.col("sequence_1l"), F.col("lig_site"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sitemill.functions import scalar
 from sitemill.operators import evaluate, features, joins
-from sitemill.plans.registry import query, stored, table
+from sitemill.plans import dataset
+from sitemill.plans.registry import query, scratch, stored, table
 
 T = table
 #: The whole embedding of 64, then a constant, one that is NaN where vec_id % 100 = 0 and one that is infinite where it is 1.
@@ -131,24 +134,42 @@ def interactions(spark, d):
     )
 
 
-@query(
-    "assemble_examples",
-    f"""WITH {_INTERACTIONS_SQL}, u AS (SELECT key, pdb_id, lig_site, (k - 1)::INT AS ord, targets[k] AS label FROM i, unnest(generate_series(1, len(targets))) AS s(k)),
+_EXAMPLES_SQL = f"""WITH {_INTERACTIONS_SQL}, u AS (SELECT key, pdb_id, lig_site, (k - 1)::INT AS ord, targets[k] AS label FROM i, unnest(generate_series(1, len(targets))) AS s(k)),
     c AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS f FROM embeddings)
-    SELECT key, ord, label, r.f[1] AS first_residue, r.f[64] AS last_residue, l.f[1] AS first_ligand, l.f[64] AS last_ligand, len(r.f) + len(l.f) AS width
-    FROM u, c JOIN e r ON r.vec_id = (u.pdb_id + 31 * u.ord) % c.n JOIN e l ON l.vec_id = u.lig_site % c.n WHERE l.vec_id <> 7""",
-)
+    SELECT key, ord, label, round(list_sum(list_transform(list_concat(r.f, l.f), lambda x, i: x * i)), 6) AS weighted, r.f[1] AS first_residue, r.f[64] AS last_residue, l.f[1] AS first_ligand, l.f[64] AS last_ligand, len(r.f) + len(l.f) AS width
+    FROM u, c JOIN e r ON r.vec_id = (u.pdb_id + 31 * u.ord) % c.n JOIN e l ON l.vec_id = u.lig_site % c.n WHERE l.vec_id <> 7"""
+
+
+@query("assemble_examples", _EXAMPLES_SQL)
 def q_assemble_examples(spark, d):
     """A residue for every target, a ligand for every site but those of vector 7; vectors are taken round the whole table."""
+    return _shown(joins.assemble_examples(*_sides(spark, d)))
+
+
+@query("assemble_bucketed", _EXAMPLES_SQL)
+def q_assemble_bucketed(spark, d):
+    """The same examples from entities that lie in buckets by the keys of the join."""
+    name = f"examples_{uuid.uuid4().hex}"
+    data = dataset.laid_out(dataset.Dataset(*_sides(spark, d)), name, scratch(spark, "buckets"))
+    return _shown(joins.assemble_examples(data.interactions, data.protein_residues, data.ligand_features))
+
+
+def _sides(spark, d):
     e = T(spark, d, "embeddings")
     n = e.count()
     own = stored(interactions(spark, d), "interactions")
     keys = own.select("pdb_id", "chain_id", F.explode(F.sequence(F.lit(0), F.size("targets") - 1)).alias("ord"))
     residues = keys.withColumn("vec_id", (F.col("pdb_id") + 31 * F.col("ord")) % n).join(e, "vec_id").select("pdb_id", "chain_id", "ord", F.col("embedding").alias("features"))
     sites = own.select("lig_site").distinct().withColumn("vec_id", F.col("lig_site") % n).filter("vec_id <> 7")
-    out = joins.assemble_examples(own, residues, sites.join(e, "vec_id").select("lig_site", F.col("embedding").alias("features")))
+    return own, residues, sites.join(e, "vec_id").select("lig_site", F.col("embedding").alias("features"))
+
+
+def _shown(out):
+    """Some components as they are, and all of them in a sum that weighs each by its place."""
     pick = lambda k: F.round(F.get("features", k).cast("double"), 6)
-    return out.select("key", "ord", "label", pick(0).alias("first_residue"), pick(63).alias("last_residue"), pick(64).alias("first_ligand"), pick(127).alias("last_ligand"), F.size("features").alias("width"))
+    weighted = F.aggregate(F.transform("features", lambda x, i: F.round(x.cast("double"), 6) * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    picked = {"first_residue": 0, "last_residue": 63, "first_ligand": 64, "last_ligand": 127}
+    return out.select("key", "ord", "label", F.round(weighted, 6).alias("weighted"), *[pick(k).alias(c) for c, k in picked.items()], F.size("features").alias("width"))
 
 
 @query(

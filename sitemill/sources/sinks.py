@@ -25,6 +25,18 @@ def read_dataset(spark: SparkSession, path: str, names: Sequence[str]) -> dict[s
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int, path: str | None = None) -> DataFrame:
+    """df as a table in so many buckets of the keys, each one file that is sorted by them; read back.
+
+    A join on the keys reads the buckets as they lie: this side is neither shuffled nor sorted again, and the other side alone is dealt to
+    as many partitions. For what is joined again and again, as residue vectors are with each split's examples. The files lie in the
+    warehouse, or under path.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_partitioned(df: DataFrame, keys: Sequence[str], path: str) -> None:
     """Append the groups of keys that are not there yet; the keys found are read from the folder names alone.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sitemill.operators import encoders, models, splitting
+from sitemill.operators import encoders, joins, models, splitting
 from sitemill.plans import dataset
 
 RESIDUES = ["ALA", "CYS", "ASP", "GLU", "PHE", "GLY"]
@@ -106,3 +106,22 @@ def test_from_a_search_to_the_evaluated_model(spark, tmp_path):
     params, metrics, best = dataset.tuned(df, space, 2, 7, str(tmp_path / "run"), rungs=models.Rungs("maxIter", (1, 2), 0.5), parallelism=2, k=1)
     assert params["maxIter"] == 2 and {(r["split"], r["f1"]) for r in metrics.collect()} == {("train", 1.0), ("val", 1.0)} and best.count() == 2
     assert spark.read.parquet(str(tmp_path / "run" / "metrics")).count() == 2
+
+
+def test_bucketed_entities_are_not_shuffled(spark):
+    own = spark.createDataFrame([(f"k{i}", f"p{i % 7}", "A", f"s{i % 3}", [i % 2, 1, 0]) for i in range(40)], "key string, pdb_id string, chain_id string, lig_site string, targets array<int>")
+    residues = spark.createDataFrame([(f"p{i}", "A", k, [float(i), float(k)]) for i in range(7) for k in range(3)], "pdb_id string, chain_id string, ord int, features array<double>")
+    ligands = spark.createDataFrame([(f"s{i}", [float(i)]) for i in range(3)], "lig_site string, features array<double>")
+    data = dataset.laid_out(dataset.Dataset(own, residues, ligands), "bucket_test")
+    want = sorted(map(str, joins.assemble_examples(own, residues, ligands).collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.assemble_examples(data.interactions, data.protein_residues, data.ligand_features)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, out.collect())) == want and len(want) == 120
+        assert plan.count("Bucketed: true") == 2 and plan.count("Exchange hashpartitioning") == 2  # the examples, once for each join
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("protein_residues", "ligand_features"):
+            spark.sql(f"DROP TABLE bucket_test_{name}")
