@@ -24,6 +24,8 @@ HIDDEN = 12
 #: WINDOW_CHARS characters are, spread evenly from its first character to its last. Every language with a labelled document is learned.
 SAMPLE_DOCS, SAMPLE_BYTES, WINDOW_CHARS = 400, 1 << 25, 288
 _HASHES = 1 << 40
+#: Languages whose names and numbers of documents are broadcast; of more, documents are joined with them.
+FEW_LANGUAGES = 100_000
 #: Runs, and documents, that a worker labels at a time.
 BATCH_RUNS, BATCH_DOCS = 2048, 1024
 UNDETERMINED = "und"
@@ -225,7 +227,10 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     """(text, language) of the bounded sample of labelled documents that are not held out, in a fixed order; see SAMPLE_DOCS."""
     labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    share = SAMPLE_BYTES // max(1, sizes.count())
+    n_languages = sizes.count()
+    share = SAMPLE_BYTES // max(1, n_languages)
+    if n_languages <= FEW_LANGUAGES:
+        sizes = F.broadcast(sizes)  # so that texts are not shuffled to meet them
     # A share of each language's hashes that holds its sample many times over, so that few rows are ranked however many there are.
     hashed = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(_HASHES))
     rows = labelled.join(sizes, "lang").filter(hashed < F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_DOCS) / F.col("n")) * _HASHES)
