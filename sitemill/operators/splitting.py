@@ -83,7 +83,12 @@ def group_key(pdb: Column, sequence: Column, lig_site: Column) -> Column:
 def blind_entries(chains: DataFrame, sampled: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(blind entries, blind sequences): entries with a chain of a sampled sequence, then all sequences of these entries; one step."""
     entries = chains.join(sampled.select("sequence").distinct(), "sequence", "left_semi").select("pdb_id").distinct()
-    return entries, chains.join(entries, "pdb_id", "left_semi").select("sequence").filter("sequence is not null").distinct()
+    return entries, sequences_of(chains, entries)
+
+
+def sequences_of(chains: DataFrame, entries: DataFrame) -> DataFrame:
+    """The known sequences of the entries' chains."""
+    return chains.join(entries, "pdb_id", "left_semi").select("sequence").filter("sequence is not null").distinct()
 
 
 def blind_chains_by_cluster(chains: DataFrame, sampled: DataFrame) -> DataFrame:

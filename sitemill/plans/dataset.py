@@ -100,7 +100,9 @@ def split_base(data: Dataset, config: splitting.SplitConfig) -> DataFrame:
     """(key, split) by entry, sequence and ligand: blind sets, whole groups for the rest, set-aside groups in test."""
     group = splitting.group_key(F.col("pdb_id"), F.col("sequence_1l"), F.col("lig_site"))
     rows = data.interactions.select("key", "pdb_id", F.col("sequence_1l").alias("sequence"), "lig_id", group.alias("group"))
-    entries, sequences = splitting.blind_entries(rows, splitting.sample_keys(rows, "sequence", config.blind, config.seed))
+    entries, _ = splitting.blind_entries(rows, splitting.sample_keys(rows, "sequence", config.blind, config.seed))
+    entries = stored(entries, "blind-entries")
+    sequences = stored(splitting.sequences_of(rows, entries), "blind-sequences")
     kinds = splitting.classify_base(rows, entries, sequences, splitting.sample_keys(rows, "lig_id", config.blind, config.seed))
     assigned = splitting.assign_balanced(kinds.filter("category = 'candidate'"), config.val, config.test, config.seed)
     blind = kinds.filter("category like 'blind%'").select("group", "n", F.col("category").alias("split"))
@@ -121,11 +123,13 @@ def split_cluster(data: Dataset, config: splitting.SplitConfig, clusters: DataFr
     """(key, split) by sequence cluster and scaffold: blind sets widened to whole entries, groups that share a cluster with a blind chain
     set aside for test, whole groups for the rest.
 
-    clusters: pdb_id, chain_id, cluster_id, as the listing gives them; ligands: lig_id, scaffold (null: none), one row each.
+    clusters: pdb_id, chain_id, cluster_id, as the listing gives them; of a chain in several clusters the smallest counts, so that its
+    interactions count once. ligands: lig_id, scaffold (null: none), one row each.
     """
     group = splitting.group_key(F.col("pdb_id").cast("string"), F.col("sequence_1l"), F.col("lig_site"))
     rows = data.interactions.select("key", "pdb_id", "chain_id", "lig_id", group.alias("group"))
-    rows = rows.join(clusters.distinct(), ["pdb_id", "chain_id"], "left").join(ligands, "lig_id", "left")
+    one = clusters.groupBy("pdb_id", "chain_id").agg(F.min("cluster_id").alias("cluster_id"))
+    rows = rows.join(one, ["pdb_id", "chain_id"], "left").join(ligands, "lig_id", "left")
     rows = stored(rows, "clustered")
     blind_chains = stored(splitting.blind_chains_by_cluster(rows, splitting.sample_keys(rows, "cluster_id", config.blind, config.seed)), "blind-chains")
     scaffolds = stored(splitting.sample_keys(rows, "scaffold", config.blind, config.seed), "blind-scaffolds")

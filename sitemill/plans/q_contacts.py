@@ -53,7 +53,7 @@ def q_contacts_within(spark, d):
 
 @query(
     "contacts_in_crowds",
-    """WITH a AS (SELECT l_orderkey // 2000 AS pdb_id, l_orderkey * 10 + l_linenumber AS id, l_linenumber <= 3 AS protein, CASE WHEN l_suppkey % 3 = 0 THEN 0.1 ELSE 4.0 END * (l_partkey % 17) AS x,
+    """WITH a AS (SELECT l_orderkey // 100 AS pdb_id, l_orderkey * 10 + l_linenumber AS id, l_linenumber <= 3 AS protein, CASE WHEN l_suppkey % 3 = 0 THEN 0.1 ELSE 4.0 END * (l_partkey % 17) AS x,
                  CASE WHEN l_suppkey % 3 = 0 THEN 0.1 ELSE 4.0 END * (l_suppkey % 13) AS y, CASE WHEN l_suppkey % 3 = 0 THEN 0.1 ELSE 4.0 END * (l_orderkey % 11) AS z FROM lineitem)
        SELECT p.pdb_id, p.id AS p_id, l.id AS l_id, round(sqrt((p.x - l.x) * (p.x - l.x) + (p.y - l.y) * (p.y - l.y) + (p.z - l.z) * (p.z - l.z)), 3) AS distance
        FROM a p JOIN a l ON p.pdb_id = l.pdb_id AND p.protein AND NOT l.protein WHERE sqrt((p.x - l.x) * (p.x - l.x) + (p.y - l.y) * (p.y - l.y) + (p.z - l.z) * (p.z - l.z)) <= 0.75""",
@@ -62,7 +62,7 @@ def q_contacts_in_crowds(spark, d):
     """A third of an entry's atoms crowd into one corner of it, where cells are cut into parts."""
     step = F.when(F.col("l_suppkey") % 3 == 0, 0.1).otherwise(4.0)
     point = [(step * (F.col(c) % m)).alias(x) for c, m, x in (("l_partkey", 17, "x"), ("l_suppkey", 13, "y"), ("l_orderkey", 11, "z"))]
-    a = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 2000).alias("pdb_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_linenumber") <= 3).alias("protein"), *point)
+    a = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 100).alias("pdb_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_linenumber") <= 3).alias("protein"), *point)
     return contacts_within(a.filter("protein").drop("protein"), a.filter("not protein").drop("protein"), 0.75).select("pdb_id", "p_id", "l_id", "distance")
 
 

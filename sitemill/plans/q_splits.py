@@ -60,7 +60,10 @@ c AS (SELECT "group", n, CASE WHEN e AND l THEN 'blind' WHEN e THEN 'blind_prote
 
 def _base(spark, d):
     rows = interactions(spark, d).withColumn("group", sp.group_key(F.col("pdb_id").cast("string"), F.col("sequence"), F.col("lig_site")))
-    entries, sequences = sp.blind_entries(rows, sp.sample_keys(rows, "sequence", BASE.blind, BASE.seed))
+    # Stored, blind sets are of a known size: where they are small, Spark flags interactions without shuffling them.
+    entries, _ = sp.blind_entries(rows, sp.sample_keys(rows, "sequence", BASE.blind, BASE.seed))
+    entries = stored(entries, "blind-entries")
+    sequences = stored(sp.sequences_of(rows, entries), "blind-sequences")
     return rows, entries, sequences, sp.sample_keys(rows, "lig_id", BASE.blind, BASE.seed)
 
 
