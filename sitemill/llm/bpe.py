@@ -179,7 +179,7 @@ class WordBpe:
         if _NO_SPACES.search(text):  # Python parts strings at these too
             return self._chunk_ids(text)
         chunks, known = text.split(), self.known_chunks
-        missing = set(chunks).difference(known)
+        missing = [c for c in set(chunks) if c not in known]
         if not missing:
             return b"".join(map(known.__getitem__, chunks))
         own = {c: self._chunk_ids(c) for c in missing}  # of this text only
