@@ -27,3 +27,8 @@ def test_pairs_of_a_large_structure_in_parts(spark, monkeypatch):
     a = spark.createDataFrame([(k % 2, k, float(k), 0.0, 0.0) for k in range(20)], "pdb_id long, id long, x double, y double, z double")
     got = sorted((r["p_id"], r["l_id"], r["distance"]) for r in joins.atom_pairs(a.filter("id < 12"), a.filter("id >= 12"), 4.5).collect())
     assert got == [(p, q, math.fabs(p - q)) for p in range(12) for q in range(12, 20) if p % 2 == q % 2]
+
+
+def test_contacts_of_the_whole_table(spark, far_apart):
+    got = sorted((r["p_vec_id"], r["l_vec_id"]) for r in entry.queries()["contacts_within"](spark, far_apart).collect())
+    assert got == [(k, 1000 + k) for k in range(8)]  # the last two are more than 0.8 away
