@@ -32,3 +32,8 @@ def test_pairs_of_a_large_structure_in_parts(spark, monkeypatch):
 def test_contacts_of_the_whole_table(spark, far_apart):
     got = sorted((r["p_vec_id"], r["l_vec_id"]) for r in entry.queries()["contacts_within"](spark, far_apart).collect())
     assert got == [(k, 1000 + k) for k in range(8)]  # the last two are more than 0.8 away
+
+
+def test_labels_of_the_whole_table(spark, far_apart):
+    got = sorted(tuple(r) for r in entry.queries()["residue_labels"](spark, far_apart).select("pdb_id", "residue", "site", "interacting").collect())
+    assert got == [(k, k, 5, int(k < 8)) for k in range(10)]
