@@ -37,3 +37,8 @@ def test_contacts_of_the_whole_table(spark, far_apart):
 def test_labels_of_the_whole_table(spark, far_apart):
     got = sorted(tuple(r) for r in entry.queries()["residue_labels"](spark, far_apart).select("pdb_id", "residue", "site", "interacting").collect())
     assert got == [(k, k, 5, int(k < 8)) for k in range(10)]
+
+
+def test_sites_with_contact_of_the_whole_table(spark, far_apart):
+    got = sorted((r["pdb_id"], r["site"]) for r in entry.queries()["keep_sites_with_contact"](spark, far_apart).collect())
+    assert got == [(k, 5) for k in range(8)]
