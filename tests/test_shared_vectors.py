@@ -14,3 +14,12 @@ def test_examples_by_vector_numbers(spark):
     rows = lambda df: sorted(map(str, df.select("key", "ord", "label", "features").collect()))
     got = joins.assemble_examples(own, residues, ligands, vectors)
     assert rows(got) == rows(joins.assemble_examples(own, *whole)) and got.filter(F.col("key") == "c").isEmpty()
+
+
+def test_laid_out_entities_hold_numbers_only(spark, tmp_path):
+    from sitemill.plans import q_features
+
+    spark.createDataFrame([(1, "A", 1, 7, 3.0, 5), (1, "A", 2, 8, 30.0, 6)], "l_orderkey long, l_returnflag string, l_linenumber int, l_suppkey long, l_quantity double, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, [float(k)] * 64) for k in range(9)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    _, residues, ligands = q_features._sides(spark, str(tmp_path))
+    assert residues.columns == ["pdb_id", "chain_id", "ord", "vec_id"] and ligands.columns == ["lig_site", "vec_id"]
