@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitemill.operators import splitting
+from sitemill.operators import joins, splitting
 
 
 def exchanges(df) -> int:
@@ -59,3 +59,9 @@ def test_used_chains_are_dealt_out_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert out["protein_residues"].count() == 18 and out["interactions"].count() == 50
+
+
+def test_an_atom_goes_to_few_cells(spark):
+    atoms = spark.range(2000).selectExpr("id", "rand(1) * 50 as x", "rand(2) * 50 as y", "rand(3) * 50 - 25 as z")
+    assert 2000 < joins.cells_around(atoms, ["x", "y", "z"]).count() < 4.5 * 2000
+    assert joins.cells_around(atoms.selectExpr("id", "x", "cast(null as double) as y", "z"), ["x", "y", "z"]).count() == 0
