@@ -6,6 +6,7 @@ import functools
 import hashlib
 import json
 import re
+import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -39,22 +40,30 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class Memory(dict):
-    """A dictionary of bounded bytes: where an entry does not fit any more, all are forgotten; a key beyond the bound is not kept."""
+    """A dictionary of bounded bytes: where an entry does not fit into half of them any more, all entries become old ones and those that
+    were old before are forgotten. An old one that is recalled is new again, so frequent ones stay; a key beyond the bound is not kept."""
 
     def __init__(self, most: int = CACHE_BYTES):
         super().__init__()
-        self.most, self.held = most, 0
+        self.most, self.held, self.old = most, 0, {}
 
     def keep(self, key, value) -> None:
         size = sys.getsizeof(key) + sys.getsizeof(value) + _ENTRY_BYTES
         if size > self.most // 16:
             return
-        if self.held + size > self.most:
+        if self.held + size > self.most // 2:
+            self.old = dict(self)
             self.clear()
             self.held = 0
         self[key] = value
         self.held += size
 
+    def recall(self, key):
+        """The value of a key that is not among the new ones; None where it is forgotten or was never kept."""
+        if (value := self.old.get(key)) is not None:
+            self.keep(key, value)
+        return value
+
 
 class PairTable:
     """Merges by rank: how each token splits, and which two tokens may stand side by side."""
@@ -71,7 +80,7 @@ class PairTable:
         they would have merged before the step that is undone, the border would not stand. Token ids rise with rank.
         """
         key = (left, right)
-        if (known := self._known.get(key)) is None:
+        if (known := self._known.get(key)) is None and (known := self._known.recall(key)) is None:
             known = self._border_stands(left, right)
             self._known.keep(key, known)
         return known
@@ -135,7 +144,7 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         data = word.encode("utf-8")
-        text = "".join(map(chr, data[:-1])) + chr(data[-1] + _WORD_END)
+        text = data[:-1].decode("latin-1") + chr(data[-1] + _WORD_END)
         n = len(text)
         longest: list[int | None] = [None] * n
         reach = [0] * n
@@ -143,12 +152,17 @@ class WordBpe:
             start = end + 1 - size
             if size > reach[start]:
                 reach[start], longest[start] = size, token
+        if reach[0] == n:
+            return [longest[0]]
         tokens: list[int] = []
         open_at = [True] * (n + 1)
-        at, trial = 0, longest[0]
+        at, trial, length, known = 0, longest[0], self.length, self.pairs._known.get
         while at < n:
-            end = at + self.length[trial]
-            if open_at[end] and (not tokens or self.pairs.fits(tokens[-1], trial)):
+            end = at + length[trial]
+            stands = open_at[end]
+            if stands and tokens and (stands := known((tokens[-1], trial))) is None:
+                stands = self.pairs.fits(tokens[-1], trial)
+            if stands:
                 tokens.append(trial)
                 at = end
                 trial = longest[at] if at < n else None
@@ -165,12 +179,18 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text)
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # a sigma is lowered alike wherever it stands
 
+    def _word_ids(self, word: str) -> bytes:
+        tokens = self.encode_word(word)
+        return struct.pack(f"<{len(tokens)}I", *tokens)
+
     def _chunk_ids(self, chunk: str) -> bytes:
-        out = []
+        if chunk.isascii() and chunk.isalpha():  # one word, which is remembered as a chunk
+            return self._word_ids(chunk)
+        out, known = [], self.known_words
         for word in self.words.findall(chunk):
-            if (ids := self.known_words.get(word)) is None:
-                ids = np.array(self.encode_word(word), dtype="<u4").tobytes()
-                self.known_words.keep(word, ids)
+            if (ids := known.get(word)) is None and (ids := self.known_chunks.get(word)) is None and (ids := known.recall(word)) is None:
+                ids = self._word_ids(word)
+                known.keep(word, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -179,14 +199,14 @@ class WordBpe:
         if _NO_SPACES.search(text):  # Python parts strings at these too
             return self._chunk_ids(text)
         chunks, known = text.split(), self.known_chunks
-        missing = [c for c in set(chunks) if c not in known]
-        if not missing:
-            return b"".join(map(known.__getitem__, chunks))
-        own = {c: self._chunk_ids(c) for c in missing}  # of this text only
-        out = b"".join([own[c] if c in own else known[c] for c in chunks])
-        for c, ids in own.items():
-            known.keep(c, ids)
-        return out
+        distinct = set(chunks)
+        own = {c: known[c] for c in distinct if c in known}  # of this text only
+        for c in distinct.difference(own):
+            if (ids := known.recall(c)) is None:
+                ids = self._chunk_ids(c)
+                known.keep(c, ids)
+            own[c] = ids
+        return b"".join(map(own.__getitem__, chunks))
 
     def encode(self, text: str) -> np.ndarray:
         out = []

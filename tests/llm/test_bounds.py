@@ -75,3 +75,15 @@ def test_runs_are_pooled_alike_however_they_are_batched(monkeypatch, batch):
         p = [net.positions(np.frombuffer(data[k : k + 96].ljust(96, b"\0"), np.uint8)[None])[0][: len(data) - k] for k in range(0, len(data), 96)]
         mean = np.concatenate(p).mean(axis=0) if p else np.zeros(3)
         assert best[i] == mean.argmax() and abs(score[i] - mean.max()) < 1e-5
+
+
+def test_what_is_used_again_outlives_what_is_not():
+    """A full memory forgets what was not recalled since it was full last, not all that it held."""
+    kept = bpe.Memory(10_000)
+    kept.keep("often", b"ids")
+    for k in range(1000):
+        kept.keep(f"seldom {k}", b"ids")
+        if kept.get("often") is None:
+            assert kept.recall("often") == b"ids"
+    assert kept.recall("seldom 1") is None
+    assert kept.held <= 5000 and 104 * (len(kept) + len(kept.old)) <= 10_000
