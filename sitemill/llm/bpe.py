@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 import struct
@@ -24,12 +25,18 @@ CACHE_BYTES = 1 << 25
 _ENTRY_BYTES = 104
 #: Where the last byte of a word lies in the automaton's alphabet: words end in symbols of their own.
 _WORD_END = 0x1000
-
+#: Words of so many bytes at most are encoded together, step by step; longer ones one by one.
+SHORT_WORD = 64
+#: Words that are encoded together at most.
+_TOGETHER = 1 << 15
+#: Above every token's id.
+_NO_TOKEN = 1 << 30
 
 #: Unicode's white space, as the tokenizers library takes it: U+001C to U+001F are none.
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 _NO_SPACES = re.compile("[\\x1c-\\x1f]")
+_BLANKS = re.compile(f"[{_SPACES}]+")
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -65,6 +72,112 @@ class Memory(dict):
         return value
 
 
+    def keep_all(self, entries: dict) -> None:
+        """keep() of many entries, whose sizes are added up in runs where a run fits."""
+        keys, values = list(entries), list(entries.values())
+        sizes = [k + v + _ENTRY_BYTES for k, v in zip(map(sys.getsizeof, keys), map(sys.getsizeof, values), strict=True)]
+        for at in range(0, len(keys), 512):
+            run, total = slice(at, at + 512), sum(sizes[at : at + 512])
+            if self.held + total > self.most // 2 or max(sizes[run]) > self.most // 16:
+                for k, v in zip(keys[run], values[run], strict=True):
+                    self.keep(k, v)
+            else:
+                self.update(zip(keys[run], values[run], strict=True))
+                self.held += total
+
+    def recall_all(self, keys: set) -> dict:
+        """The entries of those keys that are not forgotten."""
+        found = {k: v for k, v in zip(keys, map(self.get, keys), strict=True) if v is not None}
+        if self.old:
+            rest = keys.difference(found)
+            old = {k: v for k, v in zip(rest, map(self.old.get, rest), strict=True) if v is not None}
+            self.keep_all(old)
+            found.update(old)
+        return found
+
+
+class Numbers:
+    """A table of numbers by number, none below 0, that is asked for many at once: open places in twice to four times as many slots."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(len(keys)).bit_length() + 2)
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._values = np.full(1 << bits, -1, dtype=np.int64), np.zeros(1 << bits, dtype=np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            slot, order = (x[np.argsort(slot, kind="stable")] for x in (slot, np.arange(len(keys))))
+            first = np.r_[True, slot[1:] != slot[:-1]] & (self._keys[slot] < 0)
+            self._keys[slot[first]], self._values[slot[first]] = keys[order[first]], values[order[first]]
+            keys, values, slot = keys[order[~first]], values[order[~first]], (slot[~first] + 1) & self._mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self._shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray, default: int) -> np.ndarray:
+        slot = self._slot(keys)
+        held = self._keys[slot]
+        out = np.where(held == keys, self._values[slot], default)
+        rows = np.flatnonzero((held != keys) & (held >= 0))
+        while len(rows):
+            slot[rows] = (slot[rows] + 1) & self._mask
+            held = self._keys[slot[rows]]
+            same = held == keys[rows]
+            out[rows[same]] = self._values[slot[rows[same]]]
+            rows = rows[~same & (held >= 0)]
+        return out
+
+
+class Automaton:
+    """Aho and Corasick's automaton of reversed patterns. Texts are read from their ends, so that a state tells the longest pattern that
+    starts at its place; many texts are read side by side, one symbol of each a step."""
+
+    def __init__(self, patterns: list[bytes], numbers: list[int]):
+        """patterns: uint16 symbols below 2^13."""
+        sizes = np.array([len(t) // 2 for t in patterns])
+        ends = np.cumsum(sizes)
+        symbols = np.frombuffer(b"".join(patterns), "<u2").astype(np.int64)
+        node, levels, self._n, edges = np.zeros(len(sizes), dtype=np.int64), [], 1, []
+        terminal = []
+        for depth in range(int(sizes.max(initial=0))):
+            live = np.flatnonzero(sizes > depth)
+            keys, of = np.unique(node[live] << 13 | symbols[ends[live] - 1 - depth], return_inverse=True)
+            node[live] = self._n + of
+            edges.append(keys)
+            levels.append(np.arange(self._n, self._n + len(keys)))
+            self._n += len(keys)
+            whole = live[sizes[live] == depth + 1]
+            terminal.append((node[whole], np.array(numbers)[whole]))
+        self._next = Numbers(np.concatenate(edges), np.arange(1, self._n))
+        self._fail, self._longest = np.zeros(self._n, dtype=np.int64), np.full(self._n, -1, dtype=np.int64)
+        for depth, (keys, level) in enumerate(zip(edges, levels, strict=True)):
+            if depth:
+                self._fail[level] = self._step(self._fail[keys >> 13], keys & 0x1FFF)
+            self._longest[level] = self._longest[self._fail[level]]
+            self._longest[terminal[depth][0]] = terminal[depth][1]
+
+    def _step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        out = self._next.get(state << 13 | symbol, -1)
+        rows = np.flatnonzero(out < 0)
+        while len(rows):
+            rows = rows[state[rows] > 0]
+            state[rows] = self._fail[state[rows]]
+            out[rows] = self._next.get(state[rows] << 13 | symbol[rows], -1)
+            rows = rows[out[rows] < 0]
+        return np.maximum(out, 0)
+
+    def longest(self, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The longest pattern that starts at each symbol of texts that lie one after another; -1 where none does."""
+        sizes = np.diff(ends, prepend=0)
+        order = np.argsort(-sizes, kind="stable")
+        sizes, at = sizes[order], ends[order] - 1
+        out, state = np.full(len(symbols), -1, dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        for done in range(int(sizes.max(initial=0))):
+            n = int(np.searchsorted(-sizes, -done))
+            state = self._step(state[:n], symbols[at[:n] - done])
+            out[at[:n] - done] = self._longest[state]
+        return out
+
+
 class PairTable:
     """Merges by rank: how each token splits, and which two tokens may stand side by side."""
 
@@ -72,6 +185,13 @@ class PairTable:
         self.merged = merged
         self.halves = {token: pair for pair, token in merged.items()}
         self._known = Memory()
+        pairs = np.array(list(merged), dtype=np.int64).reshape(-1, 2)
+        tokens = np.array(list(merged.values()), dtype=np.int64)
+        self._span = int(max(pairs.max(initial=0), tokens.max(initial=0))) + 1
+        # The token's two halves; -1 where it has none.
+        self._split = np.full((self._span, 2), -1, dtype=np.int64)
+        self._split[tokens] = pairs
+        self._made = Numbers(pairs[:, 0] * self._span + pairs[:, 1], tokens)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether encoding the two tokens' joined text gives just these two.
@@ -101,6 +221,25 @@ class PairTable:
                 return True
 
 
+    def all_fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """fits() of many pairs at once: each step undoes one merge of every pair that is still open."""
+        keys, of = np.unique(left * self._span + right, return_inverse=True)
+        out = np.zeros(len(keys), dtype=bool)
+        rows, (left, right), newest = np.arange(len(keys)), np.divmod(keys, self._span), np.full(len(keys), _NO_TOKEN)
+        while len(rows):
+            merged = self._made.get(left * self._span + right, _NO_TOKEN)
+            inner, outer = self._split[left, 1], self._split[right, 0]
+            undo_right = (outer >= 0) & ((right >= left) | (inner < 0))
+            undo_left = (inner >= 0) & ~undo_right
+            stands = merged >= newest
+            out[rows[stands & ~undo_left & ~undo_right]] = True
+            newest = np.where(undo_right, right + 1, left)
+            left, right = np.where(undo_left, inner, left), np.where(undo_right, outer, right)
+            going = stands & (undo_left | undo_right)
+            rows, left, right, newest = rows[going], left[going], right[going], newest[going]
+        return out[of]
+
+
 class WordBpe:
     """A tokenizer file whose model is BPE over byte letters with an end-of-word suffix."""
 
@@ -127,10 +266,15 @@ class WordBpe:
                 chars[-1] = chr(ord(chars[-1]) + _WORD_END)
             known["".join(chars)] = i
         for text, i in known.items():
-            self.automaton.add_word(text, (len(text), i))
+            self.automaton.add_word(text, i)
         self.automaton.make_automaton()
         self.length = {i: len(t) for t, i in known.items()}
         self.shorter = {i: next((known[t[:k]] for k in range(len(t) - 1, 0, -1) if t[:k] in known), None) for t, i in known.items()}
+        self._reversed = Automaton([t.encode("utf-16-le") for t in known], list(known.values()))
+        self._lengths, self._shorter = np.zeros(max(known.values()) + 1, dtype=np.int64), np.full(max(known.values()) + 1, -1, dtype=np.int64)
+        for i, n in self.length.items():
+            self._lengths[i] = n
+            self._shorter[i] = -1 if self.shorter[i] is None else self.shorter[i]
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", _SPACES))
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -148,7 +292,8 @@ class WordBpe:
         n = len(text)
         longest: list[int | None] = [None] * n
         reach = [0] * n
-        for end, (size, token) in self.automaton.iter(text):
+        for end, token in self.automaton.iter(text):
+            size = self.length[token]
             start = end + 1 - size
             if size > reach[start]:
                 reach[start], longest[start] = size, token
@@ -174,48 +319,119 @@ class WordBpe:
                 at -= self.length[trial]
         return tokens
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Each word's ids, as encode_word gives them: short words together, longer ones one by one."""
+        data = [w.encode("utf-8") for w in words]
+        out = [b""] * len(words)
+        short = [k for k, d in enumerate(data) if len(d) <= SHORT_WORD]
+        for k in range(0, len(short), _TOGETHER):
+            part = short[k : k + _TOGETHER]
+            for i, ids in zip(part, self._together([data[i] for i in part]), strict=True):
+                out[i] = ids
+        for k, d in enumerate(data):
+            if len(d) > SHORT_WORD:
+                tokens = self.encode_word(words[k])
+                out[k] = struct.pack(f"<{len(tokens)}I", *tokens)
+        return out
+
+    def _together(self, data: list[bytes]) -> Iterator[bytes]:
+        """The steps of encode_word, each taken for all words that are not done."""
+        ends = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+        symbols = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
+        symbols[ends - 1] += _WORD_END
+        longest = np.append(self._reversed.longest(symbols, ends), -1)
+        open_at = np.ones(len(symbols) + 1, dtype=bool)
+        at = np.r_[0, ends[:-1]]
+        stack = np.full((len(data), int(np.diff(ends, prepend=0).max())), -1, dtype=np.int64)
+        sizes = np.zeros(len(data), dtype=np.int64)
+        rows, goal, trial, depth = np.arange(len(data)), ends, longest[at], np.zeros(len(data), dtype=np.int64)
+        while len(rows):
+            end = at + self._lengths[trial]
+            stands = open_at[end]
+            met = np.flatnonzero(stands & (depth > 0))
+            stands[met] = self.pairs.all_fit(stack[rows[met], depth[met] - 1], trial[met])
+            less = self._shorter[trial]
+            stack[rows[stands], depth[stands]] = trial[stands]
+            # Where nothing fits the place is closed, and the token before it is shortened.
+            back = np.flatnonzero(~stands & (less < 0))
+            open_at[at[back]] = False
+            depth[stands] += 1
+            depth[back] -= 1
+            at = np.where(stands, end, at)
+            trial = np.where(stands, longest[at], less)
+            trial[back] = stack[rows[back], depth[back]]
+            at[back] -= self._lengths[trial[back]]
+            done = at == goal
+            sizes[rows[done]] = depth[done]
+            rows, goal, at, trial, depth = (x[~done] for x in (rows, goal, at, trial, depth))
+        ids = stack[np.arange(stack.shape[1]) < sizes[:, None]].astype("<u4").tobytes()
+        bounds = np.r_[0, 4 * np.cumsum(sizes)].tolist()
+        return (ids[a:b] for a, b in itertools.pairwise(bounds))
+
     def normalise(self, text: str) -> str:
         """White space is left as it is: no word holds any."""
         text = unicodedata.normalize("NFC", text)
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()  # a sigma is lowered alike wherever it stands
 
-    def _word_ids(self, word: str) -> bytes:
-        tokens = self.encode_word(word)
-        return struct.pack(f"<{len(tokens)}I", *tokens)
-
-    def _chunk_ids(self, chunk: str) -> bytes:
-        if chunk.isascii() and chunk.isalpha():  # one word, which is remembered as a chunk
-            return self._word_ids(chunk)
-        out, known = [], self.known_words
-        for word in self.words.findall(chunk):
-            if (ids := known.get(word)) is None and (ids := self.known_chunks.get(word)) is None and (ids := known.recall(word)) is None:
-                ids = self._word_ids(word)
-                known.keep(word, ids)
-            out.append(ids)
-        return b"".join(out)
-
-    def _text_ids(self, text: str) -> bytes:
-        """Words never hold white space, so what stands between it is encoded once and remembered."""
+    def _words_of(self, chunks: list[str]) -> tuple[list[str], list[int]]:
+        """The chunks' words one after another, and where each chunk's begin and the last one's end. No word holds a blank, so chunks are
+        searched as one text wherever their words leave nothing out."""
+        words = self.words.findall(" ".join(chunks))
+        word_ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        chunk_ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        cuts = np.searchsorted(word_ends, chunk_ends) + 1
+        if chunks and (len(words) < len(chunks) or cuts[-1] != len(words) or (word_ends[cuts - 1] != chunk_ends).any()):
+            parts = [self.words.findall(c) for c in chunks]
+            words, cuts = list(itertools.chain.from_iterable(parts)), np.cumsum([len(p) for p in parts])
+        return words, [0, *cuts.tolist()]
+
+    def _chunk_ids(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of chunks that are not remembered."""
+        plain = [c for c in chunks if c.isascii() and c.isalpha()]  # one word, which is remembered as a chunk
+        others = list(chunks.difference(plain))
+        parts, bounds = self._words_of(others)
+        words = set(parts)
+        own = self.known_words.recall_all(words)
+        rest = words.difference(own, plain)
+        own.update((w, self.known_chunks[w]) for w in rest if w in self.known_chunks)
+        rest = list(rest.difference(own))
+        ids = self.encode_words(plain + rest)
+        out, new = dict(zip(plain, ids)), dict(zip(rest, ids[len(plain) :], strict=True))
+        self.known_words.keep_all(new)
+        own.update(new)
+        own.update((w, out[w]) for w in words.intersection(out))
+        ids = list(map(own.__getitem__, parts))  # flat, as many small lists would keep Python's collector busy
+        out.update(zip(others, (b"".join(ids[a:b]) for a, b in itertools.pairwise(bounds)), strict=True))
+        return out
+
+    def _chunks_of(self, text: str) -> list[str]:
         if _NO_SPACES.search(text):  # Python parts strings at these too
-            return self._chunk_ids(text)
-        chunks, known = text.split(), self.known_chunks
-        distinct = set(chunks)
-        own = {c: known[c] for c in distinct if c in known}  # of this text only
-        for c in distinct.difference(own):
-            if (ids := known.recall(c)) is None:
-                ids = self._chunk_ids(c)
-                known.keep(c, ids)
-            own[c] = ids
-        return b"".join(map(own.__getitem__, chunks))
+            return [c for c in _BLANKS.split(text) if c]
+        return text.split()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids. Words never hold white space, so what stands between it is encoded once for all texts and remembered."""
+        parts = [(k, [self.special[part]] if k % 2 else self._chunks_of(self.normalise(part))) for t in texts for k, part in enumerate(self.specials.split(t))]
+        known = self.known_chunks
+        found = [[np.uint32(chunks[0]).tobytes()] if k % 2 else list(map(known.get, chunks)) for k, chunks in parts]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        missing = {chunks[i] for (_, chunks), places in zip(parts, gaps, strict=True) for i in places}
+        own = known.recall_all(missing)  # of these texts only
+        if fresh := missing.difference(own):
+            new = self._chunk_ids(fresh)
+            known.keep_all(new)
+            own.update(new)
+        out: list[list[bytes]] = []
+        for (k, chunks), ids, places in zip(parts, found, gaps, strict=True):
+            for i in places:
+                ids[i] = own[chunks[i]]
+            if k == 0:
+                out.append([])
+            out[-1].append(b"".join(ids))
+        return [np.frombuffer(b"".join(x), dtype="<u4") for x in out]
 
     def encode(self, text: str) -> np.ndarray:
-        out = []
-        for k, part in enumerate(self.specials.split(text)):
-            if k % 2:
-                out.append(np.uint32(self.special[part]).tobytes())
-            elif part:
-                out.append(self._text_ids(self.normalise(part)))
-        return np.frombuffer(b"".join(out), dtype="<u4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the tokens' texts, blanks between them."""
@@ -234,12 +450,30 @@ def word_bpe(path: str) -> WordBpe:
 
 #: Ids of one row at most, so that a long text needs bounded memory beside itself.
 DECODE_IDS = 1 << 18
+#: Characters of the texts that are encoded together, about; a longer text is encoded alone.
+ENCODE_CHARS = 1 << 20
 #: Bytes of one batch that is handed on, about.
 BATCH_BYTES = 1 << 23
 ENCODED = "doc_id long, run long, ids array<int>, text string"
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("run", pa.int64()), ("ids", pa.list_(pa.int32())), ("text", pa.string())])
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """doc_ids and texts of rows that follow each other, of ENCODE_CHARS characters about."""
+    for batch in batches:
+        doc_ids, texts, held = [], [], 0
+        for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            text = text or ""
+            if texts and held + len(text) > ENCODE_CHARS:
+                yield doc_ids, texts
+                doc_ids, texts, held = [], [], 0
+            doc_ids.append(doc_id)
+            texts.append(text)
+            held += len(text)
+        if texts:
+            yield doc_ids, texts
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """Each document's ids and their decoded text, in runs of DECODE_IDS ids. No shuffle.
 
@@ -261,9 +495,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             out, held = [], 0
             return pa.record_batch(columns, schema=_ENCODED)
 
-        for batch in batches:
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = bpe.encode(text or "")
+        for doc_ids, texts in _stretches(batches):
+            for doc_id, ids in zip(doc_ids, bpe.encode_all(texts), strict=True):
                 for run, k in enumerate(range(0, len(ids) or 1, DECODE_IDS)):
                     part = ids[k : k + DECODE_IDS]
                     out.append((doc_id, run, part, bpe.decode(part)))

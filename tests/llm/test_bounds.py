@@ -87,3 +87,30 @@ def test_what_is_used_again_outlives_what_is_not():
             assert kept.recall("often") == b"ids"
     assert kept.recall("seldom 1") is None
     assert kept.held <= 5000 and 104 * (len(kept) + len(kept.old)) <= 10_000
+
+
+def test_short_words_are_encoded_together(monkeypatch):
+    """Words that no memory holds are walked through side by side; only those beyond SHORT_WORD bytes are met one by one."""
+    path, draw = tokenizer_path("word_bpe_49k.json"), random.Random(5)
+    b = bpe.WordBpe(path)
+    words = list({"".join(draw.choices("etaoinshrdlé漢'!1", k=draw.randint(1, 20))) for _ in range(3000)})
+    one_by_one = [np.array(b.encode_word(w), "<u4").tobytes() for w in words]
+    far = "thonreti" * 20
+    seen = []
+    monkeypatch.setattr(bpe.WordBpe, "encode_word", lambda self, w, f=bpe.WordBpe.encode_word: seen.append(w) or f(self, w))
+    for together in (1 << 15, 7):
+        monkeypatch.setattr(bpe, "_TOGETHER", together)
+        assert bpe.WordBpe(path).encode_words(words) == one_by_one
+    assert not seen
+    texts = [f"{w} {far} {w}!" for w in words[:50]]
+    both = bpe.WordBpe(path).encode_all(texts)
+    assert set(seen) == {far} and [x.tolist() for x in both] == [b.encode(t).tolist() for t in texts]
+
+
+def test_many_entries_are_kept_within_the_bound():
+    kept = bpe.Memory(10_000)
+    kept.keep_all({f"word {i}": b"12345678" for i in range(960)} | {"x" * 2000: b""})
+    assert kept.held <= 5000 and len(kept) + len(kept.old) < 100 and kept["word 959"] == b"12345678" and "x" * 2000 not in kept
+    held = len(kept)
+    found = kept.recall_all({"word 959", "word 1", *list(kept.old)[:2]})
+    assert len(found) == 3 and len(kept) == held + 2
