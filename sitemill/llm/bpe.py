@@ -97,7 +97,7 @@ class Memory(dict):
 
 
 class Numbers:
-    """A table of numbers by number, none below 0, that is asked for many at once: open places in twice to four times as many slots."""
+    """A table of numbers by number, none below 0, that is asked for many at once: open addressing in four to eight times as many slots."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(len(keys)).bit_length() + 2)
