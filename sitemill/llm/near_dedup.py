@@ -24,8 +24,12 @@ NODE = 200
 DEVIATIONS = 6.0
 #: Distinct sets, and their shingles, that one task confirms at a time, about. A larger component goes by its leaders, in slices of that size.
 BLOCK_SETS, BLOCK_SHINGLES = 3000, 1 << 21
-#: So often are the sets that are far from a leader given a leader of their own before they meet all others.
-LEADER_ROUNDS = 4
+#: So often are the sets that are far from a leader given a leader of their own, and only while it is linked with that share of what is left.
+LEADER_ROUNDS, LEADER_SHARE = 4, 0.05
+#: A rare token that at most so many sets of a component share brings them together pair by pair; sets that share a commoner one meet in slices.
+RARE_SETS = 100
+#: Tokens are counted by so many values of their hash, to tell rare from common ones.
+_COUNTED = 1 << 18
 #: Words that a worker remembers, and the bytes of the longest it does, which together bound what it holds.
 _CACHE_WORDS, _CACHE_BYTES = 400_000, 64
 _U = np.uint64
@@ -322,12 +326,81 @@ def _centres(members: DataFrame) -> DataFrame:
     return scored.groupBy("comp").agg(F.max_by("cid", F.struct("agree", -F.col("cid"))).alias("cid"))
 
 
+def _rarity(members: DataFrame, words: int) -> np.ndarray:
+    """For each of _COUNTED values of a token's hash how often the members' (text) sets hold it, as a byte of the logarithm."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, n = Shingler(words), np.zeros(_COUNTED, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(n, (shingler.of(text) % _U(_COUNTED)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
+
+    found = members.select("text").mapInArrow(rows, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(_COUNTED, np.uint8)
+    out[found["at"].to_numpy()] = np.minimum(255, 8 * np.log2(found["n"].to_numpy() + 1.0))
+    return out
+
+
+def _prefixes(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(comp, cid, waits, n, token, place) of the rarest tokens of each set, so many that linked sets share one of them; members: (comp, cid, waits, text).
+
+    Any order of tokens that is the same for all sets does: of 100 tokens 80 are shared, so not all of 21 can be missing on the other side.
+    """
+    rarity = _rarity(members, words)
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["comp", "cid", "waits", "n", "token", "place"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                sets = [shingler.of(text) for text in part.column(3).to_pylist()]
+                own = [s[np.argsort(rarity[(s % _U(_COUNTED)).astype(np.int64)], kind="stable")[: len(s) - (percent * len(s) + 99) // 100 + 1]] for s in sets]
+                each = np.array([len(x) for x in own])
+                out = [np.repeat(part.column(i).to_numpy(zero_copy_only=False), each) for i in range(3)]
+                out += [np.repeat([len(s) for s in sets], each), np.concatenate(own).view(np.int64), np.concatenate([np.arange(n) for n in each])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
+    return members.select("comp", "cid", "waits", "text").mapInArrow(rows, "comp long, cid long, waits boolean, n long, token long, place long")
+
+
+def _rare_pairs(prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(comp, a, b) of sets that share a rare token and may be linked, one of which waits; (comp, cid) of those that share a commoner one.
+
+    A linked pair is in the first, or both its sets are in the second: at the first token that they share, what is left of both must do.
+    """
+    on = ["comp", "token"]
+    often = prefixes.groupBy(*on).agg(F.count("*").alias("m"), F.bool_or("waits").alias("w")).filter((F.col("m") > 1) & F.col("w"))
+    met = shared_table(prefixes.join(often.select(*on, "m"), on), "near-prefixes")
+    groups = met.filter(F.col("m") <= RARE_SETS).groupBy(*on).agg(F.collect_list(F.struct("cid", "waits", "n", "place")).alias("g"))
+    pairs = groups.select("comp", F.explode("g").alias("x"), "g").select("comp", "x", F.explode("g").alias("y")).filter("x.cid < y.cid AND (x.waits OR y.waits)")
+    left = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    near = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")) & ((100 + percent) * left >= percent * (F.col("x.n") + F.col("y.n")))
+    return pairs.filter(near).select("comp", F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct(), met.filter(F.col("m") > RARE_SETS).select("comp", "cid").distinct()
+
+
+def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As many of the links as connect the same."""
+    root: dict[int, int] = {}
+    for ra, rb in sorted(set(links)):
+        while root.get(ra, ra) != ra:
+            ra = root[ra]
+        while root.get(rb, rb) != rb:
+            rb = root[rb]
+        root[max(ra, rb)] = min(ra, rb)
+    return [(a, b) for b, a in root.items() if a != b]
+
+
 def _by_leaders(members: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): links of components too large for one task, enough for their connection; members: (comp, cid, n, sketch, text).
 
     All sets of a component meet its leader in slices. Those linked with it are settled among themselves. Jaccard distance keeps the
     triangle inequality, so sets at more than twice the threshold's distance are linked with none of these, and get a leader of their
-    own; only sets between both, and those left after LEADER_ROUNDS, meet all others of the component, slice by slice.
+    own. Sets between both, and those that leaders leave, wait: they meet the others with which they share one of their rarest tokens,
+    pair by pair where few share it, else slice by slice.
     """
 
     def led(ids: list[int], sets: list[np.ndarray], leads: list[bool]) -> list[tuple[int, int, int]]:
@@ -337,17 +410,21 @@ def _by_leaders(members: DataFrame, words: int, percent: int) -> DataFrame:
         block, out = _Block(sets, percent), []
         for i in range(sum(leads)):
             out += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in np.flatnonzero(block.reach(i) == 2).tolist() if ids[k] != ids[i]]
-        root = {}
-        for a, b in sorted(set(out)):  # a forest of the links found is enough
-            ra, rb = a, b
-            while root.get(ra, ra) != ra:
-                ra = root[ra]
-            while root.get(rb, rb) != rb:
-                rb = root[rb]
-            root[max(ra, rb)] = min(ra, rb)
-        return [(a, b) for b, a in root.items() if a != b]
-
-    open_, links, between = members.select("comp", "cid", "n", "sketch"), [], []
+        return _forest(out)
+
+    def paired(ids: list[int], sets: list[np.ndarray], leads: list[list[int] | None]) -> list[tuple[int, int]]:
+        at, out = {c: k for k, (c, other) in enumerate(zip(ids, leads, strict=True)) if other is None}, []
+        for own, a, others in zip(sets, ids, leads, strict=True):
+            if others is None:
+                break
+            ks = [at[b] for b in others]
+            sizes, tokens = np.array([len(sets[k]) for k in ks]), np.concatenate([sets[k] for k in ks])
+            held = own[np.minimum(np.searchsorted(own, tokens), len(own) - 1)] == tokens
+            shared = np.add.reduceat(held, np.cumsum(sizes) - sizes, dtype=np.int64)
+            out += [(a, others[k]) for k in np.flatnonzero(100 * shared >= percent * (sizes + len(own) - shared)).tolist()]
+        return _forest(out)
+
+    open_, links, waiting = members.select("comp", "cid", "n", "sketch"), [], []
     for _ in range(LEADER_ROUNDS):
         sliced = _slices(open_, "comp", "i")
         leader = shared_table(_centres(open_), "near-leaders")
@@ -357,18 +434,31 @@ def _by_leaders(members: DataFrame, words: int, percent: int) -> DataFrame:
         asked = rows.unionByName(leads).join(members.select("comp", "cid", "text"), ["comp", "cid"])
         found = shared_table(_by_group(asked.select("comp", "i", F.lit(0).alias("j"), "lead", "cid", "text"), words, "a long, b long, reach long", led), "near-led")
         links.append(found.filter("reach = 2").select("a", "b"))
-        between.append(found.filter("reach = 1").select(F.col("b").alias("cid")))
-        open_ = shared_table(open_.join(found.filter("reach = 0").select(F.col("b").alias("cid")), "cid", "left_semi").select("comp", "cid", "n", "sketch"), "near-far")
+        worth = found.groupBy("a").agg(F.avg((F.col("reach") == 2).cast("int")).alias("share")).filter(F.col("share") >= LEADER_SHARE)
+        far = found.filter("reach = 0")
+        waiting += [found.filter("reach = 1").select(F.col("b").alias("cid")), far.join(worth, "a", "left_anti").select(F.col("b").alias("cid"))]
+        open_ = shared_table(open_.join(far.join(worth, "a", "left_semi").select(F.col("b").alias("cid")), "cid", "left_semi"), "near-far")
         if open_.isEmpty():
             break
-    rest = functools.reduce(DataFrame.unionByName, [*between, open_.select("cid")])
-    waiting = shared_table(members.join(rest, "cid", "left_semi").select("comp", "cid", "n"), "near-between")
-    own, others = _slices(waiting, "comp", "i"), _slices(members.select("comp", "cid", "n"), "comp", "j")
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asked = own.join(others.select("comp", "js").distinct(), "comp").select("comp", "i", every("js").alias("j"), F.lit(True).alias("lead"), "cid")
-    asked = asked.unionByName(others.join(own.select("comp", "is").distinct(), "comp").select("comp", every("is").alias("i"), "j", F.lit(False).alias("lead"), "cid"))
-    asked = asked.join(members.select("comp", "cid", "text"), ["comp", "cid"]).select("comp", "i", "j", "lead", "cid", "text")
-    links.append(_by_group(asked, words, "a long, b long", met))
+    waiting = functools.reduce(DataFrame.unionByName, [*waiting, open_.select("cid")]).withColumn("waits", F.lit(True))
+    texts = members.select("comp", "cid", "text")
+    marked = shared_table(texts.join(waiting, "cid", "left").withColumn("waits", F.coalesce("waits", F.lit(False))), "near-waiting")
+    pairs, common = _rare_pairs(_prefixes(marked, words, percent), percent)
+    slices = _slices(members.select("comp", "cid", "n"), "comp", "j").select("comp", F.col("js").alias("s")).distinct()
+    place = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.col("s"))
+    placed = shared_table(pairs.join(slices, "comp").select("comp", place("a").alias("i"), place("b").alias("j"), "a", "b"), "near-pairs")
+    asked = placed.groupBy("comp", "i", "j", F.col("a").alias("cid")).agg(F.collect_list("b").alias("lead"))
+    asked = asked.unionByName(placed.select("comp", "i", "j", F.col("b").alias("cid"), F.lit(None).cast("array<long>").alias("lead")).distinct())
+    asked = asked.join(texts, ["comp", "cid"]).select("comp", "i", "j", "lead", "cid", "text")
+    links.append(_by_group(asked, words, "a long, b long", paired))
+    common = shared_table(members.select("comp", "cid", "n").join(common, ["comp", "cid"], "left_semi").join(marked.select("cid", "waits"), "cid"), "near-common")
+    if not common.isEmpty():
+        own, others = _slices(common.filter("waits"), "comp", "i"), _slices(common, "comp", "j")
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        asked = own.join(others.select("comp", "js").distinct(), "comp").select("comp", "i", every("js").alias("j"), F.lit(True).alias("lead"), "cid")
+        asked = asked.unionByName(others.join(own.select("comp", "is").distinct(), "comp").select("comp", every("is").alias("i"), "j", F.lit(False).alias("lead"), "cid"))
+        asked = asked.join(texts, ["comp", "cid"]).select("comp", "i", "j", "lead", "cid", "text")
+        links.append(_by_group(asked, words, "a long, b long", met))
     return functools.reduce(DataFrame.unionByName, links)
 
 

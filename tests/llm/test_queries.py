@@ -160,6 +160,24 @@ def test_large_components_go_by_leaders(spark, monkeypatch):
         assert got == comp | {None: None}
 
 
+def test_texts_with_common_lines_meet_only_where_they_may_be_linked(spark, monkeypatch):
+    """Texts that share two lines and little else are one component of likely pairs: none meets all others, and the near ones are found."""
+    draw = random.Random(4)
+    lines, rows = sentence(draw, 40), []
+    for i in range(240):
+        own = [f"own{i}x{k}" for k in range(30)]
+        rows.append((i, " ".join([lines, *own])))
+        if i % 8 == 0:
+            rows.append((1000 + i, " ".join([lines, *own[:-2], "other", f"words{i}"])))
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", 30)
+    monkeypatch.setattr(near_dedup, "NODE", 40)
+    asked, plain = [], near_dedup._by_group
+    monkeypatch.setattr(near_dedup, "_by_group", lambda df, *a: asked.append(df.count()) or plain(df, *a))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    assert len(asked) > 2 and sum(asked) < 3 * len(rows)
+
+
 def test_pairs_at_the_threshold_are_found(spark):
     """Four hundred planted pairs of a similarity from 0.80 to 0.85, among texts of the same words: all but chance bring them together."""
     draw = random.Random(11)
