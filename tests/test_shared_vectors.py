@@ -16,6 +16,30 @@ def test_examples_by_vector_numbers(spark):
     assert rows(got) == rows(joins.assemble_examples(own, *whole)) and got.filter(F.col("key") == "c").isEmpty()
 
 
+def test_many_vectors_meet_in_blocks(spark, monkeypatch):
+    """No exchange deals out a vector with a row; vectors that are missing, null, or of other widths are as in a plain join."""
+    own = spark.range(90).selectExpr("cast(id as string) as key", "id as pdb_id", "'A' as chain_id", "id % 7 as lig_site", "array(0, 1, 0, 1, 0, 1, 0, 1) as targets")
+    residues = own.select("pdb_id", "chain_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("ord")).selectExpr("*", "if(ord = 3 and pdb_id < 5, null, (pdb_id + 31 * ord) % 24) as vec_id")
+    ligands = spark.range(7).selectExpr("id as lig_site", "id * 3 + 1 as vec_id")
+    vectors = spark.createDataFrame([(k, None if k == 5 else [k + i / 4 for i in range(k % 3 + 1)]) for k in range(22) if k != 9], "vec_id long, features array<double>")
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(joins.assemble_examples(own, residues, ligands, vectors))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(joins, "BATCH_BYTES", 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for size in (64 << 20, 100):
+            monkeypatch.setattr(joins, "BLOCK_BYTES", size)
+            got = joins.assemble_examples(own, residues, ligands, vectors)
+            assert rows(got) == want and 400 < len(want) < 720
+            if size > 100:
+                plan = got._jdf.queryExecution().executedPlan().toString()
+                assert "MapInArrow" in plan and "SortMergeJoin" not in plan.split("MapInArrow")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_laid_out_entities_hold_numbers_only(spark, tmp_path):
     from sitemill.plans import q_features
 
