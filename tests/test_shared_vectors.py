@@ -47,3 +47,27 @@ def test_laid_out_entities_hold_numbers_only(spark, tmp_path):
     spark.createDataFrame([(k, [float(k)] * 64) for k in range(9)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     _, residues, ligands = q_features._sides(spark, str(tmp_path))
     assert residues.columns == ["pdb_id", "chain_id", "ord", "vec_id"] and ligands.columns == ["lig_site", "vec_id"]
+
+
+def test_bucketed_numbers_meet_vectors_in_blocks(spark, monkeypatch):
+    """Buckets stay where they are: rows are dealt out by residue, by ligand and by the cell of their vectors' blocks, and vectors with none of these."""
+    from sitemill.plans import dataset
+
+    own = spark.range(60).selectExpr("cast(id as string) as key", "id as pdb_id", "'A' as chain_id", "id % 5 as lig_site", "array(0, 1, 0, 1) as targets").localCheckpoint()
+    residues = own.select("pdb_id", "chain_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("ord")).selectExpr("*", "(pdb_id + 31 * ord) % 20 as vec_id")
+    vectors = spark.createDataFrame([(k, [float(k), k / 2]) for k in range(20)], "vec_id long, features array<double>")
+    ligands = spark.range(5).selectExpr("id as lig_site", "id * 3 as vec_id")
+    want = sorted(map(str, joins.assemble_examples(own, residues, ligands, vectors).collect()))
+    data = dataset.laid_out(dataset.Dataset(own, residues, ligands), "block_test")
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.assemble_examples(data.interactions, data.protein_residues, data.ligand_features, vectors)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Bucketed: true") == 2 and plan.count("Exchange hashpartitioning") == 3 and "MapInArrow" in plan
+        assert sorted(map(str, out.collect())) == want and len(want) == 240
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("protein_residues", "ligand_features"):
+            spark.sql(f"DROP TABLE block_test_{name}")
