@@ -178,6 +178,19 @@ def test_texts_with_common_lines_meet_only_where_they_may_be_linked(spark, monke
     assert len(asked) > 2 and sum(asked) < 3 * len(rows)
 
 
+def test_sets_that_share_common_tokens_meet_in_slices(spark, monkeypatch):
+    """A chain of texts each near the next, among texts with the same line: with every shared token taken as a common one, no link is lost."""
+    draw = random.Random(6)
+    lines, chain, rows = sentence(draw, 40), sentence(draw, 60).split(), []
+    for i in range(24):
+        chain[2 * i : 2 * i + 3] = [f"next{i}{c}" for c in "abc"]
+        rows += [(i, " ".join([lines, *chain])), (100 + i, " ".join([lines, *[f"own{i}x{k}" for k in range(30)]]))]
+    for name, value in (("BLOCK_SETS", 8), ("NODE", 10), ("RARE_SETS", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {i: 0 if i < 100 else i for i, _ in rows}
+
+
 def test_pairs_at_the_threshold_are_found(spark):
     """Four hundred planted pairs of a similarity from 0.80 to 0.85, among texts of the same words: all but chance bring them together."""
     draw = random.Random(11)
